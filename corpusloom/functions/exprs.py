@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -36,3 +36,15 @@ def run_starts(sorted_items: Column) -> Column:
         index_range(F.size(sorted_items)),
         lambda i: (i == 0) | (sorted_items[i] != sorted_items[F.greatest(i - 1, F.lit(0))]),
     )
+
+
+def explode_rows(df: DataFrame, array: Column, *names: str, keep: list[str]) -> DataFrame:
+    """Explode a computed array, dropping rows where it is empty or null.
+
+    Plain ``explode`` makes the optimizer infer ``size(array) > 0`` and push
+    it below the projection, which computes the whole array expression a
+    second time. The outer form is exempt, so empties are dropped afterwards.
+    With two names the position comes first.
+    """
+    gen = F.posexplode_outer(array) if len(names) == 2 else F.explode_outer(array)
+    return df.select(*keep, gen.alias(*names)).where(F.col(names[-1]).isNotNull())

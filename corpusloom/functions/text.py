@@ -109,7 +109,7 @@ def term_counts(tokens: Column) -> Column:
             ),
         )
 
-    return let(F.array_sort(tokens), runs)
+    return let(F.sort_array(tokens), runs)
 
 
 def line_count(text: Column) -> Column:

@@ -60,7 +60,7 @@ def bucket_counts(buckets: Column, dim: int) -> Column:
     Every bucket number is added once before sorting, so the run lengths of
     the sorted array, less one, are the vector already in bucket order.
     """
-    padded = F.array_sort(F.concat(buckets, F.sequence(F.lit(0), F.lit(dim - 1))))
+    padded = F.sort_array(F.concat(buckets, F.sequence(F.lit(0), F.lit(dim - 1))))
 
     def lengths(ordered: Column) -> Column:
         return let(
