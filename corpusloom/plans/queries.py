@@ -9,10 +9,16 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import vectors as V
 from corpusloom.functions.exprs import round6
+from corpusloom.operators import answers as A
 from corpusloom.operators import chunking as C
+from corpusloom.operators import definitions as D
 from corpusloom.operators import lexical as L
+from corpusloom.operators import maintenance as M
 from corpusloom.operators import retrieval as R
+from corpusloom.operators import topics as T
+from corpusloom.operators.debounce import debounce
 from corpusloom.operators.embedding import embed, hashed_embedder
+from corpusloom.sources import files as S
 from corpusloom.sources.tables import spread, table
 
 # Width of the vectors in the provided tables.
@@ -131,6 +137,317 @@ def hybrid_topk(spark, root):
     )
 
 
+# --- two-stage search and the answer side --------------------------------
+
+
+def document_index(spark: SparkSession, root: str) -> DataFrame:
+    """Documents as index rows: one chunk each, with its vector."""
+    docs = documents(spark, root)
+    return docs.select(
+        F.col("doc_id").alias("chunk_id"),
+        F.col("text").alias("content"),
+        "source",
+        V.hashed_bag(F.col("text"), DIM).alias("embedding"),
+    )
+
+
+def raw_search(spark, root):
+    """Vector search with a k of its own per query (0 and null: the default)."""
+    queries = benchmark_queries(spark, root).withColumn(
+        "top_k", F.when(F.col("query_id") % 4 > 0, F.col("query_id") % 4).cast("int")
+    )
+    hits = R.search(queries, document_index(spark, root), embedder=hashed_embedder(DIM))
+    return hits.select("query_id", "rank", "chunk_id", "source", "score", "score_kind")
+
+
+def _two_stage(spark, root):
+    return R.search(
+        benchmark_queries(spark, root),
+        document_index(spark, root),
+        rerank_enabled=True,
+        embedder=hashed_embedder(DIM),
+    )
+
+
+def two_stage_search(spark, root):
+    return _two_stage(spark, root).select(
+        "query_id", "rank", "chunk_id", "source", "score", "score_kind"
+    )
+
+
+def rerank_topk(spark, root):
+    """Rerank the fused candidates instead of the nearest vectors."""
+    queries = benchmark_queries(spark, root)
+    docs = documents(spark, root)
+    hits = R.bm25_topk(queries, docs, 4 * R.DEFAULT_K).drop("score")
+    texts = docs.select("doc_id", F.col("text").alias("content"))
+    candidates = hits.join(texts, "doc_id").join(queries, "query_id")
+    return R.rerank(candidates, R.DEFAULT_K, 4 * R.DEFAULT_K, id_col="doc_id").select(
+        "query_id", "rank", "doc_id", "score"
+    )
+
+
+def prompt_context(spark, root):
+    return A.prompts(benchmark_queries(spark, root), _two_stage(spark, root))
+
+
+def _turns(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "conversations").withColumn(
+        "query_id", F.concat_ws("-", "conv_id", "turn")
+    )
+
+
+def grounding_check(spark, root):
+    """Assistant turns against up to three turns before them."""
+    turns = spread(_turns(spark, root))
+    said = turns.where(F.col("role") == "assistant")
+    back = said.select("query_id", "conv_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("d"), "turn")
+    sources = back.select("query_id", "conv_id", (F.col("turn") - F.col("d")).alias("turn")).join(
+        turns.select("conv_id", "turn", F.col("text").alias("content")), ["conv_id", "turn"]
+    )
+    answers = said.select("query_id", F.col("text").alias("answer"))
+    return A.grounding_check(answers, sources, embedder=hashed_embedder(DIM)).select(
+        "query_id", "is_hallucination", "score", "method"
+    )
+
+
+def answer_fallback(spark, root):
+    """User turns with the assistant turn that follows, or the default answer."""
+    turns = _turns(spark, root)
+    asked = turns.where(F.col("role") == "user").select("query_id")
+    given = turns.where(F.col("role") == "assistant").select(
+        F.concat_ws("-", F.col("conv_id"), F.col("turn") - 1).alias("query_id"),
+        F.col("text").alias("answer"),
+        F.lit(None).cast("string").alias("error"),
+    )
+    return A.answers_with_fallback(asked, given)
+
+
+# --- index maintenance ---------------------------------------------------
+
+# Notification bits by event number: the four kinds, two combinations and one
+# that no kind claims.
+OPS = (1, 2, 4, 8, 3, 12, 16)
+
+
+def file_events(spark: SparkSession, root: str) -> DataFrame:
+    """The event table as file events of twenty times as few paths as users."""
+    op = F.element_at(F.array(*[F.lit(o) for o in OPS]), (F.col("event_id") % 7 + 1).cast("int"))
+    return (
+        table(spark, root, "events")
+        .withColumn("event_type", M.event_type(op))
+        .where(F.col("event_type").isNotNull())
+        .select("event_id", "ts", "user_id", F.col("event_type"), F.col("event_id").alias("seq"))
+    )
+
+
+def event_kinds(spark, root):
+    return file_events(spark, root).select("event_id", "event_type")
+
+
+def _paths_of_events(spark, root):
+    return file_events(spark, root).select(
+        F.concat(F.lit("src"), F.col("user_id") % 15).alias("path"), "event_type", "ts", "seq"
+    )
+
+
+def _stored_rows(spark, root):
+    return table(spark, root, "documents").select(
+        "source", F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")
+    )
+
+
+def apply_events(spark, root):
+    index = _stored_rows(spark, root)
+    fresh = index.select(
+        "source",
+        (-F.col("chunk_id") - 1).alias("chunk_id"),
+        F.concat(F.lit("v2 "), "content").alias("content"),
+    )
+    return M.apply_events(index, _paths_of_events(spark, root), fresh).select(
+        "source", "chunk_id", F.md5(F.col("content").cast("binary")).alias("digest")
+    )
+
+
+def delete_by_source(spark, root):
+    return M.delete_by_source(_stored_rows(spark, root), "src7").select("source", "chunk_id")
+
+
+def debounce_last_event(spark, root):
+    events = file_events(spark, root).join(
+        table(spark, root, "events").select("event_id", F.col("event_type").alias("path")), "event_id"
+    )
+    out = debounce(
+        events.withColumn("root", F.concat(F.lit("u"), "user_id")),
+        gap_seconds=3600,
+        slice_seconds=86_400,
+    )
+    return out.select(
+        "root", F.col("session_start").cast("timestamp_ntz"), "path", "event_type", "ts"
+    )
+
+
+def _snapshots(spark, root):
+    seen = table(spark, root, "events").select(
+        F.col("user_id").alias("root"), F.col("event_type").alias("path"), "ts"
+    )
+    at = lambda rows: rows.groupBy("root", "path").agg(F.max("ts").alias("mtime"))
+    before = at(seen.where(F.col("ts") < F.lit("2024-01-04").cast("timestamp_ntz")))
+    now = at(seen.where(F.col("ts") >= F.lit("2024-01-03").cast("timestamp_ntz")))
+    return before, now
+
+
+def snapshot_diff(spark, root):
+    return M.snapshot_diff(*_snapshots(spark, root))
+
+
+def dispatch_changed(spark, root):
+    before, now = _snapshots(spark, root)
+    name = lambda df: df.withColumn("path", F.concat_ws("/", "root", "path"))
+    changed = M.snapshot_diff(name(before), name(now), detect_deletes=True)
+    return M.dispatch_changes(changed, name(now)).select("root", "path", "change", "event_type")
+
+
+# --- sources -------------------------------------------------------------
+
+EXTENSIONS = (*S.LANGUAGE_OF_EXTENSION, ".PY", ".txt", "", ".Pdf", ".pdf")
+DIRS = ("src", "lib/core", "node_modules/x", ".hidden", "build", "_private")
+
+
+def path_table(spark: SparkSession, root: str) -> DataFrame:
+    """A path for every document, over all extensions and kinds of directory."""
+    pick = lambda items, at: F.element_at(F.array(*[F.lit(i) for i in items]), (at + 1).cast("int"))
+    n = F.col("doc_id")
+    return table(spark, root, "documents").select(
+        "doc_id",
+        F.concat(
+            F.col("source"),
+            F.lit("/"),
+            pick(DIRS, n % len(DIRS)),
+            F.lit("/"),
+            F.when(n % 5 == 0, F.lit(".")).when(n % 5 == 1, F.lit("_")).otherwise(F.lit("")),
+            F.lit("f"),
+            n,
+            pick(EXTENSIONS, n % len(EXTENSIONS)),
+        ).alias("path"),
+    )
+
+
+def language_scan(spark, root):
+    return S.source_files(path_table(spark, root))
+
+
+def language_filter(spark, root):
+    return S.source_files(path_table(spark, root), ["python", "go", "tsx"], prune=False)
+
+
+def route_by_extension(spark, root):
+    paths = path_table(spark, root).select("path").unionByName(
+        table(spark, root, "pages").select(F.col("url").alias("path"))
+    )
+    return paths.select("path", S.route(F.col("path")).alias("route"))
+
+
+def pdf_listing(spark, root):
+    return path_table(spark, root).where(S.name_matches(F.col("path"))).select("doc_id", "path")
+
+
+def source_default(spark, root):
+    docs = table(spark, root, "documents").select(
+        "doc_id",
+        F.nullif(F.col("source"), F.lit("src3")).alias("source"),
+        F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("/d/"), "doc_id")).alias("path"),
+    )
+    return S.with_source(docs, "path").select("doc_id", "source")
+
+
+# --- code and fallback chunks --------------------------------------------
+
+
+def module_fallback(spark, root):
+    """Which documents stay whole, and the line range of those."""
+    docs = C.drop_blank(documents(spark, root))
+    chunks = C.fallback_chunks(docs, "doc_id", "text", keep=("lang",))
+    return chunks.where(F.col("symbol_type") == "module").select(
+        "doc_id", "lang", "start_line", "end_line", F.col("chunk").alias("content")
+    )
+
+
+def recursive_split(spark, root):
+    docs = documents(spark, root)
+    return C.fallback_chunks(docs, "doc_id", "text", keep=(), size=500, overlap=50)
+
+
+def generated_sources(spark: SparkSession, root: str) -> DataFrame:
+    """One source file per part, with as many methods as the part's size.
+
+    The tables hold no source code, so files are derived from them in four
+    languages, and some without any definition.
+    """
+    k = F.col("p_partkey").cast("string")
+    steps = lambda sep, make: F.array_join(
+        F.transform(F.sequence(F.lit(1), F.col("p_size")), lambda i: make(i.cast("string"))), sep
+    )
+    cat = lambda *xs: F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in xs])
+    python = cat(
+        "class Part", k, ':\n    label = "', F.col("p_name"), '"\n\n',
+        steps("\n", lambda i: cat("    def step_", i, "(self):\n        return ", i, "\n")),
+        "\n\ndef make_", k, "(x):\n    return Part", k, "()\n",
+    )
+    go = cat(
+        "package parts\n\ntype Part", k, " struct {\n\tName string\n}\n\n",
+        steps("\n\n", lambda i: cat(
+            "func (p *Part", k, ") Step", i,
+            "() int {\n\tif p == nil {\n\t\treturn 0\n\t}\n\treturn ", i, "\n}")),
+        "\n",
+    )
+    java = cat(
+        "class Part", k, " {\n",
+        steps("", lambda i: cat("    int step", i, "() {\n        return ", i, ";\n    }\n")),
+        "}\n",
+    )
+    ruby = cat(
+        "class Part", k, "\n",
+        steps("", lambda i: cat("  def step_", i, "\n    ", i, "\n  end\n")),
+        "end\n",
+    )
+    kind = F.col("p_partkey") % 5
+    by_kind = lambda *v: (
+        F.when(kind == 0, v[0]).when(kind == 1, v[1]).when(kind == 2, v[2]).when(kind == 3, v[3])
+    )
+    lit = F.lit
+    return spread(table(spark, root, "part")).select(
+        cat("part/", k, by_kind(lit(".py"), lit(".go"), lit(".java"), lit(".rb")).otherwise(".py")).alias("path"),
+        by_kind(lit("python"), lit("go"), lit("java"), lit("ruby")).otherwise("python").alias("language"),
+        by_kind(python, go, java, ruby).otherwise(cat("x = ", k, "\n")).alias("content"),
+    )
+
+
+def code_definitions(spark, root):
+    return D.code_chunks(generated_sources(spark, root))
+
+
+# --- topics --------------------------------------------------------------
+
+
+def lda_vocab(spark, root):
+    return T.topic_vocabulary(documents(spark, root))
+
+
+def lda_topk(spark, root):
+    """All four methods fused with the default weights."""
+    docs = documents(spark, root)
+    model = T.fit_topics(docs)
+    hits = R.hybrid_topk(
+        benchmark_queries(spark, root), docs, R.DEFAULT_WEIGHTS, K, dim=DIM, topics=T.topics_by(model)
+    )
+    return hits.select("query_id", "rank", "doc_id", "score", round6(F.col("lda")).alias("lda_score"))
+
+
+def corpus_fingerprint(spark, root):
+    return T.corpus_fingerprint(table(spark, root, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -146,5 +463,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         vector_l2_topk,
         vector_cosine_topk,
         hybrid_topk,
+        raw_search,
+        two_stage_search,
+        rerank_topk,
+        prompt_context,
+        grounding_check,
+        answer_fallback,
+        event_kinds,
+        apply_events,
+        delete_by_source,
+        debounce_last_event,
+        snapshot_diff,
+        dispatch_changed,
+        language_scan,
+        language_filter,
+        route_by_extension,
+        pdf_listing,
+        source_default,
+        module_fallback,
+        recursive_split,
+        code_definitions,
+        lda_vocab,
+        lda_topk,
+        corpus_fingerprint,
     )
 }

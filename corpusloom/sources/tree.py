@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from corpusloom.sources.files import IGNORED_DIRS, LANGUAGE_OF_EXTENSION
+from corpusloom.sources.files import IGNORED_DIRS, LANGUAGE_OF_EXTENSION, name_matches
 
 SCHEMA = (
     "path string, language string, modificationTime timestamp, length bigint, "
@@ -48,13 +48,16 @@ class SourceTreeReader(DataSourceReader):
         wanted = options.get("languages")
         self.languages = {x.strip() for x in wanted.split(",")} if wanted else None
         self.per_task = int(options.get("filespertask", FILES_PER_TASK))
+        # Listing mode: every file of every directory, names and times only.
+        self.listing = str(options.get("listing", "false")).lower() == "true"
 
     def partitions(self) -> list[InputPartition]:
         if os.path.isfile(self.root):
             return [TreePart(self.root, 0, 1, single=True)]
         parts = []
         for directory, dirs, names in os.walk(self.root):
-            dirs[:] = sorted(d for d in dirs if d not in IGNORED_DIRS and not d.startswith("."))
+            if not self.listing:
+                dirs[:] = [d for d in dirs if d not in IGNORED_DIRS and not d.startswith(".")]
             count = -(-len(names) // self.per_task)
             parts += [TreePart(directory, i, count) for i in range(count)]
         return parts or [TreePart(self.root, 0, 1)]
@@ -72,9 +75,11 @@ class SourceTreeReader(DataSourceReader):
         rows = []
         for path in self._paths(partition):
             lang = LANGUAGE_OF_EXTENSION.get(os.path.splitext(path)[1].lower())
-            if lang is None or (self.languages is not None and lang not in self.languages):
+            if not self.listing and (
+                lang is None or (self.languages is not None and lang not in self.languages)
+            ):
                 continue
-            rows.append(_load(path, lang))
+            rows.append(_load(path, lang, self.listing))
             if len(rows) == _ROWS_PER_BATCH:
                 yield _batch(rows)
                 rows = []
@@ -82,15 +87,18 @@ class SourceTreeReader(DataSourceReader):
             yield _batch(rows)
 
 
-def _load(path: str, lang: str) -> tuple:
+def _load(path: str, lang: str | None, stat_only: bool) -> tuple:
     try:
         stat = os.stat(path)
-        with open(path, "rb") as handle:
-            data = handle.read()
+        data = b""
+        if not stat_only:
+            with open(path, "rb") as handle:
+                data = handle.read()
     except OSError as problem:
         return (path, lang, None, None, None, str(problem))
     when = datetime.fromtimestamp(stat.st_mtime, tz=timezone.utc)
-    return (path, lang, when, stat.st_size, data.decode("utf-8", errors="replace"), None)
+    text = None if stat_only else data.decode("utf-8", errors="replace")
+    return (path, lang, when, stat.st_size, text, None)
 
 
 _ARROW = pa.schema(
@@ -138,6 +146,15 @@ def read_source_tree(
     return reader.load(root)
 
 
+def list_files(spark: SparkSession, root: str, suffix: str = ".pdf") -> DataFrame:
+    """``(root, path, mtime)`` of all files below a root with that name ending."""
+    register(spark)
+    found = spark.read.format("source_tree").option("listing", "true").load(root)
+    return found.where(F.col("error").isNull() & name_matches(F.col("path"), suffix)).select(
+        F.lit(root).alias("root"), "path", F.col("modificationTime").alias("mtime")
+    )
+
+
 def split_bad_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(readable, quarantined): an unreadable file never stops the job."""
     return files.where(F.col("error").isNull()), files.where(F.col("error").isNotNull())
