@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from corpusloom.functions.text import ENGLISH_STOP_WORDS, NON_WORD, WHITESPACE
+from corpusloom.sources.files import IGNORED_DIRS, LANGUAGE_OF_EXTENSION
 
 DIM = 64
 K = 10
@@ -220,6 +221,150 @@ HYBRID = (
     + ranked("SELECT * FROM fused", extra=", vector_score, tfidf_score, bm25_score")
 )
 
+# --- search and answers ---------------------------------------------------
+
+NEAREST = [
+    *DOC_BAGS,
+    *QUERY_BAGS,
+    "near AS (SELECT query_id, doc_id, dist, row_number() OVER "
+    "(PARTITION BY query_id ORDER BY dist, doc_id) AS rank FROM "
+    "(SELECT qb.item_id AS query_id, db.doc_id, list_dot_product(qb.v, qb.v) - "
+    "2 * list_dot_product(qb.v, db.v) + list_dot_product(db.v, db.v) AS dist FROM qb, db))",
+]
+
+
+def coverage(query: str, content: str) -> str:
+    q, c = f"list_distinct({tokens(query)})", tokens(content)
+    return (
+        f"CASE WHEN len({q}) = 0 THEN 0.0 ELSE "
+        f"len(list_filter({q}, lambda w: list_contains({c}, w)))::DOUBLE / len({q}) END"
+    )
+
+
+def reranked(candidates: str, fetch: int = 20, k: int = 5) -> str:
+    """CTE body: the second stage over ``(query_id, doc_id, rank)`` rows."""
+    return (
+        "SELECT * FROM (SELECT query_id, doc_id, score, content, source, row_number() OVER "
+        "(PARTITION BY query_id ORDER BY score DESC, first_rank)::INT AS rank FROM "
+        "(SELECT c.query_id, c.doc_id, c.rank AS first_rank, d.text AS content, d.source, "
+        f"round({coverage('b.text', 'd.text')}, 6) AS score FROM {candidates} c "
+        "JOIN documents d ON d.doc_id = c.doc_id JOIN benchmark b ON b.item_id = c.query_id "
+        f"WHERE c.rank <= {fetch})) WHERE rank <= {k}"
+    )
+
+
+TWO_STAGE = [*NEAREST, "hit AS (" + reranked("near") + ")"]
+
+_PROMPT_HEAD = (
+    "1. Use the following pieces of context to answer the question at the end.\n"
+    "2. If you don''t know the answer, say \"I don''t know\".\n"
+    "3. Keep the answer crisp (3-4 sentences).\n\nContext: "
+)
+
+CONVERSATIONS = "turns AS (SELECT *, conv_id || '-' || turn AS query_id FROM conversations)"
+
+# --- events ---------------------------------------------------------------
+
+FILE_EVENTS = (
+    "fe AS (SELECT * FROM (SELECT event_id, ts, user_id, event_type AS kind, "
+    "CASE WHEN op % 2 = 1 THEN 'CREATE' WHEN (op // 2) % 2 = 1 THEN 'WRITE' "
+    "WHEN (op // 4) % 2 = 1 THEN 'REMOVE' WHEN (op // 8) % 2 = 1 THEN 'RENAME' END AS event_type "
+    "FROM (SELECT *, [1, 2, 4, 8, 3, 12, 16][event_id % 7 + 1] AS op FROM events)) "
+    "WHERE event_type IS NOT NULL)"
+)
+
+SNAPSHOTS = [
+    "before AS (SELECT user_id AS root, event_type AS path, max(ts) AS mtime FROM events "
+    "WHERE ts < TIMESTAMP '2024-01-04' GROUP BY ALL)",
+    "now AS (SELECT user_id AS root, event_type AS path, max(ts) AS mtime FROM events "
+    "WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-06' GROUP BY ALL)",
+]
+
+# --- paths ----------------------------------------------------------------
+
+
+def _sql_list(items) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in items) + "]"
+
+
+_EXTENSIONS = [*LANGUAGE_OF_EXTENSION, ".PY", ".txt", "", ".Pdf", ".pdf"]
+_DIRS = ["src", "lib/core", "node_modules/x", ".hidden", "build", "_private"]
+PATHS = (
+    f"paths AS (SELECT doc_id, source || '/' || {_sql_list(_DIRS)}[doc_id % {len(_DIRS)} + 1] || '/' || "
+    "CASE doc_id % 5 WHEN 0 THEN '.' WHEN 1 THEN '_' ELSE '' END || 'f' || doc_id || "
+    f"{_sql_list(_EXTENSIONS)}[doc_id % {len(_EXTENSIONS)} + 1] AS path FROM documents)"
+)
+EXTENSION = (
+    "lower(regexp_extract(regexp_replace(regexp_extract(path, '[^/]*$'), '^\\.+', ''), "
+    "'(\\.[^.]*)$', 1))"
+)
+LANGUAGE = (
+    f"CASE {EXTENSION} "
+    + " ".join(f"WHEN '{e}' THEN '{lang}'" for e, lang in LANGUAGE_OF_EXTENSION.items())
+    + " END"
+)
+
+# --- generated source files -----------------------------------------------
+
+_STEPS = "(SELECT p_partkey AS k, p_size AS n, p_name, unnest(range(1, p_size + 1)) AS i FROM part)"
+
+
+def _definitions(kind: int, ext: str, lang: str, rows: str) -> str:
+    """Rows of one language: ``rows`` yields name, type, class, lines, text."""
+    return (
+        f"SELECT 'part/' || k || '{ext}' AS source, '{lang}' AS language, * EXCLUDE (k) "
+        f"FROM ({rows}) WHERE k % 5 = {kind}"
+    )
+
+
+_COLS = "{name} AS symbol_name, {type} AS symbol_type, {cls} AS class_name, {s}::INT AS start_line, {e}::INT AS end_line, {text} AS content"
+
+
+def _row(table: str, **c: str) -> str:
+    return "SELECT k, " + _COLS.format(**c) + f" FROM {table}"
+
+
+_PARTS = "(SELECT p_partkey AS k, p_size AS n, p_name FROM part)"
+CODE_DEFINITIONS = " UNION ALL ".join(
+    [
+        _definitions(0, ".py", "python", " UNION ALL ".join([
+            _row(_PARTS, name="'Part' || k", type="'class'", cls="NULL", s="1", e="3 * n + 2",
+                 text="'class Part' || k || ':'"),
+            _row(_STEPS, name="'step_' || i", type="'method'", cls="'Part' || k", s="3 * i + 1",
+                 e="3 * i + 2", text="'def step_' || i || E'(self):\n        return ' || i"),
+            _row(_PARTS, name="'make_' || k", type="'function'", cls="NULL", s="3 * n + 5",
+                 e="3 * n + 6", text="'def make_' || k || E'(x):\n    return Part' || k || '()'"),
+        ])),
+        _definitions(1, ".go", "go", " UNION ALL ".join([
+            _row(_PARTS, name="'Part' || k", type="'type'", cls="NULL", s="3", e="5",
+                 text="'type Part' || k || E' struct {\n\tName string\n}'"),
+            _row(_STEPS, name="'Step' || i", type="'method'", cls="'Part' || k", s="7 * i",
+                 e="7 * i + 5", text="'func (p *Part' || k || ') Step' || i || "
+                 "E'() int {\n\tif p == nil {\n\t\treturn 0\n\t}\n\treturn ' || i || E'\n}'"),
+        ])),
+        _definitions(2, ".java", "java", " UNION ALL ".join([
+            _row(_PARTS, name="'Part' || k", type="'class'", cls="NULL", s="1", e="3 * n + 2",
+                 text="'class Part' || k"),
+            _row(_STEPS, name="'step' || i", type="'method'", cls="'Part' || k", s="3 * i - 1",
+                 e="3 * i + 1", text="'int step' || i || E'() {\n        return ' || i || E';\n    }'"),
+        ])),
+        _definitions(3, ".rb", "ruby", " UNION ALL ".join([
+            _row(_PARTS, name="'Part' || k", type="'class'", cls="NULL", s="1", e="3 * n + 2",
+                 text="'class Part' || k"),
+            _row(_STEPS, name="'step_' || i", type="'method'", cls="'Part' || k", s="3 * i - 1",
+                 e="3 * i + 1", text="'def step_' || i || E'\n    ' || i || E'\n  end'"),
+        ])),
+        _definitions(4, ".py", "python",
+            _row(_PARTS, name="NULL", type="'module'", cls="NULL", s="1", e="2",
+                 text="'x = ' || k || E'\n'")),
+    ]
+)
+
+TOPIC_TOKENS = (
+    f"list_filter(string_split_regex(lower(text), '{WHITESPACE}+'), "
+    "lambda w: length(w) > 3 AND regexp_full_match(w, '\\p{L}+'))"
+)
+
 ORACLE: dict[str, str] = {
     "bm25_stats": _ctes(*BM25_STATS) + "\nSELECT term, df, cf, round(idf, 6) AS idf FROM idf",
     "bm25_topk": lexical_topk(BM25_SCORES, "bm"),
@@ -242,4 +387,106 @@ ORACLE: dict[str, str] = {
     ),
     "vector_cosine_topk": vector_topk(COSINE.format(a="q.v", b="e.v"), "DESC"),
     "hybrid_topk": HYBRID,
+    "raw_search": _ctes(*NEAREST)
+    + "\nSELECT n.query_id, n.rank::INT AS rank, n.doc_id AS chunk_id, d.source, "
+    "round(n.dist, 6) AS score, 'distance' AS score_kind FROM near n "
+    "JOIN documents d USING (doc_id) "
+    "WHERE n.rank <= CASE WHEN n.query_id % 4 > 0 THEN n.query_id % 4 ELSE 5 END",
+    "two_stage_search": _ctes(*TWO_STAGE)
+    + "\nSELECT query_id, rank, doc_id AS chunk_id, source, score, 'relevance' AS score_kind FROM hit",
+    "rerank_topk": _ctes(
+        *BM25_SCORES,
+        ALL_PAIRS,
+        "cand AS ("
+        + ranked(
+            "SELECT p.query_id, p.doc_id, round(coalesce(bm.s, 0), 6) AS score FROM pairs p "
+            "LEFT JOIN bm ON bm.query_id = p.query_id AND bm.doc_id = p.doc_id",
+            k=20,
+        )
+        + ")",
+    )
+    + "\nSELECT query_id, rank, doc_id, score FROM ("
+    + reranked("cand")
+    + ")",
+    "prompt_context": _ctes(*TWO_STAGE)
+    + f"\nSELECT b.item_id AS query_id, '{_PROMPT_HEAD}' || coalesce(string_agg("
+    "E'Context:\\ncontent:' || h.content || E'\\nsource:' || h.source, E'\\n\\n' ORDER BY h.rank), '') "
+    "|| E'\\n\\nQuestion: ' || b.text || E'\\n\\nHelpful Answer:' AS prompt "
+    "FROM benchmark b LEFT JOIN hit h ON h.query_id = b.item_id GROUP BY b.item_id, b.text",
+    "grounding_check": _ctes(
+        CONVERSATIONS,
+        *bag_cte("tb", "turns", "query_id", "text"),
+        "sc AS (SELECT a.query_id, max("
+        + COSINE.format(a="va.v", b="vs.v")
+        + ") AS s FROM turns a JOIN turns t ON t.conv_id = a.conv_id "
+        "AND t.turn BETWEEN a.turn - 3 AND a.turn - 1 JOIN tb va ON va.query_id = a.query_id "
+        "JOIN tb vs ON vs.query_id = t.query_id "
+        "WHERE a.role = 'assistant' AND a.text <> '' GROUP BY a.query_id)",
+    )
+    + "\nSELECT a.query_id, round(s, 6) < 0.5 AS is_hallucination, round(s, 6) AS score, "
+    "'embedding_similarity' AS method FROM turns a LEFT JOIN sc USING (query_id) "
+    "WHERE a.role = 'assistant'",
+    "answer_fallback": _ctes(CONVERSATIONS)
+    + "\nSELECT u.query_id, coalesce(a.text, 'I don''t know') AS result, "
+    "CASE WHEN a.text IS NULL THEN 'no answer' END AS error FROM turns u "
+    "LEFT JOIN turns a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' "
+    "WHERE u.role = 'user'",
+    "event_kinds": _ctes(FILE_EVENTS) + "\nSELECT event_id, event_type FROM fe",
+    "apply_events": _ctes(
+        FILE_EVENTS,
+        "last AS (SELECT path, arg_max(event_type, (ts, event_id)) AS event_type FROM "
+        "(SELECT 'src' || (user_id % 15) AS path, * FROM fe) GROUP BY path)",
+    )
+    + "\nSELECT source, doc_id AS chunk_id, md5(text) AS digest FROM documents d "
+    "WHERE NOT EXISTS (SELECT 1 FROM last WHERE last.path = d.source) UNION ALL "
+    "SELECT source, -doc_id - 1, md5('v2 ' || text) FROM documents d "
+    "WHERE EXISTS (SELECT 1 FROM last WHERE last.path = d.source AND event_type IN ('CREATE', 'WRITE'))",
+    "delete_by_source": "SELECT source, doc_id AS chunk_id FROM documents "
+    "WHERE source IS DISTINCT FROM 'src7'",
+    "debounce_last_event": _ctes(
+        FILE_EVENTS,
+        "o AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new "
+        "FROM fe WINDOW w AS (PARTITION BY user_id ORDER BY ts))",
+        "s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS no FROM o)",
+        "st AS (SELECT *, min(ts) OVER (PARTITION BY user_id, no) AS session_start FROM s)",
+    )
+    + "\nSELECT 'u' || user_id AS root, session_start, kind AS path, "
+    "arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts "
+    "FROM st GROUP BY user_id, session_start, kind",
+    "snapshot_diff": _ctes(*SNAPSHOTS)
+    + "\nSELECT now.root, now.path, now.mtime, CASE WHEN before.mtime IS NULL THEN 'new' ELSE 'updated' END "
+    "AS change FROM now LEFT JOIN before USING (root, path) "
+    "WHERE (before.mtime IS NULL OR before.mtime < now.mtime) "
+    "AND now.root IN (SELECT root FROM before)",
+    "dispatch_changed": _ctes(*SNAPSHOTS)
+    + "\nSELECT coalesce(now.root, before.root) AS root, "
+    "coalesce(now.root, before.root) || '/' || coalesce(now.path, before.path) AS path, "
+    "CASE WHEN now.mtime IS NULL THEN 'deleted' WHEN before.mtime IS NULL THEN 'new' "
+    "ELSE 'updated' END AS change, "
+    "CASE WHEN now.mtime IS NULL THEN 'REMOVE' ELSE 'WRITE' END AS event_type "
+    "FROM now FULL JOIN before ON now.root = before.root AND now.path = before.path "
+    "WHERE (now.mtime IS NULL OR before.mtime IS NULL OR before.mtime < now.mtime) "
+    "AND coalesce(now.root, before.root) IN (SELECT root FROM before)",
+    "language_scan": _ctes(PATHS)
+    + f"\nSELECT doc_id, path, {LANGUAGE} AS language FROM paths WHERE {LANGUAGE} IS NOT NULL "
+    "AND len(list_filter(string_split(path, '/')[:-2], lambda d: "
+    f"list_contains({_sql_list(IGNORED_DIRS)}, d) OR starts_with(d, '.'))) = 0",
+    "language_filter": _ctes(PATHS)
+    + f"\nSELECT doc_id, path, {LANGUAGE} AS language FROM paths "
+    f"WHERE {LANGUAGE} IN ('python', 'go', 'tsx')",
+    "route_by_extension": _ctes(PATHS)
+    + f"\nSELECT path, CASE WHEN {EXTENSION} = '.pdf' THEN 'pdf' ELSE 'text' END AS route FROM "
+    "(SELECT path FROM paths UNION ALL SELECT url FROM pages)",
+    "pdf_listing": _ctes(PATHS) + "\nSELECT doc_id, path FROM paths WHERE path LIKE '%.pdf'",
+    "source_default": "SELECT doc_id, coalesce(nullif(source, 'src3'), "
+    "CASE WHEN doc_id % 2 = 0 THEN '/d/' || doc_id END, 'unknown') AS source FROM documents",
+    "module_fallback": "SELECT doc_id, lang, 1 AS start_line, "
+    "(length(text) - length(replace(text, E'\\n', '')) + 1)::INT AS end_line, text AS content "
+    f"FROM documents WHERE length(text) <= 1500 AND regexp_matches(text, '{WHITESPACE.replace('[', '[^', 1)}')",
+    "code_definitions": CODE_DEFINITIONS,
+    "lda_vocab": _ctes(
+        f"t AS (SELECT DISTINCT doc_id, unnest({TOPIC_TOKENS}) AS term FROM documents)"
+    )
+    + "\nSELECT term, count(*) AS df FROM t GROUP BY term HAVING count(*) >= 2 "
+    "AND count(*) <= 0.8 * (SELECT count(*) FROM documents)",
 }

@@ -293,7 +293,12 @@ def _snapshots(spark, root):
     )
     at = lambda rows: rows.groupBy("root", "path").agg(F.max("ts").alias("mtime"))
     before = at(seen.where(F.col("ts") < F.lit("2024-01-04").cast("timestamp_ntz")))
-    now = at(seen.where(F.col("ts") >= F.lit("2024-01-03").cast("timestamp_ntz")))
+    now = at(
+        seen.where(
+            (F.col("ts") >= F.lit("2024-01-03").cast("timestamp_ntz"))
+            & (F.col("ts") < F.lit("2024-01-06").cast("timestamp_ntz"))
+        )
+    )
     return before, now
 
 
