@@ -265,6 +265,37 @@ def recursive_chunks(text: Column, size: int, overlap: int) -> Column:
     )
 
 
+def fallback_array(content: Column, size: int, overlap: int) -> Column:
+    """``array<struct<symbol_type, start_line, end_line, chunk>>`` of a file
+    without definitions.
+
+    A file that fits becomes one ``module`` chunk with its line range; a larger
+    one becomes ``block`` chunks without line numbers; a blank one none.
+    """
+    no_line = F.lit(None).cast("int")
+
+    def entry(kind: str, start: Column, end: Column, chunk: Column) -> Column:
+        return F.struct(
+            F.lit(kind).alias("symbol_type"),
+            start.alias("start_line"),
+            end.alias("end_line"),
+            chunk.alias("chunk"),
+        )
+
+    return F.when(
+        ~X.is_blank(content),
+        F.when(
+            F.length(content) <= size,
+            F.array(entry("module", F.lit(1), X.line_count(content), content)),
+        ).otherwise(
+            F.transform(
+                recursive_chunks(content, size, overlap),
+                lambda c: entry("block", no_line, no_line, c),
+            )
+        ),
+    )
+
+
 def fallback_chunks(
     files: DataFrame,
     id_col: str = "path",
@@ -273,27 +304,12 @@ def fallback_chunks(
     size: int = 1500,
     overlap: int = 100,
 ) -> DataFrame:
-    """Chunks for files without definitions.
-
-    A file that fits becomes one ``module`` chunk with its line range; a larger
-    one becomes ``block`` chunks without line numbers; a blank one none.
-    """
-    content = F.col(text_col)
-    fits = F.length(content) <= size
-    rows = drop_blank(files, text_col).select(
-        id_col,
-        *[c for c in keep if c in files.columns],
-        F.when(fits, F.lit("module")).otherwise(F.lit("block")).alias("symbol_type"),
-        F.when(fits, F.lit(1)).alias("start_line"),
-        F.when(fits, X.line_count(content)).alias("end_line"),
-        F.when(fits, F.array(content))
-        .otherwise(recursive_chunks(content, size, overlap))
-        .alias("_chunks"),
-    )
-    return explode_rows(
-        rows,
-        F.col("_chunks"),
+    """Whole-file or block chunks of every file, as rows."""
+    rows = explode_rows(
+        files,
+        fallback_array(F.col(text_col), size, overlap),
         "chunk_no",
-        "chunk",
-        keep=[c for c in rows.columns if c != "_chunks"],
+        "_c",
+        keep=[id_col, *[c for c in keep if c in files.columns]],
     )
+    return rows.select("*", "_c.*").drop("_c")

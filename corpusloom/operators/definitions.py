@@ -9,6 +9,7 @@ braces or indented blocks are followed.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -16,8 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.functions.exprs import explode_rows
-from corpusloom.operators.chunking import fallback_chunks
+from corpusloom.functions.exprs import explode_rows, let
+from corpusloom.operators.chunking import fallback_array
 
 
 @dataclass(frozen=True)
@@ -191,16 +192,33 @@ def _count(text: Column, char: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
 
 
-def _by_rule(value) -> Column:
-    """CASE over all rules in order; the first whose language and pattern fit."""
+_ALL_RULES = tuple((lang, rule) for lang, rules in RULES.items() for rule in rules)
+
+
+def _rule_number() -> Column:
+    """Number of the first rule whose language and pattern fit a line."""
     line = F.col("code")
     cases = None
-    for language, rules in RULES.items():
-        for rule in rules:
-            test = (F.col("language") == language) & line.rlike(rule.pattern)
-            if rule.body:
-                test = test & F.col("_body")
-            cases = (F.when if cases is None else cases.when)(test, value(rule))
+    for number, (language, rule) in enumerate(_ALL_RULES):
+        test = (F.col("language") == language) & line.rlike(rule.pattern)
+        if rule.body:
+            test = test & F.col("_body")
+        cases = (F.when if cases is None else cases.when)(test, F.lit(number))
+    return cases
+
+
+def _of_rule(value) -> Column:
+    """A fixed property of the rule that fitted."""
+    return F.element_at(F.array(*[F.lit(value(rule)) for _, rule in _ALL_RULES]), F.col("_rule") + 1)
+
+
+def _captured(group: int) -> Column:
+    """A capture group of the rule that fitted, read from the line again."""
+    cases = None
+    for number, (_, rule) in enumerate(_ALL_RULES):
+        hit = F.regexp_extract(F.col("code"), rule.pattern, group)
+        test = F.col("_rule") == number
+        cases = F.when(test, hit) if cases is None else cases.when(test, hit)
     return cases
 
 
@@ -279,21 +297,11 @@ def _lines(files: DataFrame) -> DataFrame:
 def definition_outline(files: DataFrame) -> DataFrame:
     """``(path, language, symbol_name, symbol_type, class_name, start_line,
     end_line, ...)`` of every definition, without its text."""
-    rule = _by_rule(
-        lambda r: F.struct(
-            F.lit(r.symbol_type).alias("symbol_type"),
-            F.lit(r.container).alias("container"),
-            F.lit(r.emit).alias("emit"),
-            F.lit(r.header).alias("header"),
-            F.length(F.regexp_extract(F.col("code"), r.pattern, 1)).alias("rest"),
-            F.nullif(F.regexp_extract(F.col("code"), r.pattern, 2), F.lit("")).alias("name"),
-        )
-    )
-    lines = _lines(files).withColumn("_def", rule)
+    lines = _lines(files).withColumn("_rule", _rule_number())
     level = lambda l, d: F.struct(l.alias("level"), d.alias("is_def"))
     marks = F.concat(
         F.transform("_closed", lambda c: level(c, F.lit(False))),
-        F.when(F.col("_def").isNotNull(), F.array(level(F.col("_level"), F.lit(True)))).otherwise(
+        F.when(F.col("_rule").isNotNull(), F.array(level(F.col("_level"), F.lit(True)))).otherwise(
             F.array().cast("array<struct<level:int,is_def:boolean>>")
         ),
     )
@@ -301,7 +309,7 @@ def definition_outline(files: DataFrame) -> DataFrame:
         lines,
         marks,
         "_mark",
-        keep=["path", "language", "line_no", "code", "_def", "_ends_at", "_oneline", "_last_filled"],
+        keep=["path", "language", "line_no", "code", "_rule", "_ends_at", "_oneline", "_last_filled"],
     )
     # Nearest closing of the same level further down. The order is reversed so
     # that the frame only grows; a line closes levels before it opens its own.
@@ -321,8 +329,12 @@ def definition_outline(files: DataFrame) -> DataFrame:
             F.when(F.col("_oneline"), F.col("line_no"))
             .otherwise(F.coalesce("_closing", "_last_filled"))
             .alias("end_line"),
-            F.col("_def.*"),
-            F.length("code").alias("_width"),
+            _of_rule(lambda r: r.symbol_type).alias("symbol_type"),
+            _of_rule(lambda r: r.container).alias("container"),
+            _of_rule(lambda r: r.emit).alias("emit"),
+            _of_rule(lambda r: r.header).alias("header"),
+            F.nullif(_captured(2), F.lit("")).alias("name"),
+            (F.length("code") - F.length(_captured(1))).alias("_col"),
             F.when(
                 F.col("language") == "go",
                 F.nullif(
@@ -342,24 +354,22 @@ def definition_outline(files: DataFrame) -> DataFrame:
     tops = found.withColumn("_inside", inside).where(
         F.coalesce(F.col("_inside") < F.col("start_line"), F.lit(True))
     )
-    # The innermost container covering a line: containers expand to the lines
-    # they cover, so the pairing is an equi-join, linear in lines.
-    covered = explode_rows(
-        tops.where(F.col("container") & (F.col("end_line") > F.col("start_line"))).select(
-            "path",
-            F.col("start_line").alias("_from"),
-            "name",
-            F.sequence(F.col("start_line") + 1, F.col("end_line")).alias("_span"),
+    # Enclosing containers of a definition: those before it that have not ended.
+    # The frame holds the containers of one file, in order of their start.
+    enclosing = F.try_element_at(
+        F.filter(
+            F.col("_before"), lambda c: c["end_line"] >= F.col("start_line")
         ),
-        F.col("_span"),
-        "start_line",
-        keep=["path", "_from", "name"],
-    )
-    around = covered.groupBy("path", "start_line").agg(
-        F.max_by("name", "_from").alias("_outer"), F.max("_from").alias("_outer_line")
+        F.lit(-1),
     )
-    nested = F.col("_outer_line").isNotNull()
-    return tops.join(around, ["path", "start_line"], "left").select(
+    nested = F.col("_outer").isNotNull()
+    placed = tops.withColumn(
+        "_before",
+        F.collect_list(
+            F.when(F.col("container"), F.struct("start_line", "end_line", "name"))
+        ).over(earlier),
+    ).withColumn("_outer", enclosing)
+    return placed.select(
         "path",
         "language",
         F.col("name").alias("symbol_name"),
@@ -369,86 +379,115 @@ def definition_outline(files: DataFrame) -> DataFrame:
         F.when(
             (F.col("language") == "go") & (F.col("symbol_type") == "method"), F.col("_receiver")
         )
-        .otherwise(F.col("_outer"))
+        .otherwise(F.col("_outer.name"))
         .alias("class_name"),
         "start_line",
         "end_line",
         "container",
         "header",
         "emit",
-        (F.col("_width") - F.col("rest")).alias("_col"),
+        F.col("_col").alias("col"),
     )
 
 
-def _definition_text(content: Column, masked: Column) -> Column:
-    """Cut a definition out of its file.
+def _definition_text(lines: Column, shown_lines: Column, d: Column) -> Column:
+    """Cut one definition out of the lines of its file.
 
-    ``masked`` has the same columns as ``content``, so positions found there,
-    outside strings and comments, hold for the original text.
+    ``shown_lines`` has strings and comments hidden but the same columns, so
+    positions found there hold for the original text.
     """
-    span = F.col("end_line") - F.col("start_line") + 1
-    cut = lambda t: F.substring(
-        F.array_join(F.slice(F.split(t, "\n"), F.col("start_line"), span), "\n"),
-        F.col("_col") + 1,
-        2147483647,
-    )
-    whole, shown = cut(content), cut(masked)
+
+    def cut(rows: Column) -> Column:
+        span = F.slice(rows, d["start_line"], d["end_line"] - d["start_line"] + 1)
+        return F.substring(F.array_join(span, "\n"), d["col"] + F.lit(1), F.lit(2147483647))
+
     indented = F.col("language").isin(*INDENTED)
-    to_brace = F.when(
-        shown.contains("}"), F.length(shown) - F.length(F.substring_index(shown, "}", -1))
-    ).otherwise(F.length(F.rtrim(shown)))
-    full = F.when(indented, F.rtrim(whole)).otherwise(F.substring(whole, F.lit(1), to_brace))
-    head_len = (
-        F.when(F.col("language") == "python", F.length(F.regexp_extract(shown, r"^[\s\S]*?:(?=\s|$)", 0)))
-        .when(F.col("language") == "ruby", F.length(F.substring_index(shown, "\n", 1)))
-        .otherwise(F.length(F.substring_index(shown, "{", 1)))
-    )
-    head = F.regexp_replace(F.substring(whole, F.lit(1), head_len), r"\s+\z", "")
-    return F.when(F.col("container") & F.col("header"), head).otherwise(full)
 
+    def shape(both: Column) -> Column:
+        whole, shown = both["whole"], both["shown"]
+        to_brace = F.when(
+            shown.contains("}"), F.length(shown) - F.length(F.substring_index(shown, "}", -1))
+        ).otherwise(F.length(F.rtrim(shown)))
+        full = F.when(indented, F.rtrim(whole)).otherwise(F.substring(whole, F.lit(1), to_brace))
+        head_len = (
+            F.when(
+                F.col("language") == "python",
+                F.length(F.regexp_extract(shown, r"^[\s\S]*?:(?=\s|$)", 0)),
+            )
+            .when(F.col("language") == "ruby", F.length(F.substring_index(shown, "\n", 1)))
+            .otherwise(F.length(F.substring_index(shown, "{", 1)))
+        )
+        head = F.regexp_replace(F.substring(whole, F.lit(1), head_len), r"\s+\z", "")
+        return F.when(d["container"] & d["header"], head).otherwise(full)
+
+    return let(F.struct(cut(lines).alias("whole"), cut(shown_lines).alias("shown")), shape)
 
-def check_languages(languages) -> None:
+
+def check_languages(languages: Iterable[str]) -> None:
     for language in languages:
         if language not in RULES:
             raise ValueError(f"Unsupported code chunking language: {language}")
 
 
-def definition_chunks(files: DataFrame) -> DataFrame:
-    """One row per emitted definition of ``(path, language, content)`` files."""
-    outline = definition_outline(files).where(F.col("emit"))
-    text = files.select(
-        "path", "content", masked_source(F.col("content"), F.col("language")).alias("_masked")
-    )
-    return outline.join(text, "path").select(
-        F.col("path").alias("source"),
-        "language",
-        "symbol_name",
-        "symbol_type",
-        "class_name",
-        "start_line",
-        "end_line",
-        _definition_text(F.col("content"), F.col("_masked")).alias("content"),
-    )
+_CHUNK_FIELDS = ("symbol_name", "symbol_type", "class_name", "start_line", "end_line")
+
 
+def code_chunks(
+    files: DataFrame, size: int = 1500, overlap: int = 100, fallback: bool = True
+) -> DataFrame:
+    """Chunks of ``(path, language, content)`` files, one row each.
 
-def code_chunks(files: DataFrame, size: int = 1500, overlap: int = 100) -> DataFrame:
-    """Definitions of every file; files without any fall back to whole-file or
-    block chunks, blank files give nothing."""
-    defs = definition_chunks(files)
-    found = defs.select(F.col("source").alias("path")).distinct()
-    rest = fallback_chunks(
-        files.join(found, "path", "left_anti"), keep=("language",), size=size, overlap=overlap
+    A file with definitions gives one chunk per emitted definition. Others
+    fall back to a whole-file or block chunks, blank ones give nothing. The
+    outline is gathered per file (it is already partitioned by path) and
+    joined to the file once, which then cuts all its chunks in place.
+    """
+    known = files.where(F.col("language").isin(*SUPPORTED_LANGUAGES))
+    defs = (
+        definition_outline(known)
+        .where("emit")
+        .groupBy("path")
+        .agg(
+            F.sort_array(
+                F.collect_list(
+                    F.struct("start_line", "col", *_CHUNK_FIELDS[:3], "end_line", "container", "header")
+                )
+            ).alias("_defs")
+        )
+    )
+    joined = known.select(
+        "path", "language", "content", masked_source(F.col("content"), F.col("language")).alias("_m")
+    ).join(defs, "path", "left")
+    made = let(
+        F.struct(F.split("content", "\n").alias("l"), F.split("_m", "\n").alias("m")),
+        lambda t: F.transform(
+            F.col("_defs"),
+            lambda d: F.struct(
+                *[d[f].alias(f) for f in _CHUNK_FIELDS],
+                _definition_text(t["l"], t["m"], d).alias("content"),
+            ),
+        ),
     )
     null = F.lit(None).cast("string")
-    return defs.unionByName(
-        rest.select(
-            F.col("path").alias("source"),
-            "language",
+    rest = F.transform(
+        fallback_array(F.col("content"), size, overlap),
+        lambda c: F.struct(
             null.alias("symbol_name"),
-            "symbol_type",
+            c["symbol_type"].alias("symbol_type"),
             null.alias("class_name"),
-            "start_line",
-            "end_line",
-            F.col("chunk").alias("content"),
-        )
+            c["start_line"].alias("start_line"),
+            c["end_line"].alias("end_line"),
+            c["chunk"].alias("content"),
+        ),
     )
+    chunks = F.when(F.col("_defs").isNotNull(), made)
+    if fallback:
+        chunks = chunks.otherwise(rest)
+    return explode_rows(joined, chunks, "_c", keep=["path", "language"]).select(
+        F.col("path").alias("source"), "language", "_c.*"
+    )
+
+
+def definition_chunks(files: DataFrame) -> DataFrame:
+    """Only the definitions, without the fallback."""
+    return code_chunks(files, fallback=False)

@@ -51,7 +51,7 @@ def vector_topk(
     if metric not in ("l2", "cosine"):
         raise ValueError(f"Unsupported metric: {metric}")
     qs = queries.select(F.col(query_col).alias("query_id"), V.as_doubles(F.col(vector_col)).alias("v"))
-    docs = corpus.where(F.col(vector_col).isNotNull()).select(id_col, vector_col)
+    docs = corpus.select(id_col, vector_col)
     sign = F.lit(-1.0 if metric == "l2" else 1.0)
     out = []
     for block in collect_blocks(qs.where(F.col("v").isNotNull()), "query_id"):
@@ -314,8 +314,7 @@ def search(
         embed(F.col("query")).alias("v"),
     )
     times = (fetch_multiplier or 1) if rerank_enabled else 1
-    docs = index.where(F.col("embedding").isNotNull())
-    vectors = docs.select(id_col, "embedding")
+    vectors = index.select(id_col, "embedding")
     out = []
     for block in collect_blocks(qs, "query_id"):
         most = (pc.max(block.column("final_k")).as_py() or default_k) * times
@@ -327,7 +326,7 @@ def search(
         hits = hits.join(F.broadcast(asked), "query_id").where(
             F.col("rank") <= F.col("final_k") * times
         )
-        found = with_content(hits, docs, id_col, max_hits=block.num_rows * most)
+        found = with_content(hits, index, id_col, max_hits=block.num_rows * most)
         if rerank_enabled:
             found = rerank(found, F.col("final_k"), F.col("final_k") * times, scorer, id_col)
         out.append(found)

@@ -131,9 +131,21 @@ def _half_up(x: np.ndarray) -> np.ndarray:
     return np.sign(x) * np.floor(np.abs(x) * 1e6 + 0.5) / 1e6
 
 
-def _steps(batches: Iterator[pa.RecordBatch], n_queries: int) -> Iterator[pa.RecordBatch]:
+def _steps(
+    batches: Iterator[pa.RecordBatch], methods: Sequence, n_queries: int
+) -> Iterator[pa.RecordBatch]:
+    """Bounded slices of the batches, without rows that lack a vector.
+
+    The check is made here because a null filter in the plan would be pushed
+    below the embedding and compute it a second time.
+    """
     rows = max(1, CELLS_PER_STEP // max(n_queries, 1))
+    vectors = [m.column for m in methods if isinstance(m, DenseMethod)]
     for batch in batches:
+        for column in vectors:
+            at = batch.schema.get_field_index(column)
+            if batch.column(at).null_count:
+                batch = batch.filter(pc.is_valid(batch.column(at)))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
 
@@ -151,7 +163,7 @@ def method_maxima(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = None
-        for step in _steps(batches, n):
+        for step in _steps(batches, methods, n):
             now = np.stack([m.scores(step).max(axis=0) for m in methods])
             best = now if best is None else np.maximum(best, now)
         if best is not None:
@@ -192,7 +204,7 @@ def top_k(
         kept = None
         bar = np.full(n, -np.inf)
         bar_id = np.full(n, np.iinfo(np.int64).max)
-        for step in _steps(batches, n):
+        for step in _steps(batches, methods, n):
             ids = step.column(step.schema.get_field_index(id_col)).to_numpy(zero_copy_only=False)
             parts = [m.scores(step) for m in methods]
             fused = _half_up(fuse(parts))
