@@ -108,7 +108,8 @@ class SparseMethod:
             weights=weights[pair] * self.query_weight[at],
             minlength=len(lists) * self.n_queries,
         )
-        return flat.reshape(len(lists), self.n_queries)
+        # An empty selection would otherwise come back as integers.
+        return flat.astype(np.float64).reshape(len(lists), self.n_queries)
 
 
 def sparse_queries(
@@ -206,6 +207,7 @@ def top_k(
         bar_id = np.full(n, np.iinfo(np.int64).max)
         for step in _steps(batches, methods, n):
             ids = step.column(step.schema.get_field_index(id_col)).to_numpy(zero_copy_only=False)
+            ids = ids.astype(np.int64)
             parts = [m.scores(step) for m in methods]
             fused = _half_up(fuse(parts))
             row, query = np.nonzero(
