@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.functions import vectors as V
-from corpusloom.functions.exprs import explode_rows, index_range, let
+from corpusloom.functions.exprs import explode_rows, index_range, let, run_starts
 
 # Slack for comparing a distance with an interpolated percentile: distances
 # are rounded to nine decimals first, so a real excess is far larger.
@@ -33,26 +33,63 @@ def sentence_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def _group_vectors(parts: Column, dim: int, buffer: int) -> Column:
-    """Vector of every sentence joined with its neighbours.
+def _squared_norm(buckets: Column) -> Column:
+    """Squared length of the count vector of a bucket array: the sum of its
+    squared run lengths once sorted, whatever the number of buckets."""
 
-    Counts add up, so each sentence is hashed once and neighbours are summed.
+    def runs(ordered: Column) -> Column:
+        return let(
+            run_starts(ordered),
+            lambda starts: F.aggregate(
+                F.transform(
+                    starts,
+                    lambda s, j: F.when(
+                        j + 1 < F.size(starts), starts[F.least(j + 1, F.size(starts) - 1)]
+                    ).otherwise(F.size(ordered))
+                    - s,
+                ),
+                F.lit(0).cast("bigint"),
+                lambda acc, n: acc + n.cast("bigint") * n,
+            ),
+        )
+
+    return let(F.sort_array(buckets), runs)
+
+
+def _bag_distances(parts: Column, dim: int, buffer: int) -> Column:
+    """Cosine distance between each hashed sentence group and the next one.
+
+    Sentences are hashed once; a group is the buckets of its sentences. The
+    product of two bags follows from the length of their union, so no dense
+    vector is ever built: |a + b|^2 = |a|^2 + |b|^2 + 2ab.
     """
-    per_sentence = F.transform(parts, lambda s: V.hashed_bag(s, dim))
+    hashed = F.transform(
+        parts,
+        lambda s: F.transform(X.whitespace_tokens(s), lambda t: V.token_bucket(t, dim)),
+    )
 
-    def neighbours(vecs: Column) -> Column:
+    def groups(per_sentence: Column) -> Column:
         def around(i: Column) -> Column:
             lo = F.greatest(i - buffer, F.lit(0))
-            hi = F.least(i + buffer, F.size(vecs) - 1)
-            return F.aggregate(
-                F.slice(vecs, lo + 2, hi - lo),
-                vecs[lo],
-                lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b),
+            bag = F.flatten(
+                F.slice(per_sentence, lo + 1, F.least(i, F.lit(buffer)) + 1 + buffer)
+            )
+            return let(bag, lambda g: F.struct(g.alias("g"), _squared_norm(g).alias("sq")))
+
+        return F.transform(index_range(F.size(per_sentence)), around)
+
+    def between(g: Column) -> Column:
+        def step(i: Column) -> Column:
+            a, b = g[i], g[i + 1]
+            product = (_squared_norm(F.concat(a["g"], b["g"])) - a["sq"] - b["sq"]) / 2
+            size = F.sqrt(a["sq"]) * F.sqrt(b["sq"])
+            return F.round(
+                1 - F.when(size == 0, F.lit(0.0)).otherwise(product / size), 9
             )
 
-        return F.transform(index_range(F.size(vecs)), around)
+        return F.transform(index_range(F.size(g) - 1), step)
 
-    return let(per_sentence, neighbours)
+    return let(let(hashed, groups), between)
 
 
 def _distances(group_vecs: Column) -> Column:
@@ -128,7 +165,7 @@ def semantic_chunks(
         id_col, *[c for c in keep if c in docs.columns], X.sentences(F.col(text_col)).alias("_s")
     )
     if group_embedder is None:
-        vecs = _group_vectors(F.col("_s"), dim, buffer)
+        gaps = _bag_distances(F.col("_s"), dim, buffer)
     else:
         base = base.withColumn(
             "_g",
@@ -146,8 +183,8 @@ def semantic_chunks(
                 )
             ),
         )
-        vecs = F.col("_g")
-    starts = base.withColumn("_b", _starts_after_breaks(_distances(vecs), percentile))
+        gaps = _distances(F.col("_g"))
+    starts = base.withColumn("_b", _starts_after_breaks(gaps, percentile))
     parts, b = F.col("_s"), F.col("_b")
     chunk = F.transform(
         b,

@@ -7,13 +7,17 @@ text, and a term present in every document costs one row per task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.functions import text as X
 from corpusloom.functions.exprs import explode_rows
+from corpusloom.operators.scoring import term_pairs
 
 # Defaults of the Okapi BM25 variant.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -98,13 +102,48 @@ def tfidf_weights(
 ) -> DataFrame:
     """``(id, term, weight)``: tf * idf, scaled to unit length per document."""
     grams = X.word_ngrams(F.col(text_col), ngram_range, stop_words)
-    vocab = vocabulary.select("term", "idf")
     if max_features is not None and max_features <= BROADCAST_TERMS:
-        vocab = F.broadcast(vocab)
+        return _weights_in_place(corpus.select(id_col, grams.alias("grams")), id_col, vocabulary)
     raw = (
         postings(corpus, id_col, grams)
-        .join(vocab, "term")
+        .join(vocabulary.select("term", "idf"), "term")
         .withColumn("w", F.col("tf") * F.col("idf"))
     )
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
     return raw.select(id_col, "term", (F.col("w") / length).alias("weight"))
+
+
+def _weights_in_place(docs: DataFrame, id_col: str, vocabulary: DataFrame) -> DataFrame:
+    """Weights of ``(id, grams)`` rows without any shuffle.
+
+    The vocabulary is bounded by its feature limit, so it travels to the
+    tasks, and a document's weights and length come from its own row. An
+    unbounded vocabulary is joined on the term instead.
+    """
+    vocab = vocabulary.select("term", "idf").toArrow()
+    terms = vocab.column("term").combine_chunks()
+    idf = vocab.column("idf").to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(batch.schema.get_field_index("grams"))
+            row, term, count, lengths = term_pairs(lists, terms)
+            w = count * idf[term]
+            norm = np.sqrt(np.bincount(row, w * w, minlength=len(lengths)))
+            ids = batch.column(batch.schema.get_field_index(id_col))
+            yield pa.RecordBatch.from_pydict(
+                {
+                    id_col: ids.take(pa.array(row)),
+                    "term": terms.take(pa.array(term)),
+                    "weight": pa.array(w / norm[row], pa.float64()),
+                }
+            )
+
+    schema = T.StructType(
+        [
+            docs.schema[id_col],
+            T.StructField("term", T.StringType()),
+            T.StructField("weight", T.DoubleType()),
+        ]
+    )
+    return docs.mapInArrow(run, schema)

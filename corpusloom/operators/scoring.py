@@ -68,6 +68,21 @@ class DenseMethod:
         return np.divide(dots, size, out=np.zeros_like(dots), where=size > 0)
 
 
+def term_pairs(
+    lists: pa.Array, terms: pa.Array
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Known terms of token lists: (row, term number, count) per distinct pair,
+    ordered by row and term, and the length of every list."""
+    found = pc.index_in(pc.list_flatten(lists), value_set=terms)
+    known = found.is_valid().to_numpy(zero_copy_only=False)
+    row_of = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)[known].astype(np.int64)
+    term_of = found.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+    width = max(len(terms), 1)
+    pairs, counts = np.unique(row_of * width + term_of, return_counts=True)
+    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    return pairs // width, pairs % width, counts.astype(np.float64), lengths
+
+
 @dataclass(frozen=True)
 class SparseMethod:
     """Weighted term overlap: documents carry token lists, queries weights.
@@ -88,19 +103,11 @@ class SparseMethod:
 
     def scores(self, batch: pa.RecordBatch) -> np.ndarray:
         lists = batch.column(batch.schema.get_field_index(self.column))
-        found = pc.index_in(pc.list_flatten(lists), value_set=self.terms)
-        row_of = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
-        known = found.is_valid().to_numpy(zero_copy_only=False)
-        term_of = found.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
-        pairs, counts = np.unique(
-            row_of[known].astype(np.int64) * len(self.terms) + term_of, return_counts=True
-        )
-        rows, terms = pairs // len(self.terms), pairs % len(self.terms)
-        lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-        weights = self.weigh(rows, terms, counts.astype(np.float64), lengths)
+        rows, terms, counts, lengths = term_pairs(lists, self.terms)
+        weights = self.weigh(rows, terms, counts, lengths)
         # Expand every pair to the queries that contain the term, then add up.
         fan = self.start[terms + 1] - self.start[terms]
-        pair = np.repeat(np.arange(len(pairs)), fan)
+        pair = np.repeat(np.arange(len(rows)), fan)
         offset = np.arange(len(pair)) - np.repeat(np.cumsum(fan) - fan, fan)
         at = self.start[terms[pair]] + offset
         flat = np.bincount(
@@ -118,14 +125,10 @@ def sparse_queries(
     """Query token lists regrouped by term: (start, query_no, count)."""
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.combine_chunks()
-    found = pc.index_in(pc.list_flatten(lists), value_set=terms)
-    known = found.is_valid().to_numpy(zero_copy_only=False)
-    query_of = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)[known]
-    term_of = found.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
-    pairs, counts = np.unique(term_of * max(len(lists), 1) + query_of, return_counts=True)
-    term, query = pairs // max(len(lists), 1), pairs % max(len(lists), 1)
-    start = np.searchsorted(term, np.arange(len(terms) + 1))
-    return start, query.astype(np.int64), counts.astype(np.float64)
+    query, term, count, _ = term_pairs(lists, terms)
+    order = np.argsort(term, kind="stable")
+    start = np.searchsorted(term[order], np.arange(len(terms) + 1))
+    return start, query[order], count[order]
 
 
 def _half_up(x: np.ndarray) -> np.ndarray:
