@@ -132,7 +132,8 @@ def sparse_queries(
 
 
 def _half_up(x: np.ndarray) -> np.ndarray:
-    return np.sign(x) * np.floor(np.abs(x) * 1e6 + 0.5) / 1e6
+    # Adding zero turns a negative zero into a plain one.
+    return np.sign(x) * np.floor(np.abs(x) * 1e6 + 0.5) / 1e6 + 0.0
 
 
 def _steps(

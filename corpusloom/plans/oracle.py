@@ -131,7 +131,7 @@ def ranked(scores: str, key: str = "doc_id", order: str = "DESC", extra: str = "
     """Top k per query of ``(query_id, key, score)`` rows."""
     return (
         f"SELECT query_id, rank, {key}, score{extra} FROM (SELECT *, row_number() OVER "
-        f"(PARTITION BY query_id ORDER BY score {order}, {key}) AS rank FROM ({scores})) "
+        f"(PARTITION BY query_id ORDER BY score {order}, {key})::INT AS rank FROM ({scores})) "
         f"WHERE rank <= {k}"
     )
 
@@ -160,7 +160,7 @@ def vector_topk(expr: str, order: str) -> str:
         _ctes(*LABEL_MEANS)
         + "\n"
         + ranked(
-            f"SELECT query_id, vec_id, round({expr}, 6) AS score FROM q, e", "vec_id", order
+            f"SELECT query_id, vec_id, round({expr}, 6) + 0.0 AS score FROM q, e", "vec_id", order
         )
     )
 
@@ -365,6 +365,84 @@ TOPIC_TOKENS = (
     "lambda w: length(w) > 3 AND regexp_full_match(w, '\\p{L}+'))"
 )
 
+# --- recursive split ------------------------------------------------------
+
+
+def _cut(name: str, source: str, keys: str, sep: str, size: int) -> list[str]:
+    """Pieces of the texts ``t`` of ``source``, cut at ``sep``; a piece is fresh
+    when it is the first or follows one that is too long."""
+    pos = f"{name}_i"
+    split = "string_split(t, '')" if sep == "" else f"string_split(t, {sep})"
+    glue = "p" if sep == "" else f"CASE WHEN {pos} = 1 THEN p ELSE {sep} || p END"
+    return [
+        f"{name}_a AS (SELECT {keys}, generate_subscripts(l, 1) AS {pos}, unnest(l) AS p "
+        f"FROM (SELECT {keys}, {split} AS l FROM {source}))",
+        f"{name}_b AS (SELECT * FROM (SELECT {keys}, {pos}, {glue} AS t FROM {name}_a) "
+        "WHERE length(t) > 0)",
+        f"{name} AS (SELECT *, coalesce(lag(length(t)) OVER (PARTITION BY {keys} ORDER BY {pos}) "
+        f">= {size}, true) AS fresh FROM {name}_b)",
+    ]
+
+
+def recursive_split(size: int, overlap: int) -> str:
+    keys = ["doc_id", "a_i", "b_i", "c_i", "d_i"]
+    seps = ["E'\\n\\n'", "E'\\n'", "' '", ""]
+    ctes = [f"src AS (SELECT doc_id, text AS t FROM documents WHERE length(text) > {size} "
+            f"AND regexp_matches(text, '{WHITESPACE.replace('[', '[^', 1)}'))"]
+    source, done = "src", []
+    for level, sep in enumerate(seps):
+        name = "abcd"[level]
+        ctes += _cut(name, source, ", ".join(keys[: level + 1]), sep, size)
+        filled = ", ".join(
+            k if j <= level + 1 else f"0 AS {k}" for j, k in enumerate(keys)
+        )
+        done.append(f"SELECT {filled}, length(t) AS len, fresh FROM {name} WHERE length(t) < {size}")
+        ctes.append(f"{name}_long AS (SELECT * FROM {name} WHERE length(t) >= {size})")
+        source = f"{name}_long"
+    state = (
+        "{'done': []::STRUCT(s INT, e INT)[], 'open': []::INT[], 'end': 0::INT, "
+        "'len': {len}::INT, 'fresh': {fresh}}"
+    )
+    ctes.append("pieces AS (" + " UNION ALL ".join(done) + ")")
+    ctes.append(
+        "lists AS (SELECT doc_id, list("
+        + state.replace("{len}", "len").replace("{fresh}", "fresh")
+        + " ORDER BY a_i, b_i, c_i, d_i) AS l FROM pieces GROUP BY doc_id)"
+    )
+    full = (
+        f"(len(a.open) > 0 AND (x.fresh OR a.end + x.len - a.open[1] > {size}))"
+    )
+    carried = (
+        "CASE WHEN x.fresh THEN []::INT[] ELSE list_filter(a.open, lambda s: "
+        f"a.end - s <= {overlap} AND a.end + x.len - s <= {size}) END"
+    )
+    closed = "list_append(a.done, {'s': a.open[1], 'e': a.end})"
+    ctes.append(
+        "folded AS (SELECT doc_id, list_reduce(l, lambda a, x: {"
+        f"'done': CASE WHEN {full} THEN {closed} ELSE a.done END, "
+        f"'open': list_append(CASE WHEN {full} THEN {carried} ELSE a.open END, a.end), "
+        "'end': a.end + x.len, 'len': 0::INT, 'fresh': false}, "
+        + state.replace("{len}", "0").replace("{fresh}", "false")
+        + ") AS r FROM lists)"
+    )
+    ctes.append(
+        "spans AS (SELECT doc_id, list_append(r.done, {'s': r.open[1], 'e': r.end}) AS l FROM folded)"
+    )
+    ctes.append(
+        "texts AS (SELECT f.doc_id, list_filter(list_transform(f.l, lambda z: regexp_replace("
+        f"substring(d.text, z.s + 1, z.e - z.s), '^{WHITESPACE}+|{WHITESPACE}+$', '', 'g')), "
+        "lambda c: length(c) > 0) AS l FROM spans f JOIN documents d USING (doc_id))"
+    )
+    return (
+        _ctes(*ctes)
+        + "\nSELECT doc_id, (generate_subscripts(l, 1) - 1)::INT AS chunk_no, 'block' AS symbol_type, "
+        "NULL::INT AS start_line, NULL::INT AS end_line, unnest(l) AS chunk FROM texts UNION ALL "
+        "SELECT doc_id, 0, 'module', 1, (length(text) - length(replace(text, E'\\n', '')) + 1)::INT, text "
+        f"FROM documents WHERE length(text) <= {size} "
+        f"AND regexp_matches(text, '{WHITESPACE.replace('[', '[^', 1)}')"
+    )
+
+
 ORACLE: dict[str, str] = {
     "bm25_stats": _ctes(*BM25_STATS) + "\nSELECT term, df, cf, round(idf, 6) AS idf FROM idf",
     "bm25_topk": lexical_topk(BM25_SCORES, "bm"),
@@ -379,7 +457,7 @@ ORACLE: dict[str, str] = {
     "hashed_embeddings": _ctes(*DOC_BAGS)
     + "\nSELECT doc_id, array_to_string(list_transform(v, lambda x: x::INT), ',') AS counts FROM db",
     "l2_normalised": "SELECT vec_id, (generate_subscripts(v, 1) - 1)::INT AS pos, "
-    "round(unnest(v) / sqrt(list_dot_product(v, v)), 6) AS x "
+    "round(unnest(v) / sqrt(list_dot_product(v, v)), 6) + 0.0 AS x "
     "FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)",
     "vector_l2_topk": vector_topk(
         "list_sum(list_transform(list_zip(q.v, e.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))",
@@ -489,4 +567,7 @@ ORACLE: dict[str, str] = {
     )
     + "\nSELECT term, count(*) AS df FROM t GROUP BY term HAVING count(*) >= 2 "
     "AND count(*) <= 0.8 * (SELECT count(*) FROM documents)",
+    "recursive_split": recursive_split(500, 50),
+    "doc_topics": "SELECT doc_id, least(20, (SELECT count(*) FROM documents) // 5)::INT AS topics, "
+    "1.0::DOUBLE AS total FROM documents",
 }

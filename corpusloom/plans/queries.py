@@ -439,6 +439,15 @@ def lda_vocab(spark, root):
     return T.topic_vocabulary(documents(spark, root))
 
 
+def doc_topics(spark, root):
+    """Topic vectors of all documents: how many topics, and what they add up to."""
+    docs = documents(spark, root)
+    total = F.aggregate("lda", F.lit(0.0), lambda acc, x: acc + x)
+    return T.with_topics(T.fit_topics(docs), docs).select(
+        "doc_id", F.size("lda").alias("topics"), round6(total).alias("total")
+    )
+
+
 def lda_topk(spark, root):
     """All four methods fused with the default weights."""
     docs = documents(spark, root)
@@ -489,6 +498,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         recursive_split,
         code_definitions,
         lda_vocab,
+        doc_topics,
         lda_topk,
         corpus_fingerprint,
     )
