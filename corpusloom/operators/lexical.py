@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,6 +71,57 @@ def bm25_stats(
     )
 
 
+class Bm25Corpus:
+    """BM25 numbers of a corpus for looking up the terms of query blocks.
+
+    The term table is computed once and kept on executor disks while it is
+    looked up: a lookup pushed below its aggregation would read the corpus
+    again for every block. Use as a context manager.
+    """
+
+    def __init__(self, corpus: DataFrame, id_col: str, text_col: str, epsilon: float = EPSILON):
+        self.terms = term_table(
+            corpus, id_col, X.whitespace_tokens(F.col(text_col))
+        ).persist(StorageLevel.DISK_ONLY)
+        n_docs = corpus.count()
+        self.raw = self.terms.withColumn(
+            "idf", F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+        )
+        whole = self.raw.agg(F.avg("idf"), F.sum("cf")).first()
+        self.floor = epsilon * (whole[0] or 0.0)
+        self.avgdl = (whole[1] or 0) / max(n_docs, 1) or 1.0
+
+    def __enter__(self) -> "Bm25Corpus":
+        return self
+
+    def __exit__(self, *_problem) -> None:
+        self.terms.unpersist()
+
+    def lookup(self, wanted: DataFrame) -> tuple[pa.Array, np.ndarray, float]:
+        """(terms, idf, average length) for the terms of one query block."""
+        rows = self.raw.join(wanted, "term", "left_semi").select("term", "idf").toArrow()
+        idf = rows.column("idf").to_numpy()
+        return rows.column("term").combine_chunks(), np.where(idf < 0, self.floor, idf), self.avgdl
+
+
+class StoredBm25Stats:
+    """The same lookups on a stored ``bm25_stats`` table."""
+
+    def __init__(self, stats: DataFrame):
+        self.stats = stats
+
+    def __enter__(self) -> "StoredBm25Stats":
+        return self
+
+    def __exit__(self, *_problem) -> None:
+        pass
+
+    def lookup(self, wanted: DataFrame) -> tuple[pa.Array, np.ndarray, float]:
+        rows = self.stats.join(wanted, "term", "left_semi").select("term", "idf", "avgdl").toArrow()
+        avgdl = rows.column("avgdl")[0].as_py() if rows.num_rows else 1.0
+        return rows.column("term").combine_chunks(), rows.column("idf").to_numpy(), avgdl
+
+
 def tfidf_vocabulary(
     corpus: DataFrame,
     id_col: str = "doc_id",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from contextlib import nullcontext
 
 import numpy as np
 import pyarrow as pa
@@ -73,13 +74,12 @@ def _ids(block: pa.Table) -> pa.Array:
 # --- lexical -------------------------------------------------------------
 
 
-def _bm25_method(block: pa.Table, stats: DataFrame, queries: DataFrame) -> SparseMethod:
+def _bm25_method(block: pa.Table, numbers, queries: DataFrame) -> SparseMethod:
     """BM25 for one query block; only the query terms' numbers are fetched."""
-    wanted = queries.select(F.explode("tokens").alias("term")).distinct()
-    rows = stats.join(wanted, "term", "left_semi").select("term", "idf", "avgdl").toArrow()
-    terms = rows.column("term").combine_chunks()
-    idf = rows.column("idf").to_numpy()
-    avgdl = rows.column("avgdl")[0].as_py() if rows.num_rows else 1.0
+    wanted = queries.sparkSession.createDataFrame(
+        pa.table({"term": pc.unique(pc.list_flatten(block.column("tokens"))).cast(pa.string())})
+    )
+    terms, idf, avgdl = numbers.lookup(wanted)
     start, query_no, weight = sparse_queries(block.column("tokens"), terms)
 
     def weigh(row, term, count, length):
@@ -193,39 +193,41 @@ def hybrid_topk(
 
     docs = features(corpus, id_col, text_col)
     qs = features(queries, "query_id", "query")
-    if "bm25" in used and bm25_stats is None:
-        bm25_stats = L.bm25_stats(corpus, id_col, text_col)
     vocab = None
     if "tfidf" in used:
         if vocabulary is None:
             vocabulary = L.tfidf_vocabulary(corpus, id_col, text_col)
         vocab = vocabulary.select("term", "idf").toArrow()
 
-    out = []
-    for block in collect_blocks(qs, "query_id"):
+    if "bm25" not in used:
+        numbers = nullcontext()
+    elif bm25_stats is None:
+        numbers = L.Bm25Corpus(corpus, id_col, text_col)
+    else:
+        numbers = L.StoredBm25Stats(bm25_stats)
+    share = [weights[m] for m in used]
+
+    def hits_of(block: pa.Table) -> DataFrame:
         ids = _ids(block)
-        methods = []
-        for m in used:
-            if m == "vector":
-                methods.append(DenseMethod(m, "vec", list_matrix(block.column("vec"))))
-            elif m == "tfidf":
-                methods.append(_tfidf_method(block, vocab))
-            elif m == "lda":
-                methods.append(DenseMethod(m, "lda", list_matrix(block.column("lda"))))
-            else:
-                methods.append(_bm25_method(block, bm25_stats, qs))
-        share = [weights[m] for m in used]
+        make = {
+            "vector": lambda: DenseMethod("vector", "vec", list_matrix(block.column("vec"))),
+            "tfidf": lambda: _tfidf_method(block, vocab),
+            "lda": lambda: DenseMethod("lda", "lda", list_matrix(block.column("lda"))),
+            "bm25": lambda: _bm25_method(block, numbers, queries),
+        }
+        methods = [make[m]() for m in used]
+        scale = [1.0] * len(used)
         if normalise:
             best = method_maxima(docs, methods, ids)
             scale = [np.where(best[m] > 0, best[m], 1.0) for m in used]
-        else:
-            scale = [1.0] * len(used)
 
-        def combine(parts, share=share, scale=scale):
+        def combine(parts):
             return sum(w * (p / s) for w, p, s in zip(share, parts, scale))
 
-        out.append(top_k(docs, id_col, methods, ids, qs.schema["query_id"], k, combine))
-    return union_all(out)
+        return top_k(docs, id_col, methods, ids, qs.schema["query_id"], k, combine)
+
+    with numbers:
+        return union_all([hits_of(block) for block in collect_blocks(qs, "query_id")])
 
 
 # --- rerank and two-stage search ----------------------------------------
