@@ -19,10 +19,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.sources.tables import plan_bytes
+
 # Queries shipped to the tasks at once.
 QUERY_BLOCK = 1_000
 # Bounds the score matrix of one step: corpus rows x queries x methods.
 CELLS_PER_STEP = 2_000_000
+# Past this many tasks (at the usual split size) top hits merge in two levels.
+MERGE_TASKS = 1_000
+SPLIT_BYTES = 128 * 1024 * 1024
 
 
 def collect_blocks(queries: DataFrame, id_col: str, block: int = QUERY_BLOCK) -> Iterator[pa.Table]:
@@ -245,15 +250,21 @@ def top_k(
             *[T.StructField(c, T.DoubleType()) for c in names],
         ]
     )
+    hits = corpus.mapInArrow(run, schema)
+    tasks = plan_bytes(corpus) // SPLIT_BYTES
+    if tasks > MERGE_TASKS:
+        # Merge groups of tasks first, or one query's hits of very many tasks
+        # would meet in a single one.
+        salted = hits.withColumn("_salt", F.spark_partition_id() % int(tasks**0.5 + 1))
+        hits = _best(salted, k, id_col, "query_id", "_salt")
+    return _best(hits, k, id_col, "query_id").select("query_id", "rank", id_col, "score", *names)
+
+
+def _best(hits: DataFrame, k: int, id_col: str, *keys: str) -> DataFrame:
     place = F.row_number().over(
-        Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col))
-    )
-    return (
-        corpus.mapInArrow(run, schema)
-        .withColumn("rank", place)
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", id_col, "score", *names)
+        Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc(id_col))
     )
+    return hits.withColumn("rank", place).where(F.col("rank") <= k)
 
 
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:

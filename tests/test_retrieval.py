@@ -70,6 +70,13 @@ def test_blocks_give_the_same_hits(spark, queries, docs, monkeypatch):
     assert {tuple(r) for r in R.bm25_topk(queries, docs, k=3).collect()} == whole
 
 
+def test_two_level_merge_gives_the_same_hits(queries, docs, monkeypatch):
+    spread = docs.repartition(6)
+    whole = {tuple(r) for r in R.bm25_topk(queries, spread, k=2).collect()}
+    monkeypatch.setattr(scoring, "MERGE_TASKS", -1)
+    assert {tuple(r) for r in R.bm25_topk(queries, spread, k=2).collect()} == whole
+
+
 def test_small_steps_give_the_same_hits(queries, docs):
     # Two rows per step: the running best has to survive many merges.
     whole = {tuple(r) for r in R.tfidf_topk(queries, docs, k=2).collect()}
