@@ -235,9 +235,10 @@ def file_events(spark: SparkSession, root: str) -> DataFrame:
     op = F.element_at(F.array(*[F.lit(o) for o in OPS]), (F.col("event_id") % 7 + 1).cast("int"))
     return (
         table(spark, root, "events")
+        .withColumnRenamed("event_type", "kind")
         .withColumn("event_type", M.event_type(op))
         .where(F.col("event_type").isNotNull())
-        .select("event_id", "ts", "user_id", F.col("event_type"), F.col("event_id").alias("seq"))
+        .select("event_id", "ts", "user_id", "kind", "event_type", F.col("event_id").alias("seq"))
     )
 
 
@@ -274,11 +275,15 @@ def delete_by_source(spark, root):
 
 
 def debounce_last_event(spark, root):
-    events = file_events(spark, root).join(
-        table(spark, root, "events").select("event_id", F.col("event_type").alias("path")), "event_id"
+    events = file_events(spark, root).select(
+        F.concat(F.lit("u"), "user_id").alias("root"),
+        F.col("kind").alias("path"),
+        "event_type",
+        "ts",
+        "seq",
     )
     out = debounce(
-        events.withColumn("root", F.concat(F.lit("u"), "user_id")),
+        events,
         gap_seconds=3600,
         slice_seconds=86_400,
     )
