@@ -283,7 +283,10 @@ def with_content(
     hits are broadcast and the index is scanned in place, not shuffled.
     """
     small = max_hits is not None and max_hits <= L.BROADCAST_TERMS
-    return index.select(id_col, *columns).join(F.broadcast(hits) if small else hits, id_col)
+    found = index.select(id_col, *columns).join(F.broadcast(hits) if small else hits, id_col)
+    # An append-only index may hold the same chunk twice; each place in the
+    # ranking still gives one row.
+    return found.dropDuplicates(["query_id", "rank"])
 
 
 def search(

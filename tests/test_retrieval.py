@@ -6,11 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import answers as A
+from corpusloom.operators import chunking as C
 from corpusloom.operators import embedding as E
 from corpusloom.operators import lexical as L
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import scoring
 from corpusloom.operators import topics as T
+from corpusloom.sources.index_store import IndexStore
 
 DOCS = [
     (1, "cats purr and cats nap in the sun", "a"),
@@ -162,6 +164,30 @@ def test_search_shapes_and_k(spark, index):
     assert top.chunk_id == 1 and top.score == 1.0
 
 
+def test_duplicate_chunks_do_not_multiply(spark, index):
+    q = spark.createDataFrame([(1, "cats nap")], "query_id int, query string")
+    rows = R.search(q, index.unionByName(index), top_k=4, embedder=E.hashed_embedder(64)).collect()
+    assert sorted(r["rank"] for r in rows) == [1, 2, 3, 4]
+    assert len({r.chunk_id for r in rows}) == 2
+
+
+def test_documents_to_answers(spark, tmp_path):
+    """Chunk, embed, store, load and search, with the defaults throughout."""
+    docs = spark.createDataFrame(
+        [(1, "Cats purr. Cats nap in the sun.", "cats.txt"), (2, "Rockets burn fuel. Rockets fly.", "rockets.txt")],
+        "doc_id bigint, text string, source string",
+    )
+    chunks = C.semantic_chunks(docs).selectExpr("xxhash64(doc_id, chunk_no) AS chunk_id", "*")
+    store = IndexStore(spark, str(tmp_path / "index"))
+    store.append(E.embed(chunks))
+    q = spark.createDataFrame([(7, "Rockets fly. Why?")], "query_id int, query string")
+    hits = R.search(q, store.load(), top_k=1, rerank_enabled=True)
+    row = hits.first()
+    assert row.source == "rockets.txt" and row.score_kind == "relevance"
+    prompt = A.prompts(q, hits).first().prompt
+    assert "source:rockets.txt" in prompt and prompt.endswith("Question: Rockets fly. Why?\n\nHelpful Answer:")
+
+
 def test_model_embedder_and_providers(spark, docs):
     made = E.create_embedder("model", load=lambda: lambda texts: [[float(len(t)), 1.0] for t in texts])
     rows = E.embed(docs, "text", "v", made).collect()
