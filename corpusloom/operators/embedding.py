@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from typing import Union
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,11 +11,9 @@ from pyspark.sql import types as T
 
 from corpusloom.functions import vectors
 
-# An embedder is the number of hash buckets (built-in) or a function from a
-# list of texts to a list of equally long vectors. A zero-argument loader may
-# be given instead of the function through ``model_embedder``.
+# A model: from a list of texts to a list of equally long vectors. An embedder
+# maps a text column to a vector column.
 Encode = Callable[[list[str]], list[list[float]]]
-Embedder = Union[int, Callable[[Column], Column]]
 
 
 def hashed_embedder(dim: int = vectors.DEFAULT_DIM) -> Callable[[Column], Column]:

@@ -30,13 +30,6 @@ def words(text: str) -> str:
     )
 
 
-def grams(text: str) -> str:
-    return (
-        f"list_concat({words(text)}, list_transform(range(1, greatest(len({words(text)}), 1)), "
-        f"lambda i: ({words(text)})[i] || ' ' || ({words(text)})[i + 1]))"
-    )
-
-
 def grams_cte(name: str, source: str, key: str, text: str) -> list[str]:
     """Token lists first, so each list is built once."""
     return [
@@ -47,14 +40,6 @@ def grams_cte(name: str, source: str, key: str, text: str) -> list[str]:
     ]
 
 
-def hashed(text: str, dim: int = DIM) -> str:
-    bucket = f"(('0x' || substr(md5(t), 1, 6))::INT % {dim})"
-    return (
-        f"list_transform(range(0, {dim}), lambda b: len(list_filter(list_transform("
-        f"{tokens(text)}, lambda t: {bucket}), lambda z: z = b))::DOUBLE)"
-    )
-
-
 def bag_cte(name: str, source: str, key: str, text: str, dim: int = DIM) -> list[str]:
     """Hashed bag of words as one double list per row, from grouped counts."""
     return [

@@ -207,3 +207,16 @@ def test_stream_equals_batch_and_feeds_index(spark, tmp_path):
     query.awaitTermination(120)
     assert set(seen) == WANT and len(seen) == len(WANT)
     assert live(store) == [("a", "new a"), ("b", "new b"), ("c", "new c"), ("keep", "k"), ("x", "new x")]
+
+
+def test_ticks_come_at_a_period(spark, tmp_path):
+    ticks = []
+    query = SA.every(spark, 1, ticks.append, str(tmp_path / "cp"))
+    try:
+        for _ in range(60):
+            if len(ticks) >= 2:
+                break
+            query.awaitTermination(1)
+    finally:
+        query.stop()
+    assert ticks[:2] == [0, 1]
