@@ -107,7 +107,7 @@ def archive(
 
 
 def _field(name: str) -> Column:
-    return F.regexp_extract(F.decode("header", "UTF-8"), f"(?m)^{name}: (.*?)\r$", 1)
+    return F.regexp_extract(F.decode("header", "UTF-8"), f"(?m)^{name}: (.*)$", 1)
 
 
 def verified_payloads(spark: SparkSession, path: str) -> DataFrame:
