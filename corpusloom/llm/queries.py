@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import exact_dedup, token_counts, warc
+from corpusloom.llm import exact_dedup, html_text, secret_scan, token_counts, warc
 from corpusloom.llm.store import shared_dir
 from corpusloom.sources.tables import table
 
@@ -23,6 +23,31 @@ def op4_token_counts(spark, root):
     ).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op5_secret_scan(spark, root):
+    found = secret_scan.scan_secrets(table(spark, root, "documents"))
+    base = [r.kind for r in secret_scan.BASE_RULES]
+
+    def joined(spans):
+        parts = F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"]))
+        return F.array_join(parts, ",")
+
+    basic = F.filter("spans", lambda x: x["kind"].isin(base))
+    counts = [
+        F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("bigint").alias(f"n_{k}")
+        for k in base
+    ]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(joined(basic), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
+def op6_html_text(spark, root):
+    return html_text.extract_text(table(spark, root, "pages"))
+
+
 def op8_warc(spark, root):
     path = shared_dir(spark)
     warc.archive(table(spark, root, "pages"), path)
@@ -37,5 +62,5 @@ def op9_exact_dedup(spark, root):
 
 QUERIES = {
     f.__name__: f
-    for f in (op4_token_counts, op8_warc, op9_exact_dedup)
+    for f in (op4_token_counts, op5_secret_scan, op6_html_text, op8_warc, op9_exact_dedup)
 }
