@@ -25,8 +25,16 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.store import shared_dir, written
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_STATE = "spark.sql.streaming.stateStore"
+STATE_SETTINGS = {
+    f"{_STATE}.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    # Each partition of the state would set aside megabytes before it holds a row.
+    f"{_STATE}.rocksdb.allowFAllocate": "false",
+    # A batch uploads what it changed, not the whole store.
+    f"{_STATE}.rocksdb.changelogCheckpointing.enabled": "true",
+}
 # Input of one micro-batch: each commits all of the state's partitions once.
 BATCH_BYTES = 4 * 1024**3
 
@@ -41,12 +49,14 @@ def sha256(text: Column) -> Column:
 
 @contextmanager
 def rocksdb_state(spark):
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE_SETTINGS}
+    for k, v in STATE_SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def _best() -> Column:
