@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import exact_dedup, html_text, secret_scan, token_counts, warc
+from corpusloom.llm import exact_dedup, html_text, mixing, secret_scan, token_counts, warc
 from corpusloom.llm.store import shared_dir
 from corpusloom.sources.tables import table
 
 TOKENIZER = "piece_bpe_32k.model"
 
 
+def op1_mixing(spark, root):
+    return mixing.mix(table(spark, root, "documents"))
+
+
 def op4_token_counts(spark, root):
     import public_tokenizers
 
@@ -62,5 +66,5 @@ def op9_exact_dedup(spark, root):
 
 QUERIES = {
     f.__name__: f
-    for f in (op4_token_counts, op5_secret_scan, op6_html_text, op8_warc, op9_exact_dedup)
+    for f in (op1_mixing, op4_token_counts, op5_secret_scan, op6_html_text, op8_warc, op9_exact_dedup)
 }
