@@ -119,7 +119,9 @@ def token_counts(
     ).select("content_sha256", "text")
     distinct.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
 
-    return keyed.join(known(), "content_sha256").select(
+    # As a table of its own, so that a digest with very many copies can be split.
+    counts = written(known(), f"{work_path}/counts")
+    return keyed.join(counts, "content_sha256").select(
         "doc_id",
         "n_bytes",
         "n_tokens",
