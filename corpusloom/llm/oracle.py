@@ -26,4 +26,33 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM p JOIN f USING (payload_digest)
 """
 
-ORACLE = {"op8_warc": _OP8, "op9_exact_dedup": _OP9}
+# Every pair of equal words on one diagonal, without any seeds.
+_OP2 = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')),
+                  '[^\p{L}\p{N}\s]+', '', 'g'), '\s+'), lambda w: w <> '') AS words FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')),
+             '[^\p{L}\p{N}\s]+', '', 'g'), '\s+'), lambda w: w <> '') AS words FROM benchmark),
+dw AS (SELECT doc_id, len(words) AS n_doc, unnest(words) AS w, generate_subscripts(words, 1) - 1 AS pos
+       FROM d),
+bw AS (SELECT item_id, len(words) AS n, unnest(words) AS w, generate_subscripts(words, 1) - 1 AS p FROM b),
+pairs AS (SELECT doc_id, item_id, n, p, pos - p AS start, n_doc FROM dw JOIN bw USING (w)),
+many AS (SELECT doc_id, item_id, start FROM pairs GROUP BY ALL
+         HAVING count(*) >= ceil(0.8 * least(16, any_value(n)))),
+laid AS (SELECT doc_id, item_id, start, n,
+                count(*) OVER (PARTITION BY doc_id, item_id, start ORDER BY p
+                               RANGE BETWEEN CURRENT ROW AND 15 FOLLOWING) AS best,
+                count(*) OVER (PARTITION BY doc_id, item_id, start) AS matched
+         FROM pairs SEMI JOIN many USING (doc_id, item_id, start)
+         WHERE least(n, n_doc - start) - greatest(0, -start) >= least(16, n)),
+good AS (SELECT doc_id, item_id, start, any_value(n) AS item_words, max(best) AS best,
+                any_value(matched) AS matched
+         FROM laid GROUP BY ALL HAVING max(best) >= ceil(0.8 * least(16, any_value(n))))
+SELECT doc_id, item_id, start, best, matched, item_words FROM good
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY best DESC, start) = 1
+"""
+
+ORACLE = {
+    "op2_decontaminate": _OP2,
+    "op8_warc": _OP8,
+    "op9_exact_dedup": _OP9,
+}

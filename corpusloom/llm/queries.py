@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import exact_dedup, html_text, mixing, secret_scan, token_counts, warc
+from corpusloom.llm import decontaminate, exact_dedup, html_text, mixing, secret_scan, token_counts, warc
 from corpusloom.llm.store import shared_dir
 from corpusloom.sources.tables import table
 
@@ -15,6 +15,12 @@ def op1_mixing(spark, root):
     return mixing.mix(table(spark, root, "documents"))
 
 
+def op2_decontaminate(spark, root):
+    return decontaminate.overlaps(
+        table(spark, root, "documents"), table(spark, root, "benchmark")
+    )
+
+
 def op4_token_counts(spark, root):
     import public_tokenizers
 
@@ -66,5 +72,5 @@ def op9_exact_dedup(spark, root):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_mixing, op4_token_counts, op5_secret_scan, op6_html_text, op8_warc, op9_exact_dedup)
+    for f in (op1_mixing, op2_decontaminate, op4_token_counts, op5_secret_scan, op6_html_text, op8_warc, op9_exact_dedup)
 }
