@@ -4,7 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, exact_dedup, html_text, mixing, secret_scan, token_counts, warc
+from corpusloom.llm import (
+    decontaminate,
+    exact_dedup,
+    html_text,
+    mixing,
+    quality,
+    secret_scan,
+    token_counts,
+    warc,
+)
 from corpusloom.llm.store import shared_dir
 from corpusloom.sources.tables import table
 
@@ -21,6 +30,10 @@ def op2_decontaminate(spark, root):
     )
 
 
+def op3_quality(spark, root):
+    return quality.perplexities(table(spark, root, "documents"), table(spark, root, "labels"))
+
+
 def op4_token_counts(spark, root):
     import public_tokenizers
 
@@ -41,11 +54,11 @@ def op5_secret_scan(spark, root):
         parts = F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"]))
         return F.array_join(parts, ",")
 
-    basic = F.filter("spans", lambda x: x["kind"].isin(base))
-    counts = [
-        F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("bigint").alias(f"n_{k}")
-        for k in base
-    ]
+    def of(kinds):
+        return F.filter("spans", lambda x: x["kind"].isin(kinds))
+
+    basic = of(base)
+    counts = [F.size(of([k])).cast("bigint").alias(f"n_{k}") for k in base]
     return found.select(
         "doc_id",
         *counts,
@@ -72,5 +85,14 @@ def op9_exact_dedup(spark, root):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_mixing, op2_decontaminate, op4_token_counts, op5_secret_scan, op6_html_text, op8_warc, op9_exact_dedup)
+    for f in (
+        op1_mixing,
+        op2_decontaminate,
+        op3_quality,
+        op4_token_counts,
+        op5_secret_scan,
+        op6_html_text,
+        op8_warc,
+        op9_exact_dedup,
+    )
 }
