@@ -7,7 +7,7 @@ of the row that stays, and the locator of that row's content. Whatever hits a
 digest that is already there is then compared by its full bytes; should two
 different texts ever share a digest, their rows are grouped by the text itself.
 
-Only DataFrame operations; the text is shuffled once, for the rows that hit.
+Only DataFrame operations. Texts are shuffled once, one per digest and task.
 
 Defined results: a null text counts as empty, and all empty texts are copies of
 each other. A null `doc_id` sorts after all others. Rows that repeat an id and a
@@ -127,16 +127,11 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) ->
         digest_state(digests, f"{root}/digests", f"{root}/state"), f"{root}/retained"
     )
 
-    # The full bytes behind every digest that was hit more than once.
-    hits = state.where("group_size > 1").select("digest")
+    # The full bytes behind every digest: all texts that hit it are the same if
+    # the least and the greatest are. Copies meet in the tasks that read them.
     bodies = texts.select("doc_id", "text", digest(norm).alias("digest"), norm.alias("norm"))
-    variants = (
-        bodies.join(hits, "digest", "left_semi").groupBy("digest", "norm").agg(F.count(F.lit(1)))
-    )
-    collided = written(
-        variants.groupBy("digest").count().where("count > 1").select("digest"),
-        f"{root}/collided",
-    )
+    extremes = bodies.groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("most"))
+    collided = written(extremes.where("least <> most").select("digest"), f"{root}/collided")
 
     rows = digests.join(state, "digest")
     same_row = F.col("doc_id").eqNullSafe(F.col("keep_id"))
