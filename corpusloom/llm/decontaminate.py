@@ -11,7 +11,7 @@ The masks find every window of 16 words with up to three substitutions: a test
 tries all of them. Items shorter than the masks are sought by all their words.
 
 The documents never move: seeds are hashed, looked up and verified in the task
-that reads a document, and only overlaps that hold are aggregated. The
+that reads a document, and what is aggregated are small rows of agreement. The
 benchmark comes in blocks of items with at most `BLOCK_SEEDS` seeds, each
 broadcast in turn, so the size of what is broadcast is fixed.
 
@@ -93,14 +93,15 @@ def overlaps(
     parts = []
     for block in _blocks(items):
         mine = items.where((F.col("item") % F.lit(1 << 20)).isin(block))
-        parts.append(_block_overlaps(bodies, mine, window, share))
+        parts.append(_block_overlaps(bodies, mine, window))
     if not parts:
-        parts = [_block_overlaps(bodies, items.where("false"), window, share)]
+        parts = [_block_overlaps(bodies, items.where("false"), window)]
     best = F.max(F.struct("best", (-F.col("start")).alias("back"), "matched", "item_words"))
     return (
         reduce(DataFrame.unionByName, parts)
         .groupBy("doc_id", "item_id")
         .agg(best.alias("b"))
+        .where(F.col("b.best") >= F.ceil(F.least(F.lit(window), "b.item_words") * F.lit(share)))
         .select(
             "doc_id",
             "item_id",
@@ -112,7 +113,11 @@ def overlaps(
     )
 
 
-def _block_overlaps(bodies: DataFrame, items: DataFrame, window: int, share: float) -> DataFrame:
+def _block_overlaps(bodies: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """Every hit of a block's seeds with the agreement on its diagonal. Which
+    ones hold is asked after the aggregation: a condition on arrays next to the
+    join would take the join, and with it whole texts per position, out of
+    compiled code."""
     short = [
         r["n"]
         for r in items.where(F.size("words") < SPAN).select(F.size("words").alias("n")).distinct().collect()
@@ -130,38 +135,45 @@ def _block_overlaps(bodies: DataFrame, items: DataFrame, window: int, share: flo
     )
     hits = _seeds(bodies, masks).join(F.broadcast(seeds), "seed")
 
+    # A hit leaves the scan with the stretch of the document along the item, not
+    # with the document: long texts have many hits.
     start = F.col("at") - F.col("item_at")
+    cut = F.greatest(F.lit(0), -start)
+    along = F.least(F.size("theirs") - cut, F.size("words") - F.greatest(start, F.lit(0)))
+    beside = hits.where(along >= F.least(F.lit(window), F.size("theirs"))).select(
+        "doc_id",
+        "item_id",
+        "theirs",
+        start.alias("start"),
+        cut.alias("cut"),
+        F.slice("words", F.greatest(start, F.lit(0)) + 1, F.size("theirs") - cut).alias("ours"),
+    )
     n_item = F.size("theirs")
-    first = F.greatest(F.lit(0), -start)
-    last = F.least(n_item, F.size("words") - start) - 1
-    agree = F.transform(
-        F.sequence(first, last),
-        lambda i: F.when(F.get("words", start + i) == F.get("theirs", i), 1).otherwise(0),
+    agree = F.zip_with(
+        "ours",
+        F.slice("theirs", F.col("cut") + 1, F.size("ours")),
+        lambda x, y: F.when(x == y, 1).otherwise(0),
     )
     size = F.least(F.lit(window), n_item)
     sums = F.transform(
         F.sequence(F.lit(1), F.size("agree") - F.col("size") + 1),
         lambda a: F.aggregate(F.slice("agree", a, F.col("size")), F.lit(0), lambda s, x: s + x),
     )
-    laid = hits.select(
+    laid = beside.select(
         "doc_id",
         "item_id",
-        start.alias("start"),
+        "start",
         n_item.alias("item_words"),
         agree.alias("agree"),
         size.alias("size"),
-    ).where(F.size("agree") >= F.col("size"))
-    return (
-        laid.withColumn("best", F.array_max(sums))
-        .where(F.col("best") >= F.ceil(F.col("size") * F.lit(share)))
-        .select(
-            "doc_id",
-            "item_id",
-            "start",
-            "item_words",
-            "best",
-            F.aggregate("agree", F.lit(0), lambda s, x: s + x).alias("matched"),
-        )
+    )
+    return laid.select(
+        "doc_id",
+        "item_id",
+        "start",
+        "item_words",
+        F.array_max(sums).alias("best"),
+        F.aggregate("agree", F.lit(0), lambda s, x: s + x).alias("matched"),
     )
 
 
