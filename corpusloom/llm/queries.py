@@ -8,6 +8,7 @@ from corpusloom.llm import (
     decontaminate,
     exact_dedup,
     html_text,
+    jaccard_join,
     mixing,
     quality,
     secret_scan,
@@ -71,6 +72,10 @@ def op6_html_text(spark, root):
     return html_text.extract_text(table(spark, root, "pages"))
 
 
+def op7_jaccard_join(spark, root):
+    return jaccard_join.near_duplicates(table(spark, root, "documents"), k=3, least=90)
+
+
 def op8_warc(spark, root):
     path = shared_dir(spark)
     warc.archive(table(spark, root, "pages"), path)
@@ -92,6 +97,7 @@ QUERIES = {
         op4_token_counts,
         op5_secret_scan,
         op6_html_text,
+        op7_jaccard_join,
         op8_warc,
         op9_exact_dedup,
     )
