@@ -9,6 +9,7 @@ from corpusloom.llm import (
     exact_dedup,
     html_text,
     jaccard_join,
+    language_id,
     mixing,
     quality,
     secret_scan,
@@ -88,6 +89,13 @@ def op9_exact_dedup(spark, root):
     )
 
 
+def op10_language_id(spark, root):
+    docs = table(spark, root, "documents")
+    found = language_id.identify(docs, language_id.fit(docs))
+    held_out = language_id.held_out(F.col("doc_id")).alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", "score")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -100,5 +108,6 @@ QUERIES = {
         op7_jaccard_join,
         op8_warc,
         op9_exact_dedup,
+        op10_language_id,
     )
 }
