@@ -28,6 +28,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.columns import without_ids
+
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5))
 SPAN = 1 + max(m[-1] for m in MASKS)
 BLOCK_SEEDS = 100_000
@@ -179,5 +181,4 @@ def _block_overlaps(bodies: DataFrame, items: DataFrame, window: int) -> DataFra
 
 def clean(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """The documents that overlap with no item, with all their columns."""
-    found = overlaps(docs, benchmark, **kw).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+    return without_ids(docs, overlaps(docs, benchmark, **kw).select("doc_id"))

@@ -23,6 +23,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.columns import fresh
 from corpusloom.llm.store import shared_dir, written
 
 _STATE = "spark.sql.streaming.stateStore"
@@ -169,16 +170,16 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) ->
 def without_copies(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns. Of rows that repeat an
     id and a text, one stays."""
+    keep, kept_sha, own_sha = (fresh(docs, n) for n in ("keep", "kept_sha", "own_sha"))
     fate = (
         exact_dedup(docs)
         .where("kept")
-        .select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
+        .select(F.col("doc_id").alias(keep), F.col("text_sha256").alias(kept_sha))
         .distinct()
     )
-    sha = sha256(normalised(F.col("text")))
-    stays = docs.withColumn("_sha", sha).join(
-        fate.withColumnRenamed("_sha", "_kept_sha"),
-        F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.col("_sha") == F.col("_kept_sha")),
+    stays = docs.withColumn(own_sha, sha256(normalised(F.col("text").cast("string")))).join(
+        fate,
+        docs["doc_id"].eqNullSafe(F.col(keep)) & (F.col(own_sha) == F.col(kept_sha)),
         "left_semi",
     )
-    return stays.dropDuplicates(["doc_id", "_sha"]).select(*[docs[c] for c in docs.columns])
+    return stays.dropDuplicates(["doc_id", own_sha]).drop(own_sha)

@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.arrow import code_points, slices, sums
+from corpusloom.llm.columns import without_ids
 from corpusloom.llm.store import shared_dir, written
 
 ORDER = 5
@@ -356,5 +357,5 @@ def _decided(scored: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier keeps, with all their columns."""
-    bad = perplexities(docs, labels).where(~F.col("kept")).select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad.distinct(), docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+    rejected = perplexities(docs, labels).where(~F.col("kept")).select("doc_id")
+    return without_ids(docs, rejected)

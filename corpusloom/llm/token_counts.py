@@ -117,6 +117,9 @@ def token_counts(
         misses,
         F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("_sha") == F.col("content_sha256")),
     ).select("content_sha256", "text")
+    # Rows that repeat an id and a text would bring it more than once.
+    if not keyed.groupBy("doc_id", "content_sha256").count().where("count > 1").isEmpty():
+        distinct = distinct.dropDuplicates(["content_sha256"])
     distinct.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
 
     # As a table of its own, so that a digest with very many copies can be split.
