@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,6 +104,15 @@ def digest_state(digests: DataFrame, path: str, checkpoint: str) -> DataFrame:
     )
 
 
+def _locator(docs: DataFrame) -> Column:
+    """The file that holds a row; null for tables that come from several."""
+    try:
+        docs.select(F.input_file_name())
+    except AnalysisException:
+        return F.lit(None).cast("string")
+    return F.input_file_name()
+
+
 def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """One row per document: `doc_id, keep_id, group_size, kept, text_sha256,
     keep_locator`.
@@ -120,7 +130,7 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) ->
             digest(norm).alias("digest"),
             sha256(norm).alias("text_sha256"),
             F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_chars"),
-            F.input_file_name().alias("locator"),
+            _locator(texts).alias("locator"),
         ),
         f"{root}/digests",
     )
@@ -142,7 +152,7 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) ->
             "norm",
             sha256(F.col("norm")).alias("text_sha256"),
             F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_chars"),
-            F.lit("").alias("locator"),
+            F.lit(None).cast("string").alias("locator"),
         )
         groups = apart.groupBy("norm").agg(F.count(F.lit(1)).alias("group_size"), _best())
         split = apart.join(groups, "norm").select(
