@@ -94,11 +94,10 @@ def grounding_check(
         .groupBy(key)
         .agg(F.max(V.cosine(F.col("_answer_vec"), F.col("_source_vec"))).alias("_score"))
     )
-    score = F.round(F.col("_score"), 6)
     return answers.join(best, key, "left").select(
         *answers.columns,
-        (score < limit).alias("is_hallucination"),
-        score.alias("score"),
+        (F.col("_score") < limit).alias("is_hallucination"),
+        F.round(F.col("_score"), 6).alias("score"),
         F.lit(method).alias("method"),
     )
 

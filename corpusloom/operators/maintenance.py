@@ -86,12 +86,23 @@ def snapshot_diff(
 
 
 def next_snapshot(
-    previous: DataFrame, current: DataFrame, keys: tuple[str, ...] = ("root", "path")
+    previous: DataFrame,
+    current: DataFrame,
+    keys: tuple[str, ...] = ("root", "path"),
+    detect_deletes: bool = False,
 ) -> DataFrame:
-    """State to keep: everything seen, with the newest time of each path."""
+    """State to keep: everything seen, with the newest time of each path.
+
+    With ``detect_deletes`` the state of a listed root is its listing, so that
+    a path that is gone is reported once. Roots that were not listed stay.
+    """
+    before = previous.select(*keys, "mtime")
+    if detect_deletes:
+        before = before.join(current.select(*keys).distinct(), list(keys), "left_semi").unionByName(
+            before.join(current.select(keys[0]).distinct(), keys[0], "left_anti")
+        )
     return (
-        previous.select(*keys, "mtime")
-        .unionByName(current.select(*keys, "mtime"))
+        before.unionByName(current.select(*keys, "mtime"))
         .groupBy(*keys)
         .agg(F.max("mtime").alias("mtime"))
     )

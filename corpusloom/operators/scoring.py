@@ -50,7 +50,8 @@ def list_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     values = pc.list_flatten(column).to_numpy(zero_copy_only=False)
-    return values.astype(np.float64).reshape(len(column), -1)
+    width = len(values) // len(column) if len(column) else 0
+    return values.astype(np.float64).reshape(len(column), width)
 
 
 @dataclass(frozen=True)
@@ -64,6 +65,8 @@ class DenseMethod:
 
     def scores(self, batch: pa.RecordBatch) -> np.ndarray:
         docs = list_matrix(batch.column(batch.schema.get_field_index(self.column)))
+        if not len(self.queries):
+            return np.zeros((len(docs), 0))
         dots = docs @ self.queries.T
         d2 = (docs * docs).sum(axis=1)[:, None]
         q2 = (self.queries * self.queries).sum(axis=1)[None, :]

@@ -486,7 +486,7 @@ ORACLE: dict[str, str] = {
         "JOIN tb vs ON vs.query_id = t.query_id "
         "WHERE a.role = 'assistant' AND a.text <> '' GROUP BY a.query_id)",
     )
-    + "\nSELECT a.query_id, round(s, 6) < 0.5 AS is_hallucination, round(s, 6) AS score, "
+    + "\nSELECT a.query_id, s < 0.5 AS is_hallucination, round(s, 6) AS score, "
     "'embedding_similarity' AS method FROM turns a LEFT JOIN sc USING (query_id) "
     "WHERE a.role = 'assistant'",
     "answer_fallback": _ctes(CONVERSATIONS)

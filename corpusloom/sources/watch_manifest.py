@@ -29,21 +29,27 @@ def file_times(manifest: DataFrame) -> DataFrame:
     )
 
 
-def write_manifest(manifest: DataFrame, root: str, batch_id: int) -> None:
-    """Full rewrite as a new snapshot; the marker written last publishes it."""
-    manifest.write.mode("overwrite").json(f"{root}/snapshots/{batch_id}")
-    manifest.sparkSession.createDataFrame([(batch_id,)], "batch_id bigint").coalesce(
-        1
-    ).write.mode("overwrite").json(f"{root}/published/{batch_id}")
+STATE_SCHEMA = "root string, path string, mtime timestamp"
 
 
-def latest_manifest(spark: SparkSession, root: str) -> DataFrame:
-    """The newest published snapshot; none yet is an empty manifest."""
+def write_state(times: DataFrame, root: str, batch_id: int) -> None:
+    """``(root, path, mtime)`` as a new snapshot, a row for each file; the
+    marker written last publishes it."""
+    times.select("root", "path", "mtime").write.mode("overwrite").parquet(
+        f"{root}/snapshots/{batch_id}"
+    )
+    times.sparkSession.createDataFrame([(batch_id,)], "batch_id bigint").coalesce(1).write.mode(
+        "overwrite"
+    ).json(f"{root}/published/{batch_id}")
+
+
+def latest_state(spark: SparkSession, root: str) -> DataFrame:
+    """The newest published snapshot; none yet is an empty one."""
     try:
         published = spark.read.schema("batch_id bigint").json(f"{root}/published/*")
     except AnalysisException as missing:
         if "PATH_NOT_FOUND" not in str(missing):
             raise
-        return spark.createDataFrame([], SCHEMA)
+        return spark.createDataFrame([], STATE_SCHEMA)
     newest = published.agg(F.max("batch_id")).first()[0]
-    return read_manifest(spark, f"{root}/snapshots/{newest}")
+    return spark.read.schema(STATE_SCHEMA).parquet(f"{root}/snapshots/{newest}")

@@ -2,61 +2,67 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from corpusloom.operators.maintenance import dispatch_changes, next_snapshot, snapshot_diff
+from corpusloom.operators.maintenance import (
+    ADDING,
+    dispatch_changes,
+    next_snapshot,
+    snapshot_diff,
+)
 from corpusloom.sources.index_store import IndexStore
-from corpusloom.sources.watch_manifest import file_times, latest_manifest, write_manifest
+from corpusloom.sources.watch_manifest import latest_state, write_state
 
 
 def index_sink(
-    store: IndexStore, chunks_of: Callable[[DataFrame], DataFrame], first_batch: int = 1
+    store: IndexStore, chunks_of: Callable[[DataFrame], DataFrame], writer: str | None = None
 ) -> Callable[[DataFrame, int], None]:
     """Sink for ``debounced``: chunk the added paths and apply the events.
 
-    The stream's batch id numbers the index batch, so a repeated micro-batch
-    overwrites its own folders and changes nothing else.
+    ``writer`` names the stream, one name for each checkpoint: its batches are
+    keyed by it and their number, so that a repeated one changes nothing and no
+    other writer's rows are touched. Without a name, a restarted stream applies
+    its last batch again, which leaves the same rows.
     """
+    name = writer or uuid.uuid4().hex
 
     def sink(events: DataFrame, batch_id: int) -> None:
-        paths = events.where(F.col("event_type").isin("CREATE", "WRITE")).select("path").distinct()
-        store.apply(events, chunks_of(paths), batch_id=first_batch + batch_id)
+        events.persist()
+        try:
+            added = F.col("event_type").isin(*ADDING)
+            paths = events.where(added).select("path").distinct()
+            store.apply(events, chunks_of(paths), batch=f"{name}-{batch_id}")
+        finally:
+            events.unpersist()
 
     return sink
 
 
-def as_manifest(times: DataFrame, period: int) -> DataFrame:
-    """File times back into one manifest row per root."""
-    return times.groupBy(F.col("root").alias("GivenPath")).agg(
-        F.lit("cron").alias("WatcherType"),
-        F.lit(period).cast("bigint").alias("Period"),
-        F.map_from_entries(F.collect_list(F.struct("path", "mtime"))).alias("LastUpdate"),
-    )
-
-
 def poll_once(
     spark: SparkSession,
-    manifest_root: str,
+    state_root: str,
     listing: DataFrame,
     batch_id: int,
+    use: Callable[[DataFrame], None],
     detect_deletes: bool = False,
-    period: int = 60,
-) -> DataFrame:
-    """One tick of a polled watch: ``(root, path, mtime, change, event_type)``.
-
-    Compares the listing with the last published manifest and publishes the
-    new state under ``batch_id``. The first tick only sets the baseline. The
-    answer is computed from the manifest snapshot of before, which stays.
+) -> None:
+    """One tick of a polled watch.
+
+    ``use`` gets ``(root, path, mtime, change, event_type)``, the difference
+    between the listing and the last published state. The new state is
+    published under ``batch_id`` only after ``use`` has returned, so that after
+    a failure the next tick finds the same changes. The first tick only sets
+    the baseline.
     """
-    before = file_times(latest_manifest(spark, manifest_root))
-    changed = snapshot_diff(before, listing, detect_deletes)
-    events = dispatch_changes(changed, listing)
-    write_manifest(as_manifest(next_snapshot(before, listing), period), manifest_root, batch_id)
-    return events
+    before = latest_state(spark, state_root)
+    use(dispatch_changes(snapshot_diff(before, listing, detect_deletes), listing))
+    after = next_snapshot(before, listing, detect_deletes=detect_deletes)
+    write_state(after, state_root, batch_id)
 
 
 def every(

@@ -50,13 +50,18 @@ def test_tree_scan(spark, project):
     assert [r.content for r in single.collect()] == ["skip()"]
 
 
-def test_large_directories_are_shared_out(spark, tmp_path):
+def test_deep_trees_are_read_to_the_end(spark, tmp_path):
+    deep = tmp_path
+    for i in range(7):
+        deep = deep / f"d{i}"
+        deep.mkdir()
+        (deep / f"f{i}.py").write_text(str(i))
     for i in range(23):
-        (tmp_path / f"f{i}.py").write_text(str(i))
-    tree.register(spark)
-    df = spark.read.format("source_tree").option("filesPerTask", "5").load(str(tmp_path))
-    assert sorted(int(r.content) for r in df.collect()) == list(range(23))
-    assert df.rdd.getNumPartitions() == 5
+        (tmp_path / f"g{i}.py").write_text(str(100 + i))
+    found = tree.read_source_tree(spark, str(tmp_path))
+    want = [*range(7), *range(100, 123)]
+    assert sorted(int(r.content) for r in found.collect()) == want
+    assert "Exchange" in found._jdf.queryExecution().toString()
 
 
 def test_unreadable_file_is_quarantined(spark, project):
@@ -65,6 +70,20 @@ def test_unreadable_file_is_quarantined(spark, project):
     good, bad = tree.split_bad_files(tree.read_source_tree(spark, str(project)))
     assert good.count() == 5 and bad.count() == 0
     assert tree._load(str(project / "absent.py"), "python", False)[5] is not None
+    # A directory that cannot be listed is a row, not a gap.
+    assert [(p, e is not None) for p, _, e in tree._children(str(project / "absent"), True)] == [
+        (str(project / "absent"), True)
+    ]
+    none = tree.read_source_tree(spark, str(project / "absent"))
+    assert [r.error is not None for r in none.collect()] == [True]
+
+
+def test_text_tree_keeps_hidden_names(spark, project):
+    (project / ".notes").write_text("hidden text")
+    (project / "_draft.txt").write_text("draft")
+    texts = {os.path.relpath(r.source, project): r.text for r in tree.read_text_tree(spark, str(project)).collect()}
+    assert texts[".notes"] == "hidden text" and texts["_draft.txt"] == "draft"
+    assert len(texts) == 13
 
 
 def test_pdf_listing(spark, project):
@@ -72,7 +91,7 @@ def test_pdf_listing(spark, project):
 
 
 def test_text_and_routes(spark, project):
-    docs = S.read_text_files(spark, str(project / "pkg" / "readme.txt"))
+    docs = tree.read_text_tree(spark, str(project / "pkg" / "readme.txt"))
     row = docs.first()
     assert row.text == "no code" and row.source.endswith("readme.txt")
     df = spark.createDataFrame([("a.PDF",), ("b.txt",), ("c.pdf.md",)], "path string")
@@ -97,37 +116,71 @@ def live(store):
 
 def test_index_store(spark, tmp_path):
     store = IndexStore(spark, str(tmp_path / "ix"))
-    assert store.load().count() == 0 and store.last_batch() == -1
+    assert store.load().count() == 0 and store.last_place() == -1
     store.append(chunk_rows(spark, [(1, "a", "a1"), (2, "b", "b1"), (3, None, "n")]))
     assert live(store) == [("a", "a1"), ("b", "b1"), ("unknown", "n")]
-    events = spark.createDataFrame(
-        [("a", "WRITE", 1, 1), ("b", "WRITE", 1, 1), ("b", "REMOVE", 2, 2), ("c", "CREATE", 1, 1), ("d", "CHMOD", 1, 1)],
-        "path string, event_type string, ts int, seq int",
-    )
     fresh = chunk_rows(spark, [(4, "a", "a2"), (5, "b", "b2"), (6, "c", "c1")])
     for _ in range(2):  # repeating a batch changes nothing
-        store.apply(events, fresh, batch_id=1)
+        store.apply(file_events(spark), fresh, batch="w-1")
         assert live(store) == [("a", "a2"), ("c", "c1"), ("unknown", "n")]
+    assert store.last_place() == 1
     store.remove(["c"])
     assert live(store) == [("a", "a2"), ("unknown", "n")]
     assert live(store.compact(str(tmp_path / "ix2"))) == live(store)
     both = IndexStore(spark, str(tmp_path / "ix3"))
     both.append(chunk_rows(spark, [(1, "a", "a1")]))
-    both.apply(events, fresh, append_only=True)
+    both.apply(file_events(spark), fresh, append_only=True)
     assert live(both) == [("a", "a1"), ("a", "a2"), ("c", "c1")]
 
 
+def file_events(spark):
+    return spark.createDataFrame(
+        [("a", "WRITE", 1, 1), ("b", "WRITE", 1, 1), ("b", "REMOVE", 2, 2), ("c", "CREATE", 1, 1), ("d", "CHMOD", 1, 1)],
+        "path string, event_type string, ts int, seq int",
+    )
+
+
+def test_store_keeps_every_column(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "ix"))
+    rows = spark.createDataFrame(
+        [(1, "a.py", "def f(): pass", "f", 3, "me", 2.5), (2, "b.py", "x", None, None, None, None)],
+        "chunk_id bigint, source string, content string, symbol_name string, start_line int, author string, weight double",
+    )
+    store.append(rows)
+    got = {r.chunk_id: r for r in store.load().collect()}
+    assert (got[1].symbol_name, got[1].start_line, got[1].extra) == ("f", 3, {"author": "me", "weight": "2.5"})
+    assert got[2].extra == {}
+    again = store.compact(str(tmp_path / "ix2"))
+    assert {r.chunk_id: r.extra for r in again.load().collect()} == {1: {"author": "me", "weight": "2.5"}, 2: {}}
+
+
+def test_writers_do_not_overwrite_each_other(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "ix"))
+    store.append(chunk_rows(spark, [(1, "a", "a1")]))
+    store.append(chunk_rows(spark, [(2, "k", "k1")]))
+    made = lambda paths: paths.select(
+        F.xxhash64("path").alias("chunk_id"), F.col("path").alias("source"), F.lit("new").alias("content")
+    )
+    SA.index_sink(store, made, writer="one")(file_events(spark), 0)
+    assert live(store) == [("a", "new"), ("c", "new"), ("k", "k1")]
+    # A new checkpoint counts from 0 again and has a name of its own.
+    more = spark.createDataFrame([("z", "CREATE", 9, 9)], "path string, event_type string, ts int, seq int")
+    SA.index_sink(store, made, writer="two")(more, 0)
+    SA.index_sink(store, made, writer="one")(file_events(spark), 0)
+    assert live(store) == [("a", "new"), ("c", "new"), ("k", "k1"), ("z", "new")]
+
+
 def test_uncommitted_batch_is_invisible(spark, tmp_path):
     store = IndexStore(spark, str(tmp_path / "ix"))
     store.append(chunk_rows(spark, [(1, "a", "a1")]))
-    store._write(store._shaped(chunk_rows(spark, [(2, "a", "a2")])), "chunks", 1)
-    store._write(spark.createDataFrame([("a",)], "path string"), "touched", 1)
+    store._write(store._shaped(chunk_rows(spark, [(2, "a", "a2")])), "chunks", "x")
+    store._write(spark.createDataFrame([("a",)], "path string"), "touched", "x")
     assert live(store) == [("a", "a1")]
 
 
 def test_manifest(spark, tmp_path):
     assert W.read_manifest(spark, str(tmp_path / "none")).count() == 0
-    assert W.latest_manifest(spark, str(tmp_path / "none")).count() == 0
+    assert W.latest_state(spark, str(tmp_path / "none")).count() == 0
     path = tmp_path / "list"
     good = {"GivenPath": "/w", "WatcherType": "cron", "Period": 5, "LastUpdate": {"/w/a.pdf": "2024-01-01T00:00:00Z"}}
     path.write_text(json.dumps(good) + "\n{broken\n")
@@ -138,15 +191,40 @@ def test_manifest(spark, tmp_path):
 def test_polling(spark, tmp_path):
     t = datetime(2024, 1, 1)
     at = lambda *rows: spark.createDataFrame(list(rows), "root string, path string, mtime timestamp")
-    root = str(tmp_path / "m")
-    first = SA.poll_once(spark, root, at(("r", "a", t), ("r", "b", t)), 0)
-    assert first.count() == 0
-    second = SA.poll_once(spark, root, at(("r", "a", t + timedelta(1)), ("r", "b", t), ("r", "c", t)), 1)
-    assert sorted((r.path, r.change, r.event_type) for r in second.collect()) == [
+    root, seen = str(tmp_path / "m"), []
+
+    def tick(n, *rows, **kw):
+        seen.clear()
+        use = lambda df: seen.extend(sorted((r.path, r.change, r.event_type) for r in df.collect()))
+        SA.poll_once(spark, root, at(*rows), n, use, **kw)
+        return list(seen)
+
+    assert tick(0, ("r", "a", t), ("r", "b", t), ("q", "x", t)) == []
+    later = t + timedelta(1)
+    assert tick(1, ("r", "a", later), ("r", "b", t), ("r", "c", t)) == [
         ("a", "updated", "WRITE"), ("c", "new", "WRITE")
     ]
-    third = SA.poll_once(spark, root, at(("r", "a", t), ("r", "c", t)), 2, detect_deletes=True)
-    assert [(r.path, r.event_type) for r in third.collect()] == [("b", "REMOVE")]
+    listed = (("r", "a", t), ("r", "c", t), ("q", "x", t))
+    assert tick(2, *listed, detect_deletes=True) == [("b", "deleted", "REMOVE")]
+    # What is gone is reported once, and is new when it comes back.
+    assert tick(3, *listed, detect_deletes=True) == []
+    assert tick(4, *listed, ("r", "b", t), detect_deletes=True) == [("b", "new", "WRITE")]
+
+
+def test_failed_tick_is_repeated(spark, tmp_path):
+    t = datetime(2024, 1, 1)
+    at = lambda *rows: spark.createDataFrame(list(rows), "root string, path string, mtime timestamp")
+    root = str(tmp_path / "m")
+    SA.poll_once(spark, root, at(("r", "a", t)), 0, lambda df: None)
+
+    def fail(df):
+        raise RuntimeError("index is away")
+
+    with pytest.raises(RuntimeError):
+        SA.poll_once(spark, root, at(("r", "a", t), ("r", "b", t)), 1, fail)
+    got = []
+    SA.poll_once(spark, root, at(("r", "a", t), ("r", "b", t)), 2, lambda df: got.extend(df.collect()))
+    assert [r.path for r in got] == ["b"]
 
 
 def test_event_precedence(spark):
@@ -193,7 +271,7 @@ def test_stream_equals_batch_and_feeds_index(spark, tmp_path):
     seen = []
     table = lambda: SE.known_events(spark.read.schema(SE.EVENT_SCHEMA).parquet(source))
     store = IndexStore(spark, str(tmp_path / "ix"))
-    store.append(chunk_rows(spark, [(1, "a", "old a"), (2, "keep", "k")]), batch_id=0)
+    store.append(chunk_rows(spark, [(1, "a", "old a"), (2, "keep", "k")]))
     made = lambda paths: paths.select(
         F.xxhash64("path").alias("chunk_id"), F.col("path").alias("source"), F.concat(F.lit("new "), "path").alias("content")
     )
