@@ -52,6 +52,9 @@ _JS_MODS = r"(?:(?:static|async|get|set)\s+|\*\s*)*"
 _TS_MODS = (
     r"(?:(?:public|protected|private|static|async|get|set|override|readonly)\s+|\*\s*)*"
 )
+# Annotations and attributes that share a line with what they belong to.
+_ANNOTATED = r"(?:@[A-Za-z_][\w.]*(?:\([^()]*\))?\s+)*"
+_ATTRIBUTED = r"(?:#\[[^\]]*\]\s*)*"
 _EXPORT = r"(?:export\s+(?:default\s+)?)?"
 _RUST_PUB = r"(?:pub(?:\([^)]*\))?\s+)?"
 # A C-family function: something that is no statement, an identifier, its
@@ -68,12 +71,12 @@ _JS = (
     Rule("method", rf"^\s*({_NOT_CALLS}{_JS_MODS}(#?[\w$]+)\s*\([^;]*\)\s*\{{.*)", body=True),
 )
 _TS = (
-    Rule("class", rf"^\s*{_EXPORT}(class\s+([\w$]+).*)", container=True),
-    Rule("interface", rf"^\s*{_EXPORT}(interface\s+([\w$]+).*)", container=True),
-    Rule("function", rf"^\s*{_EXPORT}((?:async\s+)?function\s+([\w$]+)\s*[(<].*)", body=True),
+    Rule("class", rf"^\s*{_ANNOTATED}{_EXPORT}(class\s+([\w$]+).*)", container=True),
+    Rule("interface", rf"^\s*{_ANNOTATED}{_EXPORT}(interface\s+([\w$]+).*)", container=True),
+    Rule("function", rf"^\s*{_ANNOTATED}{_EXPORT}((?:async\s+)?function\s+([\w$]+)\s*[(<].*)", body=True),
     Rule(
         "method",
-        rf"^\s*({_NOT_CALLS}{_TS_MODS}(#?[\w$]+)\s*(?:<[^>]*>)?\([^;]*\)\s*(?::[^{{;]*)?\{{.*)",
+        rf"^\s*{_ANNOTATED}({_NOT_CALLS}{_TS_MODS}(#?[\w$]+)\s*(?:<[^>]*>)?\([^;]*\)\s*(?::[^{{;]*)?\{{.*)",
         body=True,
     ),
 )
@@ -85,6 +88,9 @@ RULES: dict[str, tuple[Rule, ...]] = {
     ),
     "go": (
         Rule("type", r"^\s*(type\s+\(?\s*(\w+).*)", container=True, header=False),
+        Rule(
+            "type", r"^\s*((\w+)\s+(?:struct|interface)\s*\{.*)", container=True, header=False
+        ),
         Rule("method", r"^\s*(func\s*\([^)]*\)\s*(\w+).*)"),
         Rule("function", r"^\s*(func\s+(\w+).*)"),
     ),
@@ -92,31 +98,31 @@ RULES: dict[str, tuple[Rule, ...]] = {
     "typescript": _TS,
     "tsx": _TS,
     "java": (
-        Rule("class", rf"^\s*({_JAVA_MODS}class\s+(\w+).*)", container=True),
-        Rule("interface", rf"^\s*({_JAVA_MODS}interface\s+(\w+).*)", container=True),
+        Rule("class", rf"^\s*{_ANNOTATED}({_JAVA_MODS}class\s+(\w+).*)", container=True),
+        Rule("interface", rf"^\s*{_ANNOTATED}({_JAVA_MODS}interface\s+(\w+).*)", container=True),
         Rule(
             "method",
-            rf"^\s*({_NOT_CALLS}{_JAVA_MODS}(?:<[^>]+>\s+)?[\w<>\[\],.?]+(?:\s*<[^=;]*>)?\s+(\w+)\s*\(.*)",
+            rf"^\s*{_ANNOTATED}({_NOT_CALLS}{_JAVA_MODS}(?:<[^>]+>\s+)?[\w<>\[\],.?]+(?:\s*<[^=;]*>)?\s+(\w+)\s*\(.*)",
         ),
         Rule(
             "method",
-            rf"^\s*({_NOT_CALLS}(?:(?:public|protected|private)\s+)?([A-Z]\w*)\s*\([^;]*\{{.*)",
+            rf"^\s*{_ANNOTATED}({_NOT_CALLS}(?:(?:public|protected|private)\s+)?([A-Z]\w*)\s*\([^;]*\{{.*)",
             body=True,
         ),
     ),
     "rust": (
-        Rule("struct", rf"^\s*({_RUST_PUB}struct\s+(\w+).*)", container=True),
-        Rule("enum", rf"^\s*({_RUST_PUB}enum\s+(\w+).*)", container=True, header=False),
-        Rule("trait", rf"^\s*({_RUST_PUB}(?:unsafe\s+)?trait\s+(\w+).*)", container=True),
+        Rule("struct", rf"^\s*{_ATTRIBUTED}({_RUST_PUB}struct\s+(\w+).*)", container=True),
+        Rule("enum", rf"^\s*{_ATTRIBUTED}({_RUST_PUB}enum\s+(\w+).*)", container=True, header=False),
+        Rule("trait", rf"^\s*{_ATTRIBUTED}({_RUST_PUB}(?:unsafe\s+)?trait\s+(\w+).*)", container=True),
         Rule(
             "impl",
-            r"^\s*((?:unsafe\s+)?impl(?:\s*<[^>]*>)?\s+(\w+).*)",
+            rf"^\s*{_ATTRIBUTED}((?:unsafe\s+)?impl(?:\s*<[^>]*>)?\s+(\w+).*)",
             container=True,
             emit=False,
         ),
         Rule(
             "function",
-            r"^\s*((?:(?:pub(?:\([^)]*\))?|const|async|unsafe|extern(?:\s+\"+)?)\s+)*fn\s+(\w+).*)",
+            rf"^\s*{_ATTRIBUTED}((?:(?:pub(?:\([^)]*\))?|const|async|unsafe|extern(?:\s+\"+)?)\s+)*fn\s+(\w+).*)",
             body=True,
         ),
     ),
@@ -136,7 +142,7 @@ RULES: dict[str, tuple[Rule, ...]] = {
     ),
     "ruby": (
         Rule("class", r"^\s*(class\s+([A-Z]\w*).*)", container=True),
-        Rule("method", r"^\s*(def\s+([A-Za-z_]\w*[?!=]?)(?![\w.]).*)"),
+        Rule("method", r"^\s*(def\s+([A-Za-z_]\w*[?!=]?(?![\w.])|[-+*/%<>=!~^&|\[\]]+).*)"),
     ),
 }
 
@@ -432,6 +438,13 @@ def check_languages(languages: Iterable[str]) -> None:
 _CHUNK_FIELDS = ("symbol_name", "symbol_type", "class_name", "start_line", "end_line")
 
 
+def unsupported_files(files: DataFrame, language_col: str = "language") -> DataFrame:
+    """The rows that ``code_chunks`` has no rules for, null languages included:
+    to be quarantined or chunked as text, not lost."""
+    known = F.coalesce(F.col(language_col).isin(*SUPPORTED_LANGUAGES), F.lit(False))
+    return files.where(~known)
+
+
 def code_chunks(
     files: DataFrame, size: int = 1500, overlap: int = 100, fallback: bool = True
 ) -> DataFrame:

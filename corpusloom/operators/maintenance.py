@@ -63,14 +63,21 @@ def snapshot_diff(
     current: DataFrame,
     detect_deletes: bool = False,
     keys: tuple[str, ...] = ("root", "path"),
+    listed: DataFrame | None = None,
 ) -> DataFrame:
     """Paths that are new or newer: ``(root, path, mtime, change)``.
 
     A root without any earlier state only sets its baseline: no rows.
-    ``detect_deletes`` also reports paths that are gone.
+    ``detect_deletes`` also reports paths that are gone from a listed root:
+    those of ``listed``, or else those with a row in ``current``. A root whose
+    last file is gone has to be named there.
     """
+    root = keys[0]
     prev = previous.select(*keys, F.col("mtime").alias("_before"))
-    known = previous.select(keys[0]).distinct()
+    known = previous.select(root).distinct()
+    if detect_deletes:
+        looked = (current if listed is None else listed).select(root).distinct()
+        prev = prev.join(looked, root, "left_semi")
     joined = current.join(prev, list(keys), "full_outer" if detect_deletes else "left")
     change = (
         F.when(F.col("mtime").isNull(), F.lit("deleted"))
@@ -80,7 +87,7 @@ def snapshot_diff(
     return (
         joined.withColumn("change", change)
         .where(F.col("change").isNotNull())
-        .join(known, keys[0], "left_semi")
+        .join(known, root, "left_semi")
         .select(*keys, "mtime", "change")
     )
 
@@ -90,17 +97,19 @@ def next_snapshot(
     current: DataFrame,
     keys: tuple[str, ...] = ("root", "path"),
     detect_deletes: bool = False,
+    listed: DataFrame | None = None,
 ) -> DataFrame:
     """State to keep: everything seen, with the newest time of each path.
 
-    With ``detect_deletes`` the state of a listed root is its listing, so that
-    a path that is gone is reported once. Roots that were not listed stay.
+    With ``detect_deletes`` the state of a listed root (see ``snapshot_diff``)
+    keeps only what its listing holds, so that a path that is gone is reported
+    once. Roots that were not listed stay as they were.
     """
     before = previous.select(*keys, "mtime")
     if detect_deletes:
-        before = before.join(current.select(*keys).distinct(), list(keys), "left_semi").unionByName(
-            before.join(current.select(keys[0]).distinct(), keys[0], "left_anti")
-        )
+        looked = (current if listed is None else listed).select(keys[0]).distinct()
+        there = before.join(current.select(*keys).distinct(), list(keys), "left_semi")
+        before = there.unionByName(before.join(looked, keys[0], "left_anti"))
     return (
         before.unionByName(current.select(*keys, "mtime"))
         .groupBy(*keys)

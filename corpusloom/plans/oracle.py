@@ -56,11 +56,11 @@ N_DOCS = "n AS (SELECT count(*)::DOUBLE AS n FROM documents)"
 
 BM25_STATS = [
     f"tok AS (SELECT doc_id, unnest({tokens('text')}) AS term FROM documents)",
-    "tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL)",
+    "tf AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL)",
     N_DOCS,
-    "st AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM tf GROUP BY term)",
-    "raw AS (SELECT term, df, cf, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM st, n)",
-    "whole AS (SELECT avg(raw) AS mean_idf, sum(cf) AS total FROM raw)",
+    "st AS MATERIALIZED (SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM tf GROUP BY term)",
+    "raw AS MATERIALIZED (SELECT term, df, cf, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM st, n)",
+    "whole AS MATERIALIZED (SELECT avg(raw) AS mean_idf, sum(cf) AS total FROM raw)",
     "idf AS (SELECT term, df, cf, CASE WHEN raw < 0 THEN 0.25 * mean_idf ELSE raw END AS idf, "
     "total / n AS avgdl FROM raw, whole, n)",
 ]
@@ -258,11 +258,18 @@ FILE_EVENTS = (
     "WHERE event_type IS NOT NULL)"
 )
 
+def _listing(name: str, until: str) -> str:
+    return (
+        f"{name} AS (SELECT root, path, mtime FROM (SELECT user_id AS root, kind AS path, "
+        "max(ts) AS mtime, arg_max(event_type, (ts, event_id)) AS last FROM fe "
+        f"{until} GROUP BY ALL) WHERE last NOT IN ('REMOVE', 'RENAME'))"
+    )
+
+
 SNAPSHOTS = [
-    "before AS (SELECT user_id AS root, event_type AS path, max(ts) AS mtime FROM events "
-    "WHERE ts < TIMESTAMP '2024-01-04' GROUP BY ALL)",
-    "now AS (SELECT user_id AS root, event_type AS path, max(ts) AS mtime FROM events "
-    "WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-06' GROUP BY ALL)",
+    FILE_EVENTS,
+    _listing("before", "WHERE ts < TIMESTAMP '2024-01-16'"),
+    _listing("now", ""),
 ]
 
 # --- paths ----------------------------------------------------------------
@@ -553,6 +560,24 @@ ORACLE: dict[str, str] = {
     + "\nSELECT term, count(*) AS df FROM t GROUP BY term HAVING count(*) >= 2 "
     "AND count(*) <= 0.8 * (SELECT count(*) FROM documents)",
     "recursive_split": recursive_split(500, 50),
-    "doc_topics": "SELECT doc_id, least(20, (SELECT count(*) FROM documents) // 5)::INT AS topics, "
-    "1.0::DOUBLE AS total FROM documents",
+    "polling_state": _ctes(*SNAPSHOTS)
+    + "\nSELECT root, path, mtime, 0::BIGINT AS again FROM now",
+    "index_live_rows": _ctes(
+        FILE_EVENTS,
+        "t AS (SELECT 'src' || (user_id % 15) AS source, max(event_id % 6) AS place FROM fe "
+        "WHERE event_type IN ('REMOVE', 'RENAME') AND event_id % 6 < 3 GROUP BY 1)",
+    )
+    + "\nSELECT d.source, doc_id AS chunk_id FROM documents d LEFT JOIN t ON t.source = d.source "
+    "WHERE doc_id % 6 <> 3 AND (t.place IS NULL OR doc_id % 6 >= t.place)",
+    "topic_cosine_topk": _ctes(
+        "s AS (SELECT vec_id, label, list_transform(embedding, lambda x: abs(x::DOUBLE)) AS a FROM embeddings)",
+        "e AS (SELECT vec_id AS doc_id, label, list_transform(a, lambda x: x / list_sum(a)) AS v FROM s)",
+        "m AS (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(v) AS x, "
+        "generate_subscripts(v, 1) AS i FROM e) GROUP BY ALL)",
+        "q AS (SELECT label::BIGINT AS query_id, list(x ORDER BY i) AS v FROM m GROUP BY label)",
+    )
+    + "\n"
+    + ranked(
+        f"SELECT query_id, doc_id, round({COSINE.format(a='q.v', b='e.v')}, 6) + 0.0 AS score FROM q, e"
+    ),
 }

@@ -19,6 +19,7 @@ from corpusloom.operators import topics as T
 from corpusloom.operators.debounce import debounce
 from corpusloom.operators.embedding import embed, hashed_embedder
 from corpusloom.sources import files as S
+from corpusloom.sources.index_store import live_rows
 from corpusloom.sources.tables import spread, table
 
 # Width of the vectors in the provided tables.
@@ -292,19 +293,52 @@ def debounce_last_event(spark, root):
     )
 
 
+# The instant of the first listing; the second one is after all events.
+LISTED_AT = "2024-01-16"
+
+
 def _snapshots(spark, root):
-    seen = table(spark, root, "events").select(
-        F.col("user_id").alias("root"), F.col("event_type").alias("path"), "ts"
+    """What a listing shows before and after: paths whose last event until then
+    did not remove them, with the time of that event."""
+    seen = file_events(spark, root).select(
+        F.col("user_id").alias("root"), F.col("kind").alias("path"), "event_type", "ts", "seq"
+    )
+
+    def listing(events):
+        last = M.latest_events(events, ("root", "path"))
+        there = ~F.col("event_type").isin(*M.REMOVING)
+        return last.where(there).select("root", "path", F.col("ts").alias("mtime"))
+
+    return listing(seen.where(F.col("ts") < F.lit(LISTED_AT).cast("timestamp_ntz"))), listing(seen)
+
+
+def polling_state(spark, root):
+    """What two ticks leave behind, and what a third finds: nothing."""
+    before, now = _snapshots(spark, root)
+    every = before.select("root").union(now.select("root"))
+    kept = M.next_snapshot(before, now, detect_deletes=True, listed=every)
+    again = M.snapshot_diff(kept, now, detect_deletes=True, listed=every).groupBy("root").agg(
+        F.count(F.lit(1)).alias("again")
     )
-    at = lambda rows: rows.groupBy("root", "path").agg(F.max("ts").alias("mtime"))
-    before = at(seen.where(F.col("ts") < F.lit("2024-01-04").cast("timestamp_ntz")))
-    now = at(
-        seen.where(
-            (F.col("ts") >= F.lit("2024-01-03").cast("timestamp_ntz"))
-            & (F.col("ts") < F.lit("2024-01-06").cast("timestamp_ntz"))
-        )
+    return kept.join(again, "root", "left").select(
+        "root", "path", "mtime", F.coalesce("again", F.lit(0).cast("bigint")).alias("again")
     )
-    return before, now
+
+
+def index_live_rows(spark, root):
+    """Documents as the rows of six batches, one of them not committed, with
+    the events' paths touched by the batches they fall into."""
+    batch = lambda n: F.concat(F.lit("b"), n % 6)
+    chunks = _stored_rows(spark, root).withColumn("batch", batch(F.col("chunk_id")))
+    removed = F.col("event_type").isin(*M.REMOVING)
+    touched = (
+        _paths_of_events(spark, root)
+        .where(removed & (F.col("seq") % 6 < 4))
+        .select("path", batch(F.col("seq")).alias("batch"))
+    )
+    commits = chunks.select("batch").distinct().where(F.col("batch") != "b3")
+    place = F.substring("batch", 2, 1).cast("bigint")
+    return live_rows(chunks, touched, commits.withColumn("place", place)).select("source", "chunk_id")
 
 
 def snapshot_diff(spark, root):
@@ -314,7 +348,8 @@ def snapshot_diff(spark, root):
 def dispatch_changed(spark, root):
     before, now = _snapshots(spark, root)
     name = lambda df: df.withColumn("path", F.concat_ws("/", "root", "path"))
-    changed = M.snapshot_diff(name(before), name(now), detect_deletes=True)
+    every = before.select("root").union(now.select("root"))
+    changed = M.snapshot_diff(name(before), name(now), detect_deletes=True, listed=every)
     return M.dispatch_changes(changed, name(now)).select("root", "path", "change", "event_type")
 
 
@@ -453,6 +488,25 @@ def doc_topics(spark, root):
     )
 
 
+def topic_cosine_topk(spark, root):
+    """Given topic vectors through the topic method alone: shares of the
+    embeddings' magnitudes, asked for with the mean of each label."""
+    rows = table(spark, root, "embeddings")
+    size = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + F.abs(x.cast("double")))
+    shares = rows.select(
+        F.col("vec_id").alias("doc_id"),
+        "label",
+        F.transform("embedding", lambda x: F.abs(x.cast("double")) / size).alias("lda"),
+    )
+    means = shares.select("label", F.posexplode("lda")).groupBy("label", "pos").agg(F.avg("col").alias("m"))
+    asked = means.groupBy(F.col("label").cast("bigint").alias("query_id")).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda x: x["m"]).alias("lda")
+    )
+    return R.vector_topk(
+        asked, shares, K, "cosine", id_col="doc_id", vector_col="lda"
+    ).select("query_id", "rank", "doc_id", "score")
+
+
 def lda_topk(spark, root):
     """All four methods fused with the default weights."""
     docs = documents(spark, root)
@@ -494,6 +548,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         debounce_last_event,
         snapshot_diff,
         dispatch_changed,
+        polling_state,
+        index_live_rows,
+        topic_cosine_topk,
         language_scan,
         language_filter,
         route_by_extension,

@@ -50,6 +50,7 @@ def poll_once(
     batch_id: int,
     use: Callable[[DataFrame], None],
     detect_deletes: bool = False,
+    listed: DataFrame | None = None,
 ) -> None:
     """One tick of a polled watch.
 
@@ -60,8 +61,8 @@ def poll_once(
     the baseline.
     """
     before = latest_state(spark, state_root)
-    use(dispatch_changes(snapshot_diff(before, listing, detect_deletes), listing))
-    after = next_snapshot(before, listing, detect_deletes=detect_deletes)
+    use(dispatch_changes(snapshot_diff(before, listing, detect_deletes, listed=listed), listing))
+    after = next_snapshot(before, listing, detect_deletes=detect_deletes, listed=listed)
     write_state(after, state_root, batch_id)
 
 

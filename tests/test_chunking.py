@@ -209,3 +209,25 @@ def test_fallback_and_unknown_language(chunks):
         D.check_languages(["not-a-language"])
     for lang in ("python", "go", "javascript", "typescript", "java", "rust", "c", "cpp", "ruby"):
         assert lang in D.SUPPORTED_LANGUAGES
+
+
+def test_definitions_behind_annotations_and_odd_names(spark):
+    files = [
+        ("a.java", "java", "class A {\n  @Override public void run() {\n  }\n  @Test(timeout = 5) void t() {\n  }\n}\n"),
+        ("b.ts", "typescript", "class B {\n  @Input() foo(): void {\n  }\n}\n@Injectable() class C {\n  bar(): void {\n  }\n}\n"),
+        ("c.go", "go", "package m\n\ntype (\n\tA struct {\n\t\tx int\n\t}\n\tB interface {\n\t}\n)\n\nfunc f() {\n}\n"),
+        ("d.rb", "ruby", "class D\n  def ==(o)\n    true\n  end\n  def [](i)\n    i\n  end\nend\n"),
+        ("e.rs", "rust", "#[test] fn a() {\n}\nfn c() {\n}\n"),
+        ("f.xyz", "cobol", "MOVE A TO B"),
+        ("g", None, "text"),
+    ]
+    table = spark.createDataFrame(files, "path string, language string, content string")
+    got = {(r.source, r.symbol_name, r.class_name) for r in D.code_chunks(table).collect()}
+    assert got == {
+        ("a.java", "A", None), ("a.java", "run", "A"), ("a.java", "t", "A"),
+        ("b.ts", "B", None), ("b.ts", "foo", "B"), ("b.ts", "C", None), ("b.ts", "bar", "C"),
+        ("c.go", "A", None), ("c.go", "B", None), ("c.go", "f", None),
+        ("d.rb", "D", None), ("d.rb", "==", "D"), ("d.rb", "[]", "D"),
+        ("e.rs", "a", None), ("e.rs", "c", None),
+    }
+    assert sorted(r.path for r in D.unsupported_files(table).collect()) == ["f.xyz", "g"]

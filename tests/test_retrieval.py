@@ -259,3 +259,23 @@ def test_topics(spark, tmp_path):
         T.fit_topics(df.limit(4))
     table = T.cached_table(df, str(tmp_path), "vocabulary", T.topic_vocabulary)
     assert table.count() > 0
+
+
+def test_topics_see_the_corpus_and_not_its_partitions(spark):
+    assert T.fit_iterations(10) * T.SAMPLE_RATE >= 10
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    vectors = []
+    for parts in (2, 8):
+        model = T.fit_topics(docs.repartition(parts))
+        rows = T.with_topics(model, docs).select("doc_id", "lda").collect()
+        vectors.append({r.doc_id: [round(x, 6) for x in r.lda] for r in rows})
+    assert vectors[0] == vectors[1] and len(vectors[0]) == docs.count()
+    terms = {r.term for r in T.topic_vocabulary(docs).collect()}
+    assert set(model.stages[0].vocabulary) == terms
+
+
+def test_empty_query_batch_has_no_hits(spark):
+    index = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "chunk_id bigint, embedding array<double>")
+    none = spark.createDataFrame([], "query_id bigint, embedding array<double>")
+    for metric in ("l2", "cosine"):
+        assert R.vector_topk(none, index, 3, metric).collect() == []
