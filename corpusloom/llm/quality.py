@@ -152,7 +152,10 @@ def model_tables(
         cut = (
             F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         )
-        known = counts[order].join(_discounts(counts[order]), "model").select(
+        # A row for each model, as a table of known size: it is broadcast, and
+        # the n-grams of a large language stay where they are.
+        cuts = written(_discounts(counts[order]), f"{path}/discounts{order}")
+        known = counts[order].join(cuts, "model").select(
             "model", "gram", F.shiftright("gram", BITS).alias("context"), "n", cut.alias("cut")
         )
         contexts[order] = written(
@@ -319,13 +322,13 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     table = written(corpus_grams(every.select("model", "text"), probs, contexts, path), f"{path}/grams")
     scored = written(log_likelihoods(every, table), f"{path}/scored")
     judged = trusted.where(held).withColumn("judge", F.lit(True))
-    return _decided(scored.join(judged, "doc_id", "left"))
+    return _decided(scored.join(judged, "doc_id", "left"), path)
 
 
-def _decided(scored: DataFrame) -> DataFrame:
+def _decided(scored: DataFrame, path: str) -> DataFrame:
     rate = (F.sum("logp") / F.sum("n")).alias
     judges = scored.where("judge and n > 1")
-    means = judges.groupBy("model").agg(rate("mean"))
+    means = written(judges.groupBy("model").agg(rate("mean")), f"{path}/means")
     every = judges.agg(rate("any_mean"))
     mean = F.coalesce("mean", "any_mean")
     drawn = (
@@ -338,7 +341,7 @@ def _decided(scored: DataFrame) -> DataFrame:
     quartiles = F.percentile_approx("score", F.array(F.lit(0.25), F.lit(0.75)), F.lit(10_000))
     fence = lambda q: q[1] + FENCE * (q[1] - q[0])
     judged = drawn.where("judge and score is not null")
-    own = judged.groupBy("model").agg(fence(quartiles).alias("own"))
+    own = written(judged.groupBy("model").agg(fence(quartiles).alias("own")), f"{path}/fences")
     common = judged.agg(fence(quartiles).alias("common"))
     limit = F.coalesce("own", "common")
     return (
