@@ -32,6 +32,7 @@ from corpusloom.llm.crf import Model, Words, label_probabilities, train, words_o
 from corpusloom.llm.store import shared_dir, written
 
 PER_LANGUAGE = 400
+SALTS = 64
 LEXICON = 2_000
 LEXICON_FROM = 5
 SHARDS = 8
@@ -51,16 +52,14 @@ def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFr
     learn = docs.where(
         F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))
     ).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    place = F.row_number().over(
-        Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    )
-    chosen = (
-        learn.select("doc_id", "lang")
-        .withColumn("place", place)
-        .where(F.col("place") <= per_language)
-        .select("doc_id", "lang")
-        .distinct()
-    )
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    chosen = learn.select("doc_id", "lang", F.pmod(order[0], F.lit(SALTS)).alias("salt"))
+    # First within parts of a language, so that a large one is not ranked in one
+    # task; a fixed number of rows a language is left for the second ranking.
+    for keys in (("lang", "salt"), ("lang",)):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        chosen = chosen.withColumn("place", place).where(F.col("place") <= per_language)
+    chosen = chosen.select("doc_id", "lang").distinct()
     return learn.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
 
 
