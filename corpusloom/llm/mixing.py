@@ -41,7 +41,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 MAX_STEPS = 60
 TOLERANCE = 1e-6
 BUCKETS = 1024
-PASSES = 4
+PASSES = 3
 
 
 def word_count(text: Column) -> Column:

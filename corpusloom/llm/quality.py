@@ -147,14 +147,16 @@ def model_tables(
 ) -> tuple[dict[int, DataFrame], dict[int, DataFrame]]:
     """Probabilities `model, gram, p` and context weights `model, context,
     total, weight` of every order."""
+    # A row for each model and order, as a table of known size: it is broadcast,
+    # and the n-grams of a large language stay where they are.
+    each = [_discounts(t).withColumn("order", F.lit(order)) for order, t in counts.items()]
+    discounts = written(reduce(DataFrame.unionByName, each), f"{path}/discounts")
     probs, contexts = {}, {}
     for order in range(1, ORDER + 1):
         cut = (
             F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         )
-        # A row for each model, as a table of known size: it is broadcast, and
-        # the n-grams of a large language stay where they are.
-        cuts = written(_discounts(counts[order]), f"{path}/discounts{order}")
+        cuts = discounts.where(F.col("order") == order).drop("order")
         known = counts[order].join(cuts, "model").select(
             "model", "gram", F.shiftright("gram", BITS).alias("context"), "n", cut.alias("cut")
         )
