@@ -16,9 +16,17 @@ A document's perplexity is drawn by `PRIOR` symbols towards the mean of its
 language's trusted text, so that a few characters do not decide. The threshold of a language is a far
 fence over the quartiles of trusted documents that the model was not fitted on.
 
+A language has a model and a threshold of its own from `MIN_FIT` trusted documents to
+fit and `MIN_HELD` held out. Below that the common model is used, with the fence of
+all held-out documents as that model scores them, raised by as much as the
+language's own held-out documents lie above the rest: the common model gives a
+language that it hardly knows high perplexities throughout. Of a language with
+fewer than `MIN_HELD` trusted documents, or none held out, all are held out.
+Below both numbers over all languages there is no threshold.
+
 Defined results: a null or empty text has no perplexity and is kept; so is
-everything where no trusted text exists. A null language, or one without trusted
-text, uses the common model and its threshold. Repeated rows get a row each. A
+everything where too little trusted text exists. A null language, or one with too
+little trusted text, uses the common model and its threshold. Repeated rows get a row each. A
 document whose labels disagree is not trusted. Extra columns are passed on by
 `accepted` and not read.
 """
@@ -50,6 +58,9 @@ PRIOR = 200
 # The part of trusted documents that sets the thresholds instead of the counts.
 HELD_OUT_OF = 4
 FENCE = 3.0
+# Trusted documents with text that a model and its fence need at least.
+MIN_FIT = 24
+MIN_HELD = 8
 
 _TABLE = np.full(128, SPACE, np.int64)
 _TABLE[33:127] = np.arange(33, 127)
@@ -251,14 +262,14 @@ class _Lookup:
 
 
 def log_likelihoods(texts: DataFrame, table: DataFrame) -> DataFrame:
-    """`doc_id, lang, model, n, logp` per row of `doc_id, lang, model, text`,
-    over all shards of the table."""
+    """`n, logp` per row of `doc_id, lang, model, text`, over all shards of the
+    table, with all columns but the text."""
     spark = texts.sparkSession
     shards = max(1, -(-table.count() // SHARD_ROWS))
-    id_type = texts.schema["doc_id"].dataType.simpleString()
-    out = f"doc_id {id_type}, lang string, model bigint, body bigint, n bigint, logp double"
-    same = ["doc_id", "lang", "model", "body", "n"]
     rows = texts.withColumn("body", F.xxhash64("text"))
+    same = [*(c for c in rows.columns if c != "text"), "n"]
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in same[:-1])
+    out = f"{kinds}, n bigint, logp double"
 
     def part(shard: int) -> DataFrame:
         mine = table.where(F.pmod(F.xxhash64("key"), F.lit(shards)) == shard).toArrow()
@@ -305,57 +316,81 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
         "doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")
     )
     good = base.join(trusted, "doc_id", "left_semi")
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT_OF)) == 0
+    number = lambda part: F.count_distinct(F.when(part, F.col("doc_id")))
+    evidence = written(
+        good.where("length(text) > 0").groupBy("lang").agg(number(~held).alias("fit"), number(held).alias("held")),
+        f"{path}/evidence",
+    )
+    enough = (F.col("fit") >= MIN_FIT) & (F.col("held") >= MIN_HELD)
+    tiny = (F.col("fit") + F.col("held") < MIN_HELD) | (F.col("held") == 0)
     models = written(
-        good.where("lang is not null and length(text) > 0")
-        .select("lang")
-        .distinct()
-        .select("lang", F.dense_rank().over(Window.orderBy("lang")).cast("bigint").alias("model")),
+        evidence.where("lang is not null").select(
+            "lang",
+            F.when(enough, F.dense_rank().over(Window.orderBy(~enough, "lang"))).cast("bigint").alias("model"),
+            tiny.alias("tiny"),
+        ),
         f"{path}/models",
     )
+    whole = tiny & F.col("lang").isNotNull()
+    common = evidence.agg(
+        F.sum(F.when(~whole, F.col("fit")).otherwise(0)).alias("fit"),
+        F.sum(F.when(whole, F.col("fit") + F.col("held")).otherwise(F.col("held"))).alias("held"),
+    ).where(enough)
 
     def texts(rows: DataFrame) -> DataFrame:
         model = F.coalesce("model", F.lit(0)).cast("bigint").alias("model")
-        return rows.join(models, "lang", "left").select("doc_id", "lang", model, "text")
+        tiny = F.coalesce("tiny", F.lit(False)).alias("tiny")
+        return rows.join(models, "lang", "left").select("doc_id", "lang", model, tiny, "text")
 
-    held = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT_OF)) == 0
-    counts = count_tables(texts(good.where(~held)).select("model", "text"), path)
+    counts = count_tables(texts(good.where(~held)).where("not tiny").select("model", "text"), path)
     probs, contexts = model_tables(counts, path)
-    every = texts(base)
+    # The judges are scored by the common model too, for its own mean and fence.
+    judges = texts(good.where(held)).where("model <> 0").withColumn("model", F.lit(0).cast("bigint"))
+    judges = written(judges, f"{path}/judges").withColumn("again", F.lit(True))
+    every = texts(base).withColumn("again", F.lit(False)).unionByName(judges)
     table = written(corpus_grams(every.select("model", "text"), probs, contexts, path), f"{path}/grams")
     scored = written(log_likelihoods(every, table), f"{path}/scored")
-    judged = trusted.where(held).withColumn("judge", F.lit(True))
-    return _decided(scored.join(judged, "doc_id", "left"), path)
+    judged = trusted.select("doc_id", held.alias("held"))
+    judge = F.coalesce(F.col("held") | (F.col("tiny") & F.col("held").isNotNull()), F.lit(False))
+    return _decided(scored.join(judged, "doc_id", "left").withColumn("judge", judge), common, path)
 
 
-def _decided(scored: DataFrame, path: str) -> DataFrame:
+def _decided(scored: DataFrame, common: DataFrame, path: str) -> DataFrame:
+    """`common` has a row if the common model may set a threshold."""
     rate = (F.sum("logp") / F.sum("n")).alias
-    judges = scored.where("judge and n > 1")
-    means = written(judges.groupBy("model").agg(rate("mean")), f"{path}/means")
-    every = judges.agg(rate("any_mean"))
-    mean = F.coalesce("mean", "any_mean")
-    drawn = (
-        scored.join(means, "model", "left")
-        .join(F.broadcast(every))  # one row
-        .withColumn(
-            "score", F.when(F.col("n") > 1, -(F.col("logp") + PRIOR * mean) / (F.col("n") + PRIOR))
-        )
-    )
+    means = written(scored.where("judge and n > 1").groupBy("model").agg(rate("mean")), f"{path}/means")
+    score = -(F.col("logp") + PRIOR * F.col("mean")) / (F.col("n") + PRIOR)
+    drawn = scored.join(means, "model", "left").withColumn("score", F.when(F.col("n") > 1, score))
     quartiles = F.percentile_approx("score", F.array(F.lit(0.25), F.lit(0.75)), F.lit(10_000))
-    fence = lambda q: q[1] + FENCE * (q[1] - q[0])
-    judged = drawn.where("judge and score is not null")
-    own = written(judged.groupBy("model").agg(fence(quartiles).alias("own")), f"{path}/fences")
-    common = judged.agg(fence(quartiles).alias("common"))
-    limit = F.coalesce("own", "common")
+    fence = quartiles[1] + FENCE * (quartiles[1] - quartiles[0])
+    middle = F.percentile_approx("score", F.lit(0.5), F.lit(10_000))
+    judges = drawn.where("judge and score is not null")
+    fences = judges.groupBy("model").agg(fence.alias("limit"), middle.alias("middle"))
+    allowed = common.select(F.lit(0).cast("bigint").alias("none"))
+    limits = written(
+        fences.join(allowed, fences["model"] == F.col("none"), "left")
+        .where("model <> 0 or none is not null")
+        .select("model", "limit", "middle"),
+        f"{path}/fences",
+    )
+    above = written(
+        judges.where("model = 0 and not again and lang is not null").groupBy("lang").agg(middle.alias("own")),
+        f"{path}/above",
+    ).withColumn("model", F.lit(0).cast("bigint"))
+    limit = F.col("limit") + F.coalesce(F.greatest(F.lit(0.0), F.col("own") - F.col("middle")), F.lit(0.0))
     return (
-        drawn.join(own, "model", "left")
-        .join(F.broadcast(common))  # one row
+        drawn.where("not again")
+        .join(limits, "model", "left")
+        .join(above, ["lang", "model"], "left")
+        .withColumn("limit", limit)
         .select(
             "doc_id",
             "lang",
             (F.col("n") - 1).alias("n_symbols"),
             F.exp("score").alias("perplexity"),
-            F.exp(limit).alias("threshold"),
-            F.coalesce(F.col("score") <= limit, F.lit(True)).alias("kept"),
+            F.exp("limit").alias("threshold"),
+            F.coalesce(F.col("score") <= F.col("limit"), F.lit(True)).alias("kept"),
         )
     )
 

@@ -124,3 +124,22 @@ def test_odd_rows(spark):
     nothing = spark.createDataFrame([], labels.schema)
     assert Q.perplexities(docs, nothing).where("kept").count() == len(ROWS)
     assert Q.perplexities(no_docs(spark), labels).collect() == []
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4])
+def test_languages_with_a_few_trusted_documents(spark, n):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    known = docs.join(labels, "doc_id").where("lang = 'de'").groupBy("doc_id").agg(F.min("quality").alias("q"))
+    few = labels.join(known.where("q = 1").orderBy("doc_id").limit(n).select("doc_id"), "doc_id", "left_semi")
+    others = labels.join(docs.where("lang <> 'de'").select("doc_id"), "doc_id", "left_semi")
+    found = Q.perplexities(docs, others.unionByName(few)).join(known, "doc_id")
+    share = {r["q"]: r["share"] for r in found.groupBy("q").agg(F.avg(F.col("kept").cast("int")).alias("share")).collect()}
+    assert share[1] > 0.9 and share[0] < 0.7
+
+
+def test_too_little_trusted_text_sets_no_threshold(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id % 10 = 0")
+    labels = docs.orderBy("doc_id").limit(Q.MIN_HELD - 1).select("doc_id", F.lit(1).alias("quality"))
+    found = Q.perplexities(docs, labels)
+    assert found.count() == found.where("kept and threshold is null").count() == docs.count()
