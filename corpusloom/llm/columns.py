@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,8 +17,15 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
-def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose id is not in the one column of `ids`; null is a value."""
-    name = fresh(docs, "gone")
-    gone = ids.toDF(name).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col(name)), "left_anti")
+def digest(text: str = "text") -> Column:
+    """What tells apart rows that share an id or have none; null for null."""
+    return F.sha2(F.col(text).cast("string"), 256)
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, keys: list[Column]) -> DataFrame:
+    """The rows whose `keys` are not a row of `gone`, which has a column for
+    each key; null is a value."""
+    names = [fresh(docs, f"gone{i}") for i in range(len(keys))]
+    gone = gone.toDF(*names).distinct()
+    same = reduce(Column.__and__, [k.eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)])
+    return docs.join(gone, same, "left_anti")

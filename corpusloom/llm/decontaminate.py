@@ -28,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.columns import without_ids
+from corpusloom.llm.columns import digest, without_rows
 
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5))
 SPAN = 1 + max(m[-1] for m in MASKS)
@@ -86,6 +86,12 @@ def overlaps(
     which the item's first word falls, `best` the agreement of the best window,
     `matched` that of the whole diagonal."""
     bodies = docs.select("doc_id", words_of(F.col("text")).alias("words"))
+    return _overlaps(bodies, benchmark, window, share)
+
+
+def _overlaps(bodies: DataFrame, benchmark: DataFrame, window: int = 16, share: float = 0.8) -> DataFrame:
+    """The overlaps of `words`, one for each item and value of the other columns."""
+    keys = [c for c in bodies.columns if c != "words"]
     items = benchmark.select(
         "item_id",
         words_of(F.col("text")).alias("words"),
@@ -101,11 +107,11 @@ def overlaps(
     best = F.max(F.struct("best", (-F.col("start")).alias("back"), "matched", "item_words"))
     return (
         reduce(DataFrame.unionByName, parts)
-        .groupBy("doc_id", "item_id")
+        .groupBy(*keys, "item_id")
         .agg(best.alias("b"))
         .where(F.col("b.best") >= F.ceil(F.least(F.lit(window), "b.item_words") * F.lit(share)))
         .select(
-            "doc_id",
+            *keys,
             "item_id",
             (-F.col("b.back")).cast("bigint").alias("start"),
             F.col("b.best").cast("bigint").alias("best"),
@@ -120,6 +126,7 @@ def _block_overlaps(bodies: DataFrame, items: DataFrame, window: int) -> DataFra
     ones hold is asked after the aggregation: a condition on arrays next to the
     join would take the join, and with it whole texts per position, out of
     compiled code."""
+    keys = [c for c in bodies.columns if c != "words"]
     short = [
         r["n"]
         for r in items.where(F.size("words") < SPAN).select(F.size("words").alias("n")).distinct().collect()
@@ -143,7 +150,7 @@ def _block_overlaps(bodies: DataFrame, items: DataFrame, window: int) -> DataFra
     cut = F.greatest(F.lit(0), -start)
     along = F.least(F.size("theirs") - cut, F.size("words") - F.greatest(start, F.lit(0)))
     beside = hits.where(along >= F.least(F.lit(window), F.size("theirs"))).select(
-        "doc_id",
+        *keys,
         "item_id",
         "theirs",
         start.alias("start"),
@@ -162,7 +169,7 @@ def _block_overlaps(bodies: DataFrame, items: DataFrame, window: int) -> DataFra
         lambda a: F.aggregate(F.slice("agree", a, F.col("size")), F.lit(0), lambda s, x: s + x),
     )
     laid = beside.select(
-        "doc_id",
+        *keys,
         "item_id",
         "start",
         n_item.alias("item_words"),
@@ -170,7 +177,7 @@ def _block_overlaps(bodies: DataFrame, items: DataFrame, window: int) -> DataFra
         size.alias("size"),
     )
     return laid.select(
-        "doc_id",
+        *keys,
         "item_id",
         "start",
         "item_words",
@@ -181,4 +188,6 @@ def _block_overlaps(bodies: DataFrame, items: DataFrame, window: int) -> DataFra
 
 def clean(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """The documents that overlap with no item, with all their columns."""
-    return without_ids(docs, overlaps(docs, benchmark, **kw).select("doc_id"))
+    bodies = docs.select("doc_id", digest().alias("digest"), words_of(F.col("text")).alias("words"))
+    leaks = _overlaps(bodies, benchmark, **kw).select("doc_id", "digest")
+    return without_rows(docs, leaks, [docs["doc_id"], digest()])

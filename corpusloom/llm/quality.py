@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.arrow import code_points, slices, sums
-from corpusloom.llm.columns import without_ids
+from corpusloom.llm.columns import digest, without_rows
 from corpusloom.llm.store import shared_dir, written
 
 ORDER = 5
@@ -307,13 +307,21 @@ def log_likelihoods(texts: DataFrame, table: DataFrame) -> DataFrame:
 def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: `doc_id, lang, n_symbols, perplexity, threshold,
     kept`."""
+    return _perplexities(docs, labels).drop("digest")
+
+
+def _perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """As `perplexities`, with the digest of the text."""
     path = shared_dir(docs.sparkSession)
     trusted = written(
         labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id"),
         f"{path}/trusted",
     )
     base = docs.select(
-        "doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")
+        "doc_id",
+        F.col("lang").cast("string").alias("lang"),
+        F.col("text").cast("string").alias("text"),
+        digest().alias("digest"),
     )
     good = base.join(trusted, "doc_id", "left_semi")
     held = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT_OF)) == 0
@@ -341,7 +349,7 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def texts(rows: DataFrame) -> DataFrame:
         model = F.coalesce("model", F.lit(0)).cast("bigint").alias("model")
         tiny = F.coalesce("tiny", F.lit(False)).alias("tiny")
-        return rows.join(models, "lang", "left").select("doc_id", "lang", model, tiny, "text")
+        return rows.join(models, "lang", "left").select("doc_id", "lang", model, tiny, "digest", "text")
 
     counts = count_tables(texts(good.where(~held)).where("not tiny").select("model", "text"), path)
     probs, contexts = model_tables(counts, path)
@@ -387,6 +395,7 @@ def _decided(scored: DataFrame, common: DataFrame, path: str) -> DataFrame:
         .select(
             "doc_id",
             "lang",
+            "digest",
             (F.col("n") - 1).alias("n_symbols"),
             F.exp("score").alias("perplexity"),
             F.exp("limit").alias("threshold"),
@@ -397,5 +406,5 @@ def _decided(scored: DataFrame, common: DataFrame, path: str) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier keeps, with all their columns."""
-    rejected = perplexities(docs, labels).where(~F.col("kept")).select("doc_id")
-    return without_ids(docs, rejected)
+    rejected = _perplexities(docs, labels).where(~F.col("kept")).select("doc_id", "lang", "digest")
+    return without_rows(docs, rejected, [docs["doc_id"], docs["lang"].cast("string"), digest()])

@@ -126,3 +126,10 @@ def test_clean_keeps_columns_and_odd_rows(spark):
     hot = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(f"x {ITEM} y").alias("text"))
     found = decontaminate.overlaps(hot, spark.createDataFrame([(1, ITEM)], "item_id bigint, text string"))
     assert found.count() == 3000
+
+
+def test_one_leak_takes_no_other_row_with_it(spark):
+    data = [(None, f"x {ITEM} y"), (None, "clean words"), (None, None), (4, ITEM), (4, "clean too"), (5, "clean")]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string")
+    kept = decontaminate.clean(docs, spark.createDataFrame([(1, ITEM)], "item_id bigint, text string"))
+    assert {tuple(r) for r in kept.collect()} == {data[i] for i in (1, 2, 4, 5)}

@@ -143,3 +143,16 @@ def test_too_little_trusted_text_sets_no_threshold(spark):
     labels = docs.orderBy("doc_id").limit(Q.MIN_HELD - 1).select("doc_id", F.lit(1).alias("quality"))
     found = Q.perplexities(docs, labels)
     assert found.count() == found.where("kept and threshold is null").count() == docs.count()
+
+
+def test_one_rejected_row_takes_no_other_with_it(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    good = docs.join(labels.where("quality = 1"), "doc_id", "left_semi").where("lang = 'en'").orderBy("doc_id").limit(1)
+    text = good.first()["text"]
+    junk = "".join(chr(33 + (i * i * 31 + i * 7) % 90) for i in range(2000))
+    more = spark.createDataFrame(
+        [(None, "en", text), (None, "en", junk), (-1, "en", text), (-1, "en", junk)], docs.schema
+    )
+    kept = Q.accepted(docs.unionByName(more), labels).where("doc_id is null or doc_id = -1")
+    assert rows(kept, "doc_id", "text") == sorted([(None, text), (-1, text)], key=repr)
