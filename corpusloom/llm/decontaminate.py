@@ -8,7 +8,8 @@ the item on that diagonal, and the overlap holds if some window of `window`
 words (or the whole item, if it is shorter) agrees in at least `share` of them.
 
 The masks find every window of 16 words with up to three substitutions: a test
-tries all of them. Items shorter than the masks are sought by all their words.
+tries all of them. For items of fewer than `SHORT` words, the placements of
+substitutions that the masks miss get a mask each, of all the other words.
 
 The documents never move: seeds are hashed, looked up and verified in the task
 that reads a document, and what is aggregated are small rows of agreement. The
@@ -24,6 +25,8 @@ Further columns are not read; `clean` passes all of them on.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,9 +35,26 @@ from corpusloom.llm.columns import digest, without_rows
 
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5))
 SPAN = 1 + max(m[-1] for m in MASKS)
+SHORT = 12
 BLOCK_SEEDS = 100_000
 
 
+def finds(mask: tuple[int, ...], n: int, bad: tuple[int, ...]) -> bool:
+    """Whether a mask, laid somewhere on `n` words, avoids the positions `bad`."""
+    return any(not any(p + o in bad for o in mask) for p in range(n - mask[-1]))
+
+
+def short_masks(n: int, allowed: int) -> list[tuple[int, ...]]:
+    """Masks for whole items of `n` words that, with `MASKS`, find every
+    placement of up to `allowed` substitutions."""
+    missed = [
+        bad
+        for bad in combinations(range(n), allowed)
+        if not any(finds(m, n, bad) for m in MASKS)
+    ]
+    return [tuple(i for i in range(n) if i not in bad) for bad in missed if len(bad) < n]
+
+
 def words_of(text: Column) -> Column:
     """Lower-case words of letters and digits; an empty array for null."""
     plain = F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}\s]+", "")
@@ -47,14 +67,21 @@ def _seed(kind: int, offsets: tuple[int, ...], words: Column, at: Column, n: Col
     return F.when(at + (offsets[-1] + 1) <= n, F.xxhash64(F.lit(kind), *picked))
 
 
-def _seeds(texts: DataFrame, masks: list[tuple[int, tuple[int, ...]]]) -> DataFrame:
-    """Explodes `words` into positions, and each into its masks' seeds."""
+def _seeds(
+    texts: DataFrame, masks: list[tuple[int, tuple[int, ...]]], whole: dict[int, int] | None = None
+) -> DataFrame:
+    """Explodes `words` into positions, and each into its masks' seeds. Those
+    in `whole` are laid only at the start of texts with that number of words."""
     n = F.size("words")
     at = texts.select(
         "*",
         F.explode_outer(F.when(n > 0, F.sequence(F.lit(0), n - 1))).alias("at"),
     )
     seeds = [_seed(k, m, F.col("words"), F.col("at"), F.size("words")) for k, m in masks]
+    seeds = [
+        F.when((F.col("at") == 0) & (F.size("words") == whole[k]), s) if k in (whole or {}) else s
+        for (k, _), s in zip(masks, seeds, strict=True)
+    ]
     return at.select("*", F.explode_outer(F.array(*seeds)).alias("seed"))
 
 
@@ -101,9 +128,9 @@ def _overlaps(bodies: DataFrame, benchmark: DataFrame, window: int = 16, share:
     parts = []
     for block in _blocks(items):
         mine = items.where((F.col("item") % F.lit(1 << 20)).isin(block))
-        parts.append(_block_overlaps(bodies, mine, window))
+        parts.append(_block_overlaps(bodies, mine, window, share))
     if not parts:
-        parts = [_block_overlaps(bodies, items.where("false"), window)]
+        parts = [_block_overlaps(bodies, items.where("false"), window, share)]
     best = F.max(F.struct("best", (-F.col("start")).alias("back"), "matched", "item_words"))
     return (
         reduce(DataFrame.unionByName, parts)
@@ -121,7 +148,7 @@ def _overlaps(bodies: DataFrame, benchmark: DataFrame, window: int = 16, share:
     )
 
 
-def _block_overlaps(bodies: DataFrame, items: DataFrame, window: int) -> DataFrame:
+def _block_overlaps(bodies: DataFrame, items: DataFrame, window: int, share: float) -> DataFrame:
     """Every hit of a block's seeds with the agreement on its diagonal. Which
     ones hold is asked after the aggregation: a condition on arrays next to the
     join would take the join, and with it whole texts per position, out of
@@ -129,16 +156,16 @@ def _block_overlaps(bodies: DataFrame, items: DataFrame, window: int) -> DataFra
     keys = [c for c in bodies.columns if c != "words"]
     short = [
         r["n"]
-        for r in items.where(F.size("words") < SPAN).select(F.size("words").alias("n")).distinct().collect()
+        for r in items.where(F.size("words") < SHORT).select(F.size("words").alias("n")).distinct().collect()
     ]
-    masks = [*enumerate(MASKS), *((100 + n, tuple(range(n))) for n in sorted(short))]
-    # A short item is only sought whole, by the mask of its own length.
-    wanted = F.when(F.size("words") >= SPAN, F.col("seed").isNotNull()).otherwise(
-        F.col("seed") == F.xxhash64(F.size("words") + 100, *[F.get("words", F.lit(o)) for o in range(SPAN)])
-    )
+    masks, whole = [*enumerate(MASKS)], {}
+    for n in sorted(short):
+        for mask in short_masks(n, n - ceil(min(window, n) * share)):
+            whole[len(masks)] = n
+            masks.append((len(masks), mask))
     seeds = (
-        _seeds(items, masks)
-        .where(wanted)
+        _seeds(items, masks, whole)
+        .where("seed is not null")
         .select("item_id", F.col("words").alias("theirs"), F.col("at").alias("item_at"), "seed")
         .distinct()
     )

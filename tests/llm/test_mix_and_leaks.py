@@ -133,3 +133,23 @@ def test_one_leak_takes_no_other_row_with_it(spark):
     docs = spark.createDataFrame(data, "doc_id bigint, text string")
     kept = decontaminate.clean(docs, spark.createDataFrame([(1, ITEM)], "item_id bigint, text string"))
     assert {tuple(r) for r in kept.collect()} == {data[i] for i in (1, 2, 4, 5)}
+
+
+def test_short_items_with_every_allowed_substitution(spark):
+    for n in range(1, 12):
+        k = n - -(-8 * n // 10)
+        masks = decontaminate.short_masks(n, k)
+        for bad in combinations(range(n), k):
+            assert any(not set(m) & set(bad) for m in masks) or any(
+                decontaminate.finds(m, n, bad) for m in decontaminate.MASKS
+            )
+    texts, items, want = [], [], []
+    for n in (4, 5, 6, 7, 10, 11):
+        words = [f"w{n}x{i}" for i in range(n)]
+        k = n - -(-8 * n // 10)
+        items.append(" ".join(words))
+        for bad in combinations(range(n), k):
+            want.append((len(texts), len(items) - 1, n - k, n - k))
+            texts.append("a b " + " ".join("z" if i in bad else w for i, w in enumerate(words)) + " c")
+        texts.append(" ".join("z" if i <= k else w for i, w in enumerate(words)))
+    assert leak(spark, texts, items) == sorted(want, key=repr)
