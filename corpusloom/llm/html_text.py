@@ -4,9 +4,10 @@ The standard library's parser streams its events once per page. They are cut
 into lines, one for each block of text, with the number of tags that go with
 it. The ratio of text to tags per line is smoothed with a Gaussian, and lines
 above a threshold (the ratios' spread) form the content cluster. The cluster
-votes for regions: the article or, where a page declares none, the container
-that holds most of it. All lines of the chosen regions are kept, short ones
-too, except for those inside elements that are never article text.
+votes for regions: the articles, if they hold most of it, or else the least
+container that holds all of it. All lines of the chosen region are kept, short
+ones too, except for those inside elements that are never article text, and
+those marked as furniture by a name that the cluster does not favour.
 
 Defined results: a null or empty page, and one without any text, gives an empty
 text. Unclosed and misnested tags are repaired as far as blocks go. Character
@@ -37,7 +38,7 @@ UNSEEN = frozenset(
     "script style template noscript head title iframe object canvas svg math textarea".split()
 )
 FURNITURE = frozenset(
-    "nav header footer aside form menu dialog button select fieldset figcaption".split()
+    "nav header footer aside form menu dialog button select fieldset".split()
 )
 ARTICLE = frozenset(("article", "main"))
 # Words that mark an element as furniture in its class, id or role.
@@ -76,6 +77,8 @@ class Blocks(HTMLParser):
 
     lines: list[Line] = field(default_factory=list)
     kinds: dict[int, str] = field(default_factory=dict)
+    # Elements with a mark; true where a whole name is made of such words.
+    marks: dict[int, bool] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         HTMLParser.__init__(self, convert_charrefs=True)
@@ -105,16 +108,18 @@ class Blocks(HTMLParser):
             while self.stack and self.stack[-1].furniture:
                 self.stack.pop()
         above = self.stack[-1] if self.stack else _Open("", 0, False, False)
-        key = 0
-        if tag not in INLINE:
+        key, mark = 0, None if tag in WHOLE else _mark(attrs)
+        if tag not in INLINE or mark is not None:
             key = len(self.kinds) + 1
             self.kinds[key] = tag
+            if mark is not None:
+                self.marks[key] = mark
         self.stack.append(
             _Open(
                 tag,
                 key,
                 above.hidden or tag in UNSEEN or _hidden(attrs),
-                above.furniture or tag in FURNITURE or (tag not in WHOLE and _marked(attrs)),
+                above.furniture or tag in FURNITURE,
             )
         )
 
@@ -164,13 +169,16 @@ def _hidden(attrs) -> bool:
     )
 
 
-def _marked(attrs) -> bool:
-    return any(
-        name in ("class", "id", "role")
-        and value
-        and any(w.lower() in MARKS for w in _WORD.findall(value))
-        for name, value in attrs
-    )
+def _mark(attrs) -> bool | None:
+    """None without a mark, else whether some name consists of marks only."""
+    found = None
+    for name, value in attrs:
+        if name in ("class", "id", "role"):
+            for token in (value or "").split():
+                marks = [w.lower() in MARKS for w in _WORD.findall(token)]
+                if any(marks):
+                    found = bool(found) or all(marks)
+    return found
 
 
 def smoothed_ratios(lines: list[Line], radius: int = RADIUS) -> np.ndarray:
@@ -182,28 +190,66 @@ def smoothed_ratios(lines: list[Line], radius: int = RADIUS) -> np.ndarray:
     return total / share
 
 
+def _cluster(lines: list[Line]) -> tuple[list[Line], dict[int, int]]:
+    """The lines above the threshold, and their mass in each element."""
+    ratios = smoothed_ratios(lines)
+    inside = ratios >= min(float(np.std(ratios)), float(ratios.max()))
+    cluster = [x for x, y in zip(lines, inside, strict=True) if y]
+    return cluster, _mass(cluster)
+
+
+def _mass(lines: list[Line]) -> dict[int, int]:
+    mass: dict[int, int] = {}
+    for line in lines:
+        for key in line.path:
+            mass[key] = mass.get(key, 0) + len(line.text)
+    return mass
+
+
+def _refused(blocks: Blocks, lines: list[Line]) -> set[int]:
+    """Marked elements that the cluster does not favour. A name with other
+    words in it counts for nothing if most of the element's text is in the
+    cluster; a name of marks only, if most of the cluster is in the element and
+    none in an article elsewhere."""
+    cluster, mass = _cluster(lines)
+    whole, total = sum(len(x.text) for x in cluster), _mass(lines)
+    out = set()
+    for key, plain in blocks.marks.items():
+        if plain:
+            elsewhere = (x for x in cluster if key not in x.path)
+            favoured = 2 * mass.get(key, 0) > whole and not any(
+                blocks.kinds[k] in ARTICLE for x in elsewhere for k in x.path
+            )
+        else:
+            favoured = 2 * mass.get(key, 0) > total.get(key, 0)
+        if not favoured:
+            out.add(key)
+    return out
+
+
 def content_lines(blocks: Blocks) -> list[Line]:
     lines = [x for x in blocks.lines if not x.furniture]
+    if lines and blocks.marks:
+        refused = _refused(blocks, lines)
+        lines = [x for x in lines if refused.isdisjoint(x.path)]
     if not lines:
         return []
-    ratios = smoothed_ratios(lines)
-    cluster = ratios >= min(float(np.std(ratios)), float(ratios.max()))
-
-    mass: dict[int, int] = {}
-    for line, inside in zip(lines, cluster, strict=True):
-        if inside:
-            for key in line.path:
-                mass[key] = mass.get(key, 0) + len(line.text)
-    whole = sum(len(x.text) for x, inside in zip(lines, cluster, strict=True) if inside)
-
-    articles = {k: m for k, m in mass.items() if blocks.kinds[k] in ARTICLE}
-    if articles:
-        # The outermost article that the cluster favours, and its peers of like weight.
-        top = max(articles.values())
-        chosen = {k for k, m in articles.items() if 2 * m >= top}
+    cluster, mass = _cluster(lines)
+    whole = sum(len(x.text) for x in cluster)
+
+    # Articles beside each other are one region, whatever their sizes.
+    groups: dict[int, set[int]] = {}
+    for line in lines:
+        for above, key in zip((0, *line.path), line.path):
+            if blocks.kinds[key] in ARTICLE:
+                groups.setdefault(above, set()).add(key)
+    weight = {above: sum(mass.get(k, 0) for k in keys) for above, keys in groups.items()}
+    top = max(weight, key=lambda above: (weight[above], -above), default=None)
+    if top is not None and 2 * weight[top] > whole:
+        chosen = groups[top]
     else:
-        # The deepest container that still holds nearly all of the cluster.
-        holds = [k for k, m in mass.items() if m >= 0.9 * whole and _container(blocks.kinds[k])]
+        # The deepest container that holds all of the cluster.
+        holds = [k for k, m in mass.items() if m == whole and _container(blocks.kinds[k])]
         if not holds:
             return lines
         chosen = {max(holds)}

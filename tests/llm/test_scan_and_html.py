@@ -126,3 +126,21 @@ def test_ratios_are_smoothed():
     lines = [html_text.Line("x" * n, 1, (), False) for n in (1, 1, 100, 1, 1)]
     smooth = html_text.smoothed_ratios(lines)
     assert smooth[2] == max(smooth) < 100 and smooth[1] > 1
+
+
+PART = "A short report on the harvest of the year and what it brought. "
+
+
+def test_regions_are_not_cut_by_shares():
+    said = lambda *parts: " ".join(x.strip() for x in parts)
+    pages = {
+        f"<article><p>{BODY}</p></article><article><p>{PART}</p></article>": said(BODY, PART),
+        f"<div><article><p>{PART}</p></article></div><div><p>{BODY}</p><p>{BODY}</p></div>": said(PART, BODY, BODY),
+        f"<div><p>{PART}</p></div><div><p>{BODY * 3}</p></div>": said(PART, BODY * 3),
+        f"<article><p>{BODY}</p><figure><figcaption>{PART}</figcaption></figure></article>": said(BODY, PART),
+        f"<div class='content has-sidebar'><p>{BODY}</p><p>{BODY}</p></div>": said(BODY, BODY),
+        f"<article><p>{BODY}</p><section class='related-work'><p>{BODY}</p></section></article>": said(BODY, BODY),
+        f"<article><p>{BODY}</p></article><div class='comments'><p>{BODY * 3}</p></div>": said(BODY),
+    }
+    for inside, want in pages.items():
+        assert html_text.main_text(page(inside)) == want, inside
