@@ -11,8 +11,10 @@ from corpusloom.llm import (
     jaccard_join,
     language_id,
     mixing,
+    prefix_trie,
     quality,
     secret_scan,
+    spelling,
     token_counts,
     warc,
 )
@@ -96,6 +98,14 @@ def op10_language_id(spark, root):
     return found.select("doc_id", held_out, "lang_pred", "score")
 
 
+def op11_prefix_trie(spark, root):
+    return prefix_trie.prefix_trie(table(spark, root, "conversations"))
+
+
+def op12_spelling(spark, root):
+    return spelling.spelling_variants(table(spark, root, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -109,5 +119,7 @@ QUERIES = {
         op8_warc,
         op9_exact_dedup,
         op10_language_id,
+        op11_prefix_trie,
+        op12_spelling,
     )
 }
