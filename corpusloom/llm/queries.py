@@ -11,6 +11,7 @@ from corpusloom.llm import (
     jaccard_join,
     language_id,
     mixing,
+    pii,
     prefix_trie,
     quality,
     secret_scan,
@@ -106,6 +107,16 @@ def op12_spelling(spark, root):
     return spelling.spelling_variants(table(spark, root, "documents"))
 
 
+def op13_personal_data(spark, root):
+    found = pii.personal_data(table(spark, root, "documents"))
+    return found.select(
+        "doc_id",
+        *[f"n_{k}" for k in pii.KINDS],
+        F.sha2("base", 256).alias("base_sha256"),
+        pii.spans_text(F.col("base"), F.col("terms")).alias("spans"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -121,5 +132,6 @@ QUERIES = {
         op10_language_id,
         op11_prefix_trie,
         op12_spelling,
+        op13_personal_data,
     )
 }
