@@ -31,6 +31,9 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The sum of each run of `lengths` values; empty runs give 0."""
-    ends = np.cumsum(lengths)
-    total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
-    return total[ends] - total[ends - lengths]
+    out = np.zeros(len(lengths))
+    some = lengths > 0
+    if some.any():
+        # A run's sum must not depend on what stands before it.
+        out[some] = np.add.reduceat(values.astype(np.float64), (np.cumsum(lengths) - lengths)[some])
+    return out

@@ -11,10 +11,11 @@ The masks find every window of 16 words with up to three substitutions: a test
 tries all of them. For items of fewer than `SHORT` words, the placements of
 substitutions that the masks miss get a mask each, of all the other words.
 
-The documents never move: seeds are hashed, looked up and verified in the task
-that reads a document, and what is aggregated are small rows of agreement. The
-benchmark comes in blocks of items with at most `BLOCK_SEEDS` seeds, each
-broadcast in turn, so the size of what is broadcast is fixed.
+Documents stay where they are read: seeds are hashed, looked up and tried on the
+words around them there. The benchmark's seeds come in blocks of at most
+`BLOCK_SEEDS`, each with the hashes of some fifty words, broadcast in turn, so
+the size of what is broadcast is fixed. What is aggregated are small rows; only
+the documents that overlap are laid along their items as a whole.
 
 Only DataFrame operations. Defined results: a null or empty text, or item,
 overlaps with nothing. Null ids are compared as values. Repeated rows give one
@@ -31,6 +32,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.exprs import index_range, let
 from corpusloom.llm.columns import digest, without_rows
 
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5))
@@ -61,6 +63,11 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(plain, r"\s+"), lambda w: w != "")
 
 
+def marks_of(words: Column) -> Column:
+    """A hash for each word: what is looked up and tried beside seeds."""
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
 def _seed(kind: int, offsets: tuple[int, ...], words: Column, at: Column, n: Column) -> Column:
     """The hash of a mask laid at a position; null where it does not fit."""
     picked = [F.get(words, at + o) for o in offsets]
@@ -70,24 +77,32 @@ def _seed(kind: int, offsets: tuple[int, ...], words: Column, at: Column, n: Col
 def _seeds(
     texts: DataFrame, masks: list[tuple[int, tuple[int, ...]]], whole: dict[int, int] | None = None
 ) -> DataFrame:
-    """Explodes `words` into positions, and each into its masks' seeds. Those
-    in `whole` are laid only at the start of texts with that number of words."""
-    n = F.size("words")
+    """Explodes `marks` into positions, and each into its masks' `seed`, with
+    the seed `before` it under the same mask. Those in `whole` are laid only at the start of texts with that number of words."""
+    n = F.size("marks")
     at = texts.select(
         "*",
         F.explode_outer(F.when(n > 0, F.sequence(F.lit(0), n - 1))).alias("at"),
     )
-    seeds = [_seed(k, m, F.col("words"), F.col("at"), F.size("words")) for k, m in masks]
+    seeds = [_seed(k, m, F.col("marks"), F.col("at"), F.size("marks")) for k, m in masks]
     seeds = [
-        F.when((F.col("at") == 0) & (F.size("words") == whole[k]), s) if k in (whole or {}) else s
+        F.when((F.col("at") == 0) & (F.size("marks") == whole[k]), s) if k in (whole or {}) else s
         for (k, _), s in zip(masks, seeds, strict=True)
     ]
-    return at.select("*", F.explode_outer(F.array(*seeds)).alias("seed"))
+    before = [
+        F.lit(None).cast("bigint")
+        if k in (whole or {})
+        else F.when(F.col("at") > 0, _seed(k, m, F.col("marks"), F.col("at") - 1, F.size("marks")))
+        for k, m in masks
+    ]
+    pairs = [F.struct(s.alias("seed"), b.alias("before")) for s, b in zip(seeds, before, strict=True)]
+    return at.select("*", F.explode(F.array(*pairs)).alias("s")).select("*", "s.*").drop("s")
 
 
-def _blocks(items: DataFrame) -> list[list[int]]:
-    """Item numbers of each block. Only sizes come to the driver, in groups of
-    a hundred items."""
+def _blocks(items: DataFrame) -> list[tuple[list[int], int]]:
+    """Item numbers of each block, and in how many pieces its seeds come: the
+    seeds of a very long item are dealt out by their position. Only sizes come
+    to the driver."""
     sizes = (
         items.groupBy((F.col("item") % F.lit(1 << 20)).alias("part"))
         .agg(F.sum(F.size("words")).alias("n"))
@@ -98,9 +113,9 @@ def _blocks(items: DataFrame) -> list[list[int]]:
     for row in sizes:
         need = row["n"] * len(MASKS)
         if not blocks or need > room:
-            blocks.append([])
+            blocks.append(([], max(1, ceil(need / BLOCK_SEEDS))))
             room = BLOCK_SEEDS
-        blocks[-1].append(row["part"])
+        blocks[-1][0].append(row["part"])
         room -= need
     return blocks
 
@@ -112,109 +127,152 @@ def overlaps(
     start, best, matched, item_words`. `start` is the word of the document at
     which the item's first word falls, `best` the agreement of the best window,
     `matched` that of the whole diagonal."""
-    bodies = docs.select("doc_id", words_of(F.col("text")).alias("words"))
-    return _overlaps(bodies, benchmark, window, share)
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    found = _overlaps(rows.withColumn("body", F.xxhash64("text")), benchmark, window, share)
+    best = F.max(F.struct("best", (-F.col("start")).alias("back"), "matched", "item_words"))
+    return (
+        found.groupBy("doc_id", "item_id")
+        .agg(best.alias("b"))
+        .select(
+            "doc_id",
+            "item_id",
+            (-F.col("b.back")).cast("bigint").alias("start"),
+            *[F.col(f"b.{c}").cast("bigint").alias(c) for c in ("best", "matched", "item_words")],
+        )
+    )
 
 
-def _overlaps(bodies: DataFrame, benchmark: DataFrame, window: int = 16, share: float = 0.8) -> DataFrame:
-    """The overlaps of `words`, one for each item and value of the other columns."""
-    keys = [c for c in bodies.columns if c != "words"]
+def _overlaps(texts: DataFrame, benchmark: DataFrame, window: int, share: float) -> DataFrame:
+    """`text`'s best diagonal for each item, for each value of the two key
+    columns, an id and a digest of the text."""
+    keys = [c for c in texts.columns if c != "text"]
     items = benchmark.select(
         "item_id",
         words_of(F.col("text")).alias("words"),
     ).where(F.size("words") > 0)
     items = items.withColumn("item", F.xxhash64("item_id", "words"))
+    marks = marks_of(F.col("words"))
+    bodies = texts.select(*keys, marks_of(words_of(F.col("text"))).alias("marks"))
+    marked = items.select("item_id", "item", F.size("words").alias("n"), marks.alias("marks"))
 
     parts = []
-    for block in _blocks(items):
-        mine = items.where((F.col("item") % F.lit(1 << 20)).isin(block))
-        parts.append(_block_overlaps(bodies, mine, window, share))
+    for block, pieces in _blocks(items):
+        mine = marked.where((F.col("item") % F.lit(1 << 20)).isin(block))
+        parts += [_block_hits(bodies, mine, window, share, pieces, i) for i in range(pieces)]
     if not parts:
-        parts = [_block_overlaps(bodies, items.where("false"), window, share)]
-    best = F.max(F.struct("best", (-F.col("start")).alias("back"), "matched", "item_words"))
-    return (
+        parts = [_block_hits(bodies, marked.where("false"), window, share)]
+    best = F.max(F.struct("best", (-F.col("start")).alias("back")))
+    winners = (
         reduce(DataFrame.unionByName, parts)
-        .groupBy(*keys, "item_id")
+        .groupBy(*keys, "item_id", "item", "n")
         .agg(best.alias("b"))
-        .where(F.col("b.best") >= F.ceil(F.least(F.lit(window), "b.item_words") * F.lit(share)))
+        .where(F.col("b.best") >= F.ceil(F.least(F.lit(window), "n") * F.lit(share)))
         .select(
-            *keys,
+            *[F.col(k).alias(f"_{k}") for k in keys],
             "item_id",
-            (-F.col("b.back")).cast("bigint").alias("start"),
-            F.col("b.best").cast("bigint").alias("best"),
-            F.col("b.matched").cast("bigint").alias("matched"),
-            F.col("b.item_words").cast("bigint").alias("item_words"),
+            "item",
+            F.col("n").alias("item_words"),
+            (-F.col("b.back")).alias("start"),
+            F.col("b.best").alias("best"),
         )
     )
+    # Only documents that overlap meet their item as a whole.
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    theirs = items.select("item", F.col("words").alias("theirs")).distinct()
+    laid = texts.join(winners, same).join(theirs, "item")
+    cut = F.greatest(F.lit(0), -F.col("start"))
+    matched = let(
+        F.slice(words_of(F.col("text")), F.greatest(F.lit(0), F.col("start")) + 1, F.col("item_words") - cut),
+        lambda ours: _count(_agreement(ours, F.slice("theirs", cut + 1, F.size(ours)))),
+    )
+    return laid.select(*keys, "item_id", "start", "best", matched.alias("matched"), "item_words")
+
+
+def _agreement(ours: Column, theirs: Column) -> Column:
+    return F.zip_with(ours, theirs, lambda x, y: F.when(x == y, 1).otherwise(0))
+
 
+def _count(agree: Column) -> Column:
+    return F.aggregate(agree, F.lit(0), lambda s, x: s + x)
 
-def _block_overlaps(bodies: DataFrame, items: DataFrame, window: int, share: float) -> DataFrame:
-    """Every hit of a block's seeds with the agreement on its diagonal. Which
-    ones hold is asked after the aggregation: a condition on arrays next to the
-    join would take the join, and with it whole texts per position, out of
-    compiled code."""
-    keys = [c for c in bodies.columns if c != "words"]
+
+def _block_hits(
+    bodies: DataFrame, items: DataFrame, window: int, share: float, pieces: int = 1, piece: int = 0
+) -> DataFrame:
+    """`start, best` for the hits of a block's seeds: the best window near each.
+
+    Of the hits of a mask that follow each other on a diagonal only the first is
+    looked at. All words from there to the last of them agree, so that either a
+    window that begins there agrees throughout, or every window around a later
+    hit of the run begins or ends within two windows of the first.
+
+    Rows that carry the marks of a whole text must not leave compiled code, which
+    would copy them for every word: next to the explode and the join are only
+    expressions that compile, and which hits hold is asked further on.
+    """
+    keys = [c for c in bodies.columns if c != "marks"]
     short = [
         r["n"]
-        for r in items.where(F.size("words") < SHORT).select(F.size("words").alias("n")).distinct().collect()
+        for r in items.where(F.col("n") < SHORT).select("n").distinct().collect()
     ]
     masks, whole = [*enumerate(MASKS)], {}
     for n in sorted(short):
         for mask in short_masks(n, n - ceil(min(window, n) * share)):
             whole[len(masks)] = n
             masks.append((len(masks), mask))
+    # Beside a seed stand the marks around it, not the item.
+    ahead = F.least(F.col("at"), F.lit(window - 1))
+    around = F.slice("marks", F.col("at") - ahead + 1, ahead + (2 * window + SPAN))
     seeds = (
         _seeds(items, masks, whole)
         .where("seed is not null")
-        .select("item_id", F.col("words").alias("theirs"), F.col("at").alias("item_at"), "seed")
+        .where(F.pmod("at", F.lit(pieces)) == piece)
+        .select(
+            "item_id",
+            "item",
+            "n",
+            F.col("at").alias("item_at"),
+            ahead.alias("ahead"),
+            around.alias("near"),
+            "seed",
+            F.col("before").alias("item_before"),
+        )
         .distinct()
     )
-    hits = _seeds(bodies, masks).join(F.broadcast(seeds), "seed")
-
-    # A hit leaves the scan with the stretch of the document along the item, not
-    # with the document: long texts have many hits.
-    start = F.col("at") - F.col("item_at")
-    cut = F.greatest(F.lit(0), -start)
-    along = F.least(F.size("theirs") - cut, F.size("words") - F.greatest(start, F.lit(0)))
-    beside = hits.where(along >= F.least(F.lit(window), F.size("theirs"))).select(
-        *keys,
-        "item_id",
-        "theirs",
-        start.alias("start"),
-        cut.alias("cut"),
-        F.slice("words", F.greatest(start, F.lit(0)) + 1, F.size("theirs") - cut).alias("ours"),
-    )
-    n_item = F.size("theirs")
-    agree = F.zip_with(
-        "ours",
-        F.slice("theirs", F.col("cut") + 1, F.size("ours")),
-        lambda x, y: F.when(x == y, 1).otherwise(0),
+    mine = _seeds(bodies, masks).withColumnRenamed("before", "own_before")
+    hits = mine.join(F.broadcast(seeds), "seed").where(
+        ~F.coalesce(F.col("own_before") == F.col("item_before"), F.lit(False))
     )
-    size = F.least(F.lit(window), n_item)
-    sums = F.transform(
-        F.sequence(F.lit(1), F.size("agree") - F.col("size") + 1),
-        lambda a: F.aggregate(F.slice("agree", a, F.col("size")), F.lit(0), lambda s, x: s + x),
-    )
-    laid = beside.select(
+    first = F.col("at") - F.col("ahead")
+    cut = F.greatest(F.lit(0), -first)
+    beside = hits.select(
         *keys,
         "item_id",
-        "start",
-        n_item.alias("item_words"),
-        agree.alias("agree"),
-        size.alias("size"),
+        "item",
+        "n",
+        (F.col("at") - F.col("item_at")).alias("start"),
+        cut.alias("cut"),
+        "near",
+        F.slice("marks", F.greatest(first, F.lit(0)) + 1, F.size("near") - cut).alias("ours"),
     )
-    return laid.select(
-        *keys,
-        "item_id",
-        "start",
-        "item_words",
-        F.array_max(sums).alias("best"),
-        F.aggregate("agree", F.lit(0), lambda s, x: s + x).alias("matched"),
+    size = F.least(F.lit(window), F.col("n"))
+    agree = _agreement(F.col("ours"), F.slice("near", F.col("cut") + 1, F.size("ours")))
+    best = let(
+        agree,
+        lambda x: F.array_max(
+            F.transform(
+                index_range(F.greatest(F.size(x) - size + 1, F.lit(0))),
+                lambda i: _count(F.slice(x, i + 1, size)),
+            )
+        ),
     )
+    return beside.select(*keys, "item_id", "item", "n", "start", best.alias("best"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
+def clean(
+    docs: DataFrame, benchmark: DataFrame, window: int = 16, share: float = 0.8
+) -> DataFrame:
     """The documents that overlap with no item, with all their columns."""
-    bodies = docs.select("doc_id", digest().alias("digest"), words_of(F.col("text")).alias("words"))
-    leaks = _overlaps(bodies, benchmark, **kw).select("doc_id", "digest")
+    texts = docs.select("doc_id", digest().alias("digest"), F.col("text").cast("string").alias("text"))
+    leaks = _overlaps(texts, benchmark, window, share).select("doc_id", "digest")
     return without_rows(docs, leaks, [docs["doc_id"], digest()])

@@ -11,7 +11,8 @@ Only DataFrame operations. Texts are shuffled once, one per digest and task.
 
 Defined results: a null text counts as empty, and all empty texts are copies of
 each other. A null `doc_id` sorts after all others. Rows that repeat an id and a
-text are copies. An empty table gives an empty result. Other columns of the
+text are copies like others: of rows that agree in length and id the first as
+read stays. An empty table gives an empty result. Other columns of the
 input, whatever they are called, are not read.
 """
 
@@ -68,15 +69,16 @@ def _best() -> Column:
             (-F.col("n_chars")).alias("rank"),
             F.col("doc_id").isNull().alias("no_id"),
             F.col("doc_id"),
+            F.col("row"),
             F.col("locator"),
         )
     ).alias("best")
 
 
 def digest_state(digests: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Streams a table of `digest, doc_id, n_chars, locator` that lies under
-    `path` through the keyed state; returns what the state retains:
-    `digest, group_size, keep_id, keep_locator`. Run again with the same
+    """Streams a table of `digest, doc_id, n_chars, row, locator` that lies under
+    `path` through the keyed state; returns what the state retains: `digest,
+    group_size, keep_id, keep_row, keep_locator`. Run again with the same
     checkpoint, only files that are new under `path` are read.
     """
     spark = digests.sparkSession
@@ -100,6 +102,7 @@ def digest_state(digests: DataFrame, path: str, checkpoint: str) -> DataFrame:
         F.col("key.digest").alias("digest"),
         F.col("value.count").alias("group_size"),
         F.col("value.min.doc_id").alias("keep_id"),
+        F.col("value.min.row").alias("keep_row"),
         F.col("value.min.locator").alias("keep_locator"),
     )
 
@@ -115,7 +118,7 @@ def _locator(docs: DataFrame) -> Column:
 
 def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """One row per document: `doc_id, keep_id, group_size, kept, text_sha256,
-    keep_locator`.
+    keep_locator, n_chars`. Exactly one row of a group is `kept`.
 
     `digest` maps a normalised text to its key; another than SHA-256 only serves
     to try out collisions. `text_sha256` is always SHA-256.
@@ -130,6 +133,8 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) ->
             digest(norm).alias("digest"),
             sha256(norm).alias("text_sha256"),
             F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_chars"),
+            # Tells apart rows that agree in length and id.
+            F.monotonically_increasing_id().alias("row"),
             _locator(texts).alias("locator"),
         ),
         f"{root}/digests",
@@ -144,52 +149,63 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) ->
     extremes = bodies.groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("most"))
     collided = written(extremes.where("least <> most").select("digest"), f"{root}/collided")
 
-    rows = digests.join(state, "digest")
-    same_row = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    rows = digests.join(state, "digest").drop("locator")
     if not collided.isEmpty():
-        apart = bodies.join(collided, "digest", "left_semi").select(
-            "doc_id",
-            "norm",
-            sha256(F.col("norm")).alias("text_sha256"),
-            F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_chars"),
-            F.lit(None).cast("string").alias("locator"),
+        apart = written(
+            bodies.join(collided, "digest", "left_semi").select(
+                "doc_id",
+                "norm",
+                sha256(F.col("norm")).alias("text_sha256"),
+                F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_chars"),
+                F.monotonically_increasing_id().alias("row"),
+                F.lit(None).cast("string").alias("locator"),
+            ),
+            f"{root}/apart",
         )
         groups = apart.groupBy("norm").agg(F.count(F.lit(1)).alias("group_size"), _best())
         split = apart.join(groups, "norm").select(
             "doc_id",
             "text_sha256",
+            "n_chars",
+            "row",
             "group_size",
             F.col("best.doc_id").alias("keep_id"),
+            F.col("best.row").alias("keep_row"),
             F.col("best.locator").alias("keep_locator"),
         )
         rows = (
             rows.join(collided, "digest", "left_anti")
-            .select("doc_id", "text_sha256", "group_size", "keep_id", "keep_locator")
+            .select(*split.columns)
             .unionByName(split)
         )
     return rows.select(
         "doc_id",
         "keep_id",
         "group_size",
-        same_row.alias("kept"),
+        (F.col("row") == F.col("keep_row")).alias("kept"),
         "text_sha256",
         "keep_locator",
+        "n_chars",
     )
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns. Of rows that repeat an
-    id and a text, one stays."""
-    keep, kept_sha, own_sha = (fresh(docs, n) for n in ("keep", "kept_sha", "own_sha"))
-    fate = (
-        exact_dedup(docs)
-        .where("kept")
-        .select(F.col("doc_id").alias(keep), F.col("text_sha256").alias(kept_sha))
-        .distinct()
+    """The documents that stay, one of each group, with all their columns. Rows
+    of a group that agree in id and length may stand in for each other."""
+    keep, kept_sha, kept_size, own_sha, own_size = (
+        fresh(docs, n) for n in ("keep", "kept_sha", "kept_size", "own_sha", "own_size")
     )
-    stays = docs.withColumn(own_sha, sha256(normalised(F.col("text").cast("string")))).join(
+    fate = exact_dedup(docs).where("kept").toDF(
+        keep, "keep_id", "group_size", "kept", kept_sha, "keep_locator", kept_size
+    ).select(keep, kept_sha, kept_size)
+    text = F.col("text").cast("string")
+    stays = docs.withColumns(
+        {own_sha: sha256(normalised(text)), own_size: F.length(F.coalesce(text, F.lit(""))).cast("bigint")}
+    ).join(
         fate,
-        docs["doc_id"].eqNullSafe(F.col(keep)) & (F.col(own_sha) == F.col(kept_sha)),
+        docs["doc_id"].eqNullSafe(F.col(keep))
+        & (F.col(own_sha) == F.col(kept_sha))
+        & (F.col(own_size) == F.col(kept_size)),
         "left_semi",
     )
-    return stays.dropDuplicates(["doc_id", own_sha]).drop(own_sha)
+    return stays.dropDuplicates([own_sha]).drop(own_sha, own_size)

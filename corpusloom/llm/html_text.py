@@ -127,6 +127,14 @@ class Blocks(HTMLParser):
         self.handle_starttag(tag, attrs)
         self.handle_endtag(tag)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """A marked section that the parser does not know is a comment up to
+        the next angle bracket, as browsers have it."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i)
+
     def _close(self, tag: str, within: tuple[str, ...] = ()) -> None:
         for i in range(len(self.stack) - 1, -1, -1):
             name = self.stack[i].name

@@ -16,7 +16,7 @@ to the driver. Steps are kept inside a bracket, so that the cap's kinks and far
 targets cannot throw them off.
 
 Rates become whole copies by their integer part, and one more where a hash of
-the document falls below the fraction. The cut of that comparison is then moved,
+id, text and occurrence falls below the fraction. The cut of that comparison is then moved,
 per source, so that the words taken come as near to the target as whole
 documents allow: once over all documents, then over ever shorter ones for the
 rest. Cuts are read off at most 1,024 sums a source.
@@ -25,8 +25,8 @@ Only DataFrame operations. What is broadcast is the table of sources, by its
 measured size. The one task that ranks sources reads a row for each source.
 
 Defined results: a null source is a source of its own, last in order. A null or
-empty text has size 0 and takes 0 words. Rows that repeat an id are rounded
-alike if their sizes are equal. A source whose documents are all empty has
+empty text has size 0 and takes 0 words. Rows that repeat an id, or have none, are
+rounded each by its own draw. A source whose documents are all empty has
 target 0. An empty table gives an empty mix.
 """
 
@@ -42,6 +42,8 @@ MAX_STEPS = 60
 TOLERANCE = 1e-6
 BUCKETS = 1024
 PASSES = 3
+# Rows that agree in everything are dealt out again in blocks of so many.
+REPEATS = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -263,6 +265,28 @@ def extra(cuts: Column) -> Column:
     )
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """`doc_id, source, size, draw`: the draw is a hash of id and size. For rows
+    without an id, and from the second of rows that agree in everything, it
+    takes in the text and a number, so that the rounding of copies is spread
+    over them too. Such rows cannot be told apart; they are counted, and dealt
+    out again in blocks."""
+    same = docs.select(
+        "doc_id",
+        F.col("source").cast("string").alias("source"),
+        word_count(F.col("text")).alias("size"),
+        F.xxhash64(F.col("text").cast("string")).alias("body"),
+    ).groupBy("doc_id", "source", "size", "body").agg(F.count(F.lit(1)).alias("n"))
+    blocks = same.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / REPEATS))).alias("block"))
+    first = F.col("block") * REPEATS + 1
+    each = blocks.select(
+        "*", F.explode(F.sequence(first, F.least(F.col("n"), first + (REPEATS - 1)))).alias("nth")
+    )
+    named = F.col("doc_id").isNotNull() & (F.col("nth") == 1)
+    draw = F.when(named, F.xxhash64("doc_id", "size")).otherwise(F.xxhash64("doc_id", "size", "body", "nth"))
+    return each.select("doc_id", "source", "size", draw.alias("draw"))
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[float, ...] = (5, 2, 1),
@@ -274,24 +298,19 @@ def mix(
     rate`, where `taken = copies * size`."""
     spark = docs.sparkSession
     path = shared_dir(spark)
-    sized = written(
-        docs.select(
-            "doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")
-        ),
-        f"{path}/sized",
-    )
+    sized = written(_numbered(docs), f"{path}/sized")
     sources = written(
         source_targets(sized, weights, share, float(cap)).coalesce(1), f"{path}/sources"
     )
     same = F.col("s.source").eqNullSafe(F.col("d.source"))
     keyed = sized.alias("d").join(sources.select("k", "source").alias("s"), same).select(
-        "doc_id", "k", "size"
+        "doc_id", "k", "size", "draw"
     )
     cells = written(
         keyed.groupBy("k", "size").agg(F.count(F.lit(1)).alias("n")), f"{path}/cells"
     )
     solved = balance(cells, sources.drop("source"), path, unit, float(cap))
-    position = F.shiftrightunsigned(F.xxhash64("doc_id", "size"), 11) / F.lit(float(1 << 53))
+    position = F.shiftrightunsigned("draw", 11) / F.lit(float(1 << 53))
     rated = (
         keyed.join(solved, "k")
         .withColumn("rate", _rate(unit, float(cap)))

@@ -8,9 +8,9 @@ _OP9 = f"""
 WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256({_NORM}) AS text_sha256
            FROM documents),
 r AS (SELECT *, first_value(doc_id) OVER w AS keep_id,
-             count(*) OVER (PARTITION BY text_sha256) AS group_size
+             count(*) OVER (PARTITION BY text_sha256) AS group_size, row_number() OVER w AS place
       FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST))
-SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256
 FROM r
 """
 
@@ -18,12 +18,12 @@ _OP8 = """
 WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS payload_digest,
                   CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes
            FROM pages),
-f AS (SELECT payload_digest, min(page_id) AS first_id FROM p GROUP BY 1)
+f AS (SELECT *, row_number() OVER w AS place, first_value(page_id) OVER w AS first_id FROM p
+      WINDOW w AS (PARTITION BY payload_digest ORDER BY page_id NULLS LAST))
 SELECT page_id, payload_bytes, payload_digest,
-       CASE WHEN payload_bytes >= 100 AND page_id <> first_id
-            THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
-FROM p JOIN f USING (payload_digest)
+       CASE WHEN payload_bytes >= 100 AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND place > 1 THEN first_id END AS refers_to
+FROM f
 """
 
 # Every pair of equal words on one diagonal, without any seeds.

@@ -1,7 +1,7 @@
 """Quality by perplexity under a modified Kneser-Ney model of trusted text.
 
-The model is an interpolated 5-gram model over characters, one per language and
-one of all languages together for documents without a model of their own. Its
+The model is an interpolated 5-gram model over the bytes of UTF-8 (digits alike,
+control characters as blanks), one per language and one of all languages together for documents without a model of their own. Its
 counts are tables keyed by language and n-gram: continuation counts, discounts
 from counts of counts, context sums and lower orders meet in joins on those
 keys, spread over the cluster like any other join.
@@ -41,13 +41,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.arrow import code_points, slices, sums
+from corpusloom.llm.arrow import slices, sums
 from corpusloom.llm.columns import digest, without_rows
 from corpusloom.llm.store import shared_dir, written
 
 ORDER = 5
 BITS = 8
-SYMBOLS = 192
+SYMBOLS = 256
 START, END, SPACE, NEWLINE, DIGIT = 0, 1, 32, 10, 48
 GRAM_BITS = ORDER * BITS
 GRAM_MASK = (1 << GRAM_BITS) - 1
@@ -62,7 +62,10 @@ FENCE = 3.0
 MIN_FIT = 24
 MIN_HELD = 8
 
-_TABLE = np.full(128, SPACE, np.int64)
+# Bytes above 127 stand for themselves; control characters are blanks, which
+# leaves 0 and 1 free for the ends of a text.
+_TABLE = np.full(256, SPACE, np.int64)
+_TABLE[128:] = np.arange(128, 256)
 _TABLE[33:127] = np.arange(33, 127)
 _TABLE[48:58] = DIGIT
 _TABLE[10] = NEWLINE
@@ -71,10 +74,9 @@ _TABLE[10] = NEWLINE
 def grams(texts: list[str], language: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each text's n-grams with its language in the bits above, and their number
     per text: one for each symbol and one for the end."""
-    points, lengths = code_points(texts)
-    points = points.astype(np.int64)
-    ascii_ = points < 128
-    symbols = np.where(ascii_, _TABLE[np.where(ascii_, points, 0)], 128 + points % 64)
+    coded = [t.encode() for t in texts]
+    lengths = np.fromiter(map(len, coded), np.int64, len(coded))
+    symbols = _TABLE[np.frombuffer(b"".join(coded), np.uint8)]
     pad = ORDER - 1
     begin = np.cumsum(lengths + pad + 1) - lengths - 1
     line = np.full(int(lengths.sum()) + len(texts) * (pad + 1), START, np.int64)
@@ -261,7 +263,7 @@ class _Lookup:
         return out
 
 
-def log_likelihoods(texts: DataFrame, table: DataFrame) -> DataFrame:
+def log_likelihoods(texts: DataFrame, table: DataFrame, path: str) -> DataFrame:
     """`n, logp` per row of `doc_id, lang, model, text`, over all shards of the
     table, with all columns but the text."""
     spark = texts.sparkSession
@@ -272,6 +274,8 @@ def log_likelihoods(texts: DataFrame, table: DataFrame) -> DataFrame:
     out = f"{kinds}, n bigint, logp double"
 
     def part(shard: int) -> DataFrame:
+        """Scores under one shard of the table, which is let go when they are
+        written: the driver and the executors hold one shard at a time."""
         mine = table.where(F.pmod(F.xxhash64("key"), F.lit(shards)) == shard).toArrow()
         sent = spark.sparkContext.broadcast(
             (mine.column("key").to_numpy(), mine.column("logp").to_numpy())
@@ -286,7 +290,9 @@ def log_likelihoods(texts: DataFrame, table: DataFrame) -> DataFrame:
                     [*columns, pa.array(n), pa.array(sums(look(found), n))], names=[*same, "logp"]
                 )
 
-        return rows.mapInArrow(score, out)
+        scored = written(rows.mapInArrow(score, out), f"{path}/shard{shard}")
+        sent.destroy()
+        return scored
 
     parts = [part(i) for i in range(shards)]
     if shards == 1:
@@ -358,7 +364,7 @@ def _perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     judges = written(judges, f"{path}/judges").withColumn("again", F.lit(True))
     every = texts(base).withColumn("again", F.lit(False)).unionByName(judges)
     table = written(corpus_grams(every.select("model", "text"), probs, contexts, path), f"{path}/grams")
-    scored = written(log_likelihoods(every, table), f"{path}/scored")
+    scored = written(log_likelihoods(every, table, path), f"{path}/scored")
     judged = trusted.select("doc_id", held.alias("held"))
     judge = F.coalesce(F.col("held") | (F.col("tiny") & F.col("held").isNotNull()), F.lit(False))
     return _decided(scored.join(judged, "doc_id", "left").withColumn("judge", judge), common, path)

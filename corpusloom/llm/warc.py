@@ -4,8 +4,7 @@
 each distinct payload once, under their SHA-256. `headers` holds, per record,
 the exact header block and the payload's digest. `read_records` rebuilds the
 original records byte for byte by joining both, after checking every stored
-payload against its digest; `read_index` gives what a reader learns from them
-without moving payloads to each record.
+payload against its digest; `read_index` gives what a reader learns from those.
 
 Of records with equal payloads of `min_bytes` or more, that with the smallest id
 is a `response`, the others are `revisit` records without a body of their own
@@ -13,7 +12,8 @@ that name it. Smaller payloads are always written as responses, but their bytes
 are stored once as well.
 
 Defined results: a null html is an empty payload; a null url an empty target.
-Null ids come after all others and are never referred to by number. An empty
+Null ids come after all others and are never referred to by number. Of rows
+that repeat an id and a payload, the first as read is the response. An empty
 table gives an empty archive. Further columns of the input are not read.
 """
 
@@ -71,13 +71,15 @@ def archive(
     pages.select(
         "page_id",
         "url",
+        F.monotonically_increasing_id().alias("row"),
         F.sha2(html, 256).alias("payload_digest"),
         F.octet_length(html).cast("bigint").alias("payload_bytes"),
     ).write.parquet(f"{path}/captures")
     captures = spark.read.parquet(f"{path}/captures")
-    captures.groupBy("payload_digest").agg(F.min("page_id").alias("first_id")).write.parquet(
-        f"{path}/firsts"
-    )
+    first = F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "row")).alias("first")
+    captures.groupBy("payload_digest").agg(first).select(
+        "payload_digest", F.col("first.page_id").alias("first_id"), F.col("first.row").alias("first_row")
+    ).write.parquet(f"{path}/firsts")
     firsts = spark.read.parquet(f"{path}/firsts")
 
     bodies = pages.select(
@@ -94,7 +96,7 @@ def archive(
     payloads.write.parquet(f"{path}/payloads")
 
     large = F.col("payload_bytes") >= min_bytes
-    other = ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    other = F.col("row") != F.col("first_row")
     records = (
         captures.join(firsts, "payload_digest")
         .withColumn("record_type", F.when(large & other, "revisit").otherwise("response"))
@@ -124,23 +126,23 @@ def verified_payloads(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """Per record, from its header and its verified payload: `page_id,
-    payload_bytes, payload_digest, record_type, refers_to, url`."""
+    """What a reader learns from the rebuilt records: `page_id, payload_bytes,
+    payload_digest, record_type, refers_to, url`. Size and digest are those of
+    the payload that the record carries or, for revisits, refers to."""
     before, after = RECORD_ID.split("{}")
     number = lambda name: _field(name).substr(
         F.lit(len(before) + 1), F.length(_field(name)) - len(before) - len(after)
     ).try_cast("bigint")
-    parsed = spark.read.parquet(f"{path}/headers").select(
+    records = read_records(spark, path, resolve=True)
+    end = F.instr(F.decode("record", "ISO-8859-1"), CRLF + CRLF)
+    return records.withColumn("header", F.substring("record", F.lit(1), end + 1)).select(
         number("WARC-Record-ID").alias("page_id"),
-        F.substring(_field("WARC-Payload-Digest"), len("sha256:") + 1, 64).alias("payload_digest"),
+        F.octet_length("payload").cast("bigint").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_digest"),
         _field("WARC-Type").alias("record_type"),
         number("WARC-Refers-To").alias("refers_to"),
         _field("WARC-Target-URI").alias("url"),
     )
-    sizes = verified_payloads(spark, path).select("payload_digest", "payload_bytes")
-    return parsed.join(sizes, "payload_digest").select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"
-    )
 
 
 def read_records(spark: SparkSession, path: str, resolve: bool = False) -> DataFrame:

@@ -12,12 +12,15 @@ SPACE = " \t\n\x0b\x0c\r"
 
 def brute_dedup(data):
     norm = lambda t: "".join(c for c in t or "" if c not in SPACE)
+    groups = {}
+    for i, (doc_id, text, *_) in enumerate(data):
+        groups.setdefault(norm(text), []).append((-len(text or ""), doc_id is None, doc_id or 0, i, doc_id))
     out = []
-    for doc_id, text, *_ in data:
-        same = [(d, t or "") for d, t, *_ in data if norm(t) == norm(text)]
-        keep = min(same, key=lambda r: (-len(r[1]), r[0] is None, r[0] or 0))[0]
-        sha = hashlib.sha256(norm(text).encode()).hexdigest()
-        out.append((doc_id, keep, len(same), doc_id == keep, sha))
+    for body, same in groups.items():
+        # One row of a group stays, whatever ids repeat.
+        keep = min(same)
+        sha = hashlib.sha256(body.encode()).hexdigest()
+        out += [(r[-1], keep[-1], len(same), r is keep, sha) for r in same]
     return sorted(out, key=repr)
 
 
@@ -28,6 +31,14 @@ def test_exact_dedup_odd_rows(spark):
     assert rows(exact_dedup.exact_dedup(odd_docs(spark)), *COLUMNS) == brute_dedup(ROWS)
 
 
+def test_one_row_of_a_group_stays(spark):
+    data = [(1, "a b c"), (1, "a  b  c  "), (1, "a b c"), (None, "x y"), (None, "x y"), (2, "ab c")]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string")
+    assert rows(exact_dedup.exact_dedup(docs), *COLUMNS) == brute_dedup(data)
+    kept = exact_dedup.without_copies(docs.repartition(5))
+    assert rows(kept, "doc_id", "text") == [(1, "a  b  c  "), (None, "x y")]
+
+
 def test_exact_dedup_digests_that_collide(spark):
     weak = lambda c: F.substring(F.sha2(c, 256), 1, 1)
     data = [(i, f"text {i % 40}", "en", "a", 7) for i in range(120)] + ROWS
@@ -46,12 +57,12 @@ def test_without_copies(spark):
 def test_state_survives_and_takes_new_files(spark):
     path = shared_dir(spark)
     make = lambda data: spark.createDataFrame(
-        data, "digest string, doc_id bigint, n_chars bigint, locator string"
+        data, "digest string, doc_id bigint, n_chars bigint, row bigint, locator string"
     )
-    make([("x", 5, 3, "f"), ("y", 1, 1, "f")]).write.parquet(f"{path}/in")
+    make([("x", 5, 3, 0, "f"), ("y", 1, 1, 1, "f")]).write.parquet(f"{path}/in")
     digests = spark.read.parquet(f"{path}/in")
     exact_dedup.digest_state(digests, f"{path}/in", f"{path}/ck")
-    make([("x", 9, 4, "g")]).write.mode("append").parquet(f"{path}/in")
+    make([("x", 9, 4, 0, "g")]).write.mode("append").parquet(f"{path}/in")
     state = exact_dedup.digest_state(digests, f"{path}/in", f"{path}/ck")
     assert rows(state, "digest", "group_size", "keep_id", "keep_locator") == [
         ("x", 2, 9, "g"),
@@ -161,7 +172,10 @@ def test_warc_damage_and_empty(spark):
 
 def test_warc_repeated_rows(spark):
     path = shared_dir(spark)
-    row = (1, "u", "y" * 150)
-    warc.archive(spark.createDataFrame([row, row], "page_id bigint, url string, html string"), path)
+    row, none = (1, "u", "y" * 150), (None, "v", "z" * 150)
+    pages = spark.createDataFrame([row, none, row, none, none], "page_id bigint, url string, html string")
+    warc.archive(pages.withColumn("payload", F.lit(1)).withColumn("row", F.lit(1)), path)
     got = rows(warc.read_index(spark, path), "page_id", "record_type", "refers_to")
-    assert got == [(1, "response", None)] * 2
+    assert got == sorted(
+        [(1, "response", None), (1, "revisit", 1), (None, "response", None)] + [(None, "revisit", None)] * 2, key=repr
+    )

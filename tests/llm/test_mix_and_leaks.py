@@ -72,6 +72,20 @@ def test_mix_odd_rows(spark):
     assert rows(mixing.mix(blank), "size", "target", "taken") == [(0, 0.0, 0)] * 2
 
 
+def test_rows_without_ids_are_rounded_each(spark):
+    import pandas as pd
+
+    data = [(None, f"a b c d e f g h i {i}", "s") for i in range(1000)]
+    data += [(None, "one two three four five", "t")] * 1000 + [(7, "x " * 300, "u")] * 90
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, source string")
+    got = pd.DataFrame(rows(mixing.mix(docs), "source_size", "target", "taken", "size"), columns=["s", "t", "n", "z"])
+    assert len(got) == len(data)
+    for _, part in got.groupby("s"):
+        assert abs(part["n"].sum() - part["t"].iloc[0]) <= part["z"].max()
+    again = rows(mixing.mix(docs.repartition(11)), "source_size", "target", "taken", "size")
+    assert again == sorted(map(tuple, got.itertuples(index=False)), key=repr)
+
+
 def test_masks_find_every_window_with_three_substitutions():
     def found(n, bad):
         return any(
@@ -106,6 +120,18 @@ def test_overlaps_tolerate_substitutions(spark):
     assert leak(spark, ["say hello to all of them", "hello to"], ["Hello to all"]) == [(0, 0, 3, 3)]
 
 
+def test_long_items_and_repeated_words(spark):
+    """Seeds of a long item come in pieces; a run of one word, on both sides,
+    gives a row per diagonal and not one per pair of words."""
+    draw = __import__("random").Random(5)
+    words = [f"w{draw.randrange(9000)}" for _ in range(50_000)]
+    words[700:708] = ["same"] * 8
+    item = " ".join(words)
+    texts = ["same " * 20_000, " ".join(words[10_000:11_000]), item, "other words " * 5000]
+    got = leak(spark, texts, [item])
+    assert got == [(1, 0, 16, 1000), (2, 0, 16, 50_000)]
+
+
 def test_blocks_of_the_benchmark_change_nothing(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
@@ -119,8 +145,9 @@ def test_clean_keeps_columns_and_odd_rows(spark):
     bench = spark.createDataFrame([(1, "cat sat on the mat and so on it went that day")], "item_id bigint, text string")
     kept = decontaminate.clean(docs, bench)
     assert kept.columns == docs.columns
-    # The null id names a row that overlaps, so rows without an id go.
-    assert rows(kept, "doc_id") == [(2,), (3,), (4,), (5,), (7,), (8,)]
+    # Of the rows without an id, the one that overlaps goes.
+    assert rows(kept, "doc_id", "text")[-1] == (None, None)
+    assert rows(kept, "doc_id") == [(2,), (3,), (4,), (5,), (7,), (8,), (None,)]
     assert decontaminate.clean(docs, bench.limit(0)).count() == len(ROWS)
     assert decontaminate.clean(no_docs(spark), bench).collect() == []
     hot = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(f"x {ITEM} y").alias("text"))

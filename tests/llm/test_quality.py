@@ -14,10 +14,9 @@ SF = "/root/testdata/sf0.001"
 
 def symbols(text):
     out = []
-    for ch in text:
-        c = ord(ch)
+    for c in text.encode():
         if c >= 128:
-            out.append(128 + c % 64)
+            out.append(c)
         elif c == 10:
             out.append(10)
         elif 48 <= c <= 57:
@@ -87,12 +86,12 @@ def test_log_likelihoods_equal_dictionaries(spark, monkeypatch):
     grams = Q.written(Q.corpus_grams(every.select("model", "text"), probs, contexts, path), f"{path}/g")
     for rows_of_shard in (Q.SHARD_ROWS, 5_000):
         monkeypatch.setattr(Q, "SHARD_ROWS", rows_of_shard)
-        got = {r["doc_id"]: r["logp"] for r in Q.log_likelihoods(every, grams).collect()}
+        got = {r["doc_id"]: r["logp"] for r in Q.log_likelihoods(every, grams, Q.shared_dir(spark)).collect()}
         assert got.keys() == want.keys()
         for d, x in want.items():
             assert got[d] == pytest.approx(x, rel=1e-5)
     # Repeated rows keep their number over several shards.
-    twice = Q.log_likelihoods(every.unionByName(every.where("doc_id < 5")), grams)
+    twice = Q.log_likelihoods(every.unionByName(every.where("doc_id < 5")), grams, Q.shared_dir(spark))
     assert twice.count() == len(data) + sum(d < 5 for d, *_ in data)
     # Probabilities of a context add up to one over all symbols.
     model = models[0]

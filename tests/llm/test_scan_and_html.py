@@ -112,6 +112,23 @@ def test_broken_markup():
     assert len(html_text.main_text(long)) == 5 * 20_000 - 1
 
 
+MARKUP = st.sampled_from(
+    ["<", "<!", "<![", "<![foo[y]]>", "<![ endif]>", "<![CDATA[", "]]>", "<!--", "-->", "<?", ">", "</", "<p", "<p>", "</p>"]
+    + ["<article>", "<div class=ad", "<script>", "</script>", "<title>", "&", "&#", "&#x110000;", "&lt", "'", '"', "=", "a b", "\0", "\U0001f600"]
+)
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(MARKUP, max_size=30).map("".join) | st.text(max_size=60))
+def test_no_markup_breaks_the_parser(html):
+    assert isinstance(html_text.main_text(html), str)
+
+
+def test_unknown_marked_sections_are_comments():
+    for mark in ("<![foo[y]]>", "<![ endif]>", "<![if !IE]>", "<![]>", "<!doctype x>", "<!foo>"):
+        assert html_text.main_text(f"<article><p>one {mark} two</p></article>") == "one two", mark
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame(
         [(1, "u", page(f"<article><p>{BODY}</p></article>"), "x"), (None, None, None, "y"), (1, "u", "", "z")],
