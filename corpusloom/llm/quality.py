@@ -1,7 +1,9 @@
 """Quality by perplexity under a modified Kneser-Ney model of trusted text.
 
-The model is an interpolated 5-gram model over the bytes of UTF-8 (digits alike,
-control characters as blanks), one per language and one of all languages together for documents without a model of their own. Its
+The model is an interpolated 5-gram model over characters (digits alike, control
+characters as blanks, those beyond Latin in two or three symbols), one per
+language and one of all languages together for documents without a model of
+their own. Its
 counts are tables keyed by language and n-gram: continuation counts, discounts
 from counts of counts, context sums and lower orders meet in joins on those
 keys, spread over the cluster like any other join.
@@ -41,13 +43,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.arrow import slices, sums
+from corpusloom.llm.arrow import code_points, slices, sums
 from corpusloom.llm.columns import digest, without_rows
 from corpusloom.llm.store import shared_dir, written
 
 ORDER = 5
-BITS = 8
-SYMBOLS = 256
+BITS = 10
+SYMBOLS = 1024
 START, END, SPACE, NEWLINE, DIGIT = 0, 1, 32, 10, 48
 GRAM_BITS = ORDER * BITS
 GRAM_MASK = (1 << GRAM_BITS) - 1
@@ -62,21 +64,37 @@ FENCE = 3.0
 MIN_FIT = 24
 MIN_HELD = 8
 
-# Bytes above 127 stand for themselves; control characters are blanks, which
-# leaves 0 and 1 free for the ends of a text.
-_TABLE = np.full(256, SPACE, np.int64)
-_TABLE[128:] = np.arange(128, 256)
+# Code points below WIDE are a symbol each, with all digits alike and control
+# characters as blanks, which leaves 0 and 1 free for the ends of a text. Others
+# are written in two or three symbols of seven bits, so that none share any.
+WIDE, LEAD, REST = 768, 768, 896
+_TABLE = np.full(128, SPACE, np.int64)
 _TABLE[33:127] = np.arange(33, 127)
 _TABLE[48:58] = DIGIT
 _TABLE[10] = NEWLINE
 
 
+def symbols_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of all texts, and the number of each."""
+    points, lengths = code_points(texts)
+    points = points.astype(np.int64)
+    size = 1 + (points >= WIDE) + (points >= 1 << 14)
+    ends = np.cumsum(size)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
+    lead = LEAD + np.where(size == 2, points >> 7, points >> 14)
+    plain = np.where(points < 128, _TABLE[np.minimum(points, 127)], points)
+    out[ends - size] = np.where(size == 1, plain, lead)
+    out[(ends - 1)[size > 1]] = REST + (points[size > 1] & 127)
+    out[(ends - 2)[size > 2]] = REST + (points[size > 2] >> 7 & 127)
+    upto = np.concatenate([[0], ends])
+    last = np.cumsum(lengths)
+    return out, upto[last] - upto[last - lengths]
+
+
 def grams(texts: list[str], language: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each text's n-grams with its language in the bits above, and their number
     per text: one for each symbol and one for the end."""
-    coded = [t.encode() for t in texts]
-    lengths = np.fromiter(map(len, coded), np.int64, len(coded))
-    symbols = _TABLE[np.frombuffer(b"".join(coded), np.uint8)]
+    symbols, lengths = symbols_of(texts)
     pad = ORDER - 1
     begin = np.cumsum(lengths + pad + 1) - lengths - 1
     line = np.full(int(lengths.sum()) + len(texts) * (pad + 1), START, np.int64)

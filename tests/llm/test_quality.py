@@ -3,6 +3,7 @@
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,8 +15,12 @@ SF = "/root/testdata/sf0.001"
 
 def symbols(text):
     out = []
-    for c in text.encode():
-        if c >= 128:
+    for c in map(ord, text):
+        if c >= 1 << 14:
+            out += [768 + (c >> 14), 896 + (c >> 7) % 128, 896 + c % 128]
+        elif c >= 768:
+            out += [768 + (c >> 7), 896 + c % 128]
+        elif c >= 128:
             out.append(c)
         elif c == 10:
             out.append(10)
@@ -26,6 +31,18 @@ def symbols(text):
     return out
 
 
+def test_no_two_characters_share_their_symbols():
+    texts = ["".join(map(chr, range(0x21, 0x30))), "日本語\U0001f600é", "", "ш" + chr(ord("ш") + 64)]
+    found, lengths = Q.symbols_of(texts)
+    assert found.tolist() == [x for t in texts for x in symbols(t)]
+    assert lengths.tolist() == [len(symbols(t)) for t in texts]
+    points = [c for c in range(128, 0x110000) if not 0xD800 <= c < 0xE000]
+    found, lengths = Q.symbols_of([chr(c) for c in points])
+    assert found.max() < Q.SYMBOLS
+    pieces = np.split(found, np.cumsum(lengths)[:-1])
+    assert len({x.tobytes() for x in pieces}) == len(points)
+
+
 def ngrams(text):
     line = [0] * (Q.ORDER - 1) + symbols(text) + [1]
     return [tuple(line[i - Q.ORDER + 1 : i + 1]) for i in range(Q.ORDER - 1, len(line))]
