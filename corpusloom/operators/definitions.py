@@ -1,35 +1,40 @@
 """Outline of source files: one chunk per function, method or container.
 
-Signatures are recognised line by line with per-language patterns; extents
-come from brace depth or indentation with window functions over the lines of
-a file. Known limits: a signature must start its line, and only bodies in
-braces or indented blocks are followed.
+A file is read once, in the task that holds its row: comments and strings are
+hidden, then a stack of brackets (or of indentation) cuts the text into heads, the
+signatures, and bodies. A head is text between two separators of the language, on
+as many lines as it takes; the rules say which heads are definitions. What stands
+inside a function is no chunk of its own. Nothing is shuffled.
+
+Known limits: macros that change the syntax, and regular expression literals with
+braces in unusual places. Out-of-line ``A::m`` has no name, as it has none in the
+index that this replaces.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
-from dataclasses import dataclass
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from corpusloom.functions.exprs import explode_rows, let
+from corpusloom.functions.exprs import explode_rows
 from corpusloom.operators.chunking import fallback_array
 
 
 @dataclass(frozen=True)
 class Rule:
-    """How one kind of definition looks in one language.
+    """How the head of one kind of definition looks in one language.
 
-    ``pattern`` captures the text from the first character of the definition
-    (group 1) and its name (group 2). ``emit`` is off for containers that only
-    lend their name; ``header`` keeps a container's text up to its body.
-    ``body`` demands that a body follows, to tell definitions from mere
-    declarations and calls.
+    ``pattern`` captures the definition from its first character (``d``) and its
+    name (``name``, or ``cls`` for a receiver). ``emit`` is off for containers
+    that only lend their name, ``header`` keeps a container's text up to its body.
+    ``body`` demands a body, ``bare`` the lack of one. ``inside`` names the block
+    that must be right around it: a class or a literal.
     """
 
     symbol_type: str
@@ -37,402 +42,453 @@ class Rule:
     container: bool = False
     emit: bool = True
     header: bool = True
-    body: bool = False
+    body: bool = True
+    inside: bool = False
+    own_name: bool = False
 
 
 _NOT_CALLS = (
-    r"(?!(?:if|for|while|switch|catch|return|else|do|try|with|new|delete|throw|case|typedef|"
-    r"using|namespace|function|sizeof|synchronized|await|typeof)\b)"
+    r"(?!(?:if|for|while|switch|catch|return|else|do|try|with|new|delete|throw|case|typedef|enum|union|"
+    r"using|namespace|function|sizeof|synchronized|await|typeof|class|struct|static_assert|default)\b)"
 )
+_ARGS = r"(?:\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))?"
+_ANNOTATED = rf"(?:@[A-Za-z_][\w.]*{_ARGS}\s*)*"
+_TEMPLATE = r"(?:template\s*<(?:[^<>]|<(?:[^<>]|<[^<>]*>)*>)*>\s*)*"
+_LABELS = r"(?:(?:public|private|protected)\s*:\s*)*"
+_ATTRIBUTED = r"(?:#!?\[[^\]]*\]\s*)*"
+_EXPORT = r"(?:(?:export|default|declare)\s+)*"
+_GENERIC = r"<(?:[^<>]|<(?:[^<>]|<[^<>]*>)*>)*>"
+_PUB = r"(?:pub(?:\([^)]*\))?\s+)?"
 _JAVA_MODS = (
-    r"(?:(?:public|protected|private|static|final|abstract|synchronized|native|default|"
-    r"strictfp|sealed)\s+)*"
+    rf"(?:@(?!interface)[A-Za-z_][\w.]*{_ARGS}\s*|(?:public|protected|private|static|final|abstract|"
+    r"synchronized|native|default|strictfp|sealed|non-sealed)\s+)*"
 )
 _JS_MODS = r"(?:(?:static|async|get|set)\s+|\*\s*)*"
-_TS_MODS = (
-    r"(?:(?:public|protected|private|static|async|get|set|override|readonly)\s+|\*\s*)*"
-)
-# Annotations and attributes that share a line with what they belong to.
-_ANNOTATED = r"(?:@[A-Za-z_][\w.]*(?:\([^()]*\))?\s+)*"
-_ATTRIBUTED = r"(?:#\[[^\]]*\]\s*)*"
-_EXPORT = r"(?:export\s+(?:default\s+)?)?"
-_RUST_PUB = r"(?:pub(?:\([^)]*\))?\s+)?"
-# A C-family function: something that is no statement, an identifier, its
-# parameters. The name must follow a blank, * or &, so that the qualified
-# A::m stays without a name.
+_TS_MODS = r"(?:(?:public|protected|private|static|async|get|set|override|readonly)\s+|\*\s*)*"
+# Everything before the first parenthesis that is not a statement; a name only
+# where it is no part of a qualified one.
 _C_FUNCTION = (
-    r"^\s*(" + _NOT_CALLS + r"(?:[\w:<>,*&~\[\]\s]*[\s*&])?(?:(~?\w+)|[\w:~]+)\s*"
-    r"\([^;{}]*(?:\{|$|\)[^;]*).*)"
+    rf"{_LABELS}{_TEMPLATE}(?:extern\s+\"+\s*)?(?P<d>{_NOT_CALLS}"
+    r"(?:[\w:<>,*&~\[\]\s]*[\s*&>])?(?:~?(?P<name>(?!operator\b)\w+)|[\w:~]+|[\w:]*operator[^(]+(?:\(\))?)\s*\(.*)"
 )
+_C_RECORD = r"\s+(?:alignas\([^)]*\)\s*)?(?:\w+::)*(?P<name>\w+)(?:\s*<[^;{}()]*>)?(?:\s+final)?\s*(?::[^;()=]*)?)"
 
 _JS = (
-    Rule("class", rf"^\s*{_EXPORT}(class\s+([\w$]+).*)", container=True),
-    Rule("function", rf"^\s*{_EXPORT}((?:async\s+)?function\s+([\w$]+)\s*\(.*)"),
-    Rule("method", rf"^\s*({_NOT_CALLS}{_JS_MODS}(#?[\w$]+)\s*\([^;]*\)\s*\{{.*)", body=True),
+    Rule("class", rf"{_ANNOTATED}{_EXPORT}{_ANNOTATED}(?P<d>class\s+(?P<name>[\w$]+).*)", container=True),
+    Rule("function", rf"{_EXPORT}(?P<d>(?:async\s+)?function\s+(?P<name>[\w$]+)\s*[(<].*)"),
+)
+_JS_METHOD = Rule(
+    "method",
+    rf"{_ANNOTATED}(?P<d>{_NOT_CALLS}{_JS_MODS}(?:(?P<name>#?[\w$]+)|\[[^\]]*\]|\"+)\s*\(.*\))",
+    inside=True,
 )
 _TS = (
-    Rule("class", rf"^\s*{_ANNOTATED}{_EXPORT}(class\s+([\w$]+).*)", container=True),
-    Rule("interface", rf"^\s*{_ANNOTATED}{_EXPORT}(interface\s+([\w$]+).*)", container=True),
-    Rule("function", rf"^\s*{_ANNOTATED}{_EXPORT}((?:async\s+)?function\s+([\w$]+)\s*[(<].*)", body=True),
+    *_JS,
+    Rule("interface", rf"{_EXPORT}(?P<d>interface\s+(?P<name>[\w$]+).*)", container=True),
     Rule(
         "method",
-        rf"^\s*{_ANNOTATED}({_NOT_CALLS}{_TS_MODS}(#?[\w$]+)\s*(?:<[^>]*>)?\([^;]*\)\s*(?::[^{{;]*)?\{{.*)",
-        body=True,
+        rf"{_ANNOTATED}(?P<d>{_NOT_CALLS}{_TS_MODS}(?:(?P<name>#?[\w$]+)|\[[^\]]*\]|\"+)\s*(?:<.*>)?\s*\(.*\)"
+        r"\s*(?::.*)?)",
+        inside=True,
     ),
 )
 
 RULES: dict[str, tuple[Rule, ...]] = {
     "python": (
-        Rule("class", r"^\s*(class\s+(\w+).*)", container=True),
-        Rule("function", r"^\s*((?:async\s+)?def\s+(\w+).*)"),
+        Rule("class", r"(?P<d>class\s+(?P<name>\w+))", container=True),
+        Rule("function", r"(?P<d>(?:async\s+)?def\s+(?P<name>\w+))"),
     ),
     "go": (
-        Rule("type", r"^\s*(type\s+\(?\s*(\w+).*)", container=True, header=False),
-        Rule(
-            "type", r"^\s*((\w+)\s+(?:struct|interface)\s*\{.*)", container=True, header=False
-        ),
-        Rule("method", r"^\s*(func\s*\([^)]*\)\s*(\w+).*)"),
-        Rule("function", r"^\s*(func\s+(\w+).*)"),
+        Rule("type", r"(?P<d>type\s+(?P<name>\w+).*)", container=True, header=False, body=False),
+        Rule("type", r"(?P<d>(?P<name>\w+)\s+(?:struct|interface))", container=True, header=False, inside=True),
+        Rule("method", r"(?P<d>func\s*\(\s*(?:\w+\s+)?\*?\s*(?P<cls>\w+)[^)]*\)\s*(?P<name>\w+).*)"),
+        Rule("function", r"(?P<d>func\s+(?P<name>\w+).*)"),
     ),
-    "javascript": _JS,
+    "javascript": (*_JS, _JS_METHOD),
     "typescript": _TS,
     "tsx": _TS,
     "java": (
-        Rule("class", rf"^\s*{_ANNOTATED}({_JAVA_MODS}class\s+(\w+).*)", container=True),
-        Rule("interface", rf"^\s*{_ANNOTATED}({_JAVA_MODS}interface\s+(\w+).*)", container=True),
-        Rule(
-            "method",
-            rf"^\s*{_ANNOTATED}({_NOT_CALLS}{_JAVA_MODS}(?:<[^>]+>\s+)?[\w<>\[\],.?]+(?:\s*<[^=;]*>)?\s+(\w+)\s*\(.*)",
-        ),
+        Rule("class", rf"(?P<d>{_JAVA_MODS}class\s+(?P<name>\w+).*)", container=True),
+        Rule("interface", rf"(?P<d>{_JAVA_MODS}interface\s+(?P<name>\w+).*)", container=True),
         Rule(
             "method",
-            rf"^\s*{_ANNOTATED}({_NOT_CALLS}(?:(?:public|protected|private)\s+)?([A-Z]\w*)\s*\([^;]*\{{.*)",
-            body=True,
+            rf"(?P<d>{_JAVA_MODS}(?:<(?:[^<>]|<[^<>]*>)*>\s*)?{_NOT_CALLS}(?!record\b)[\w.]+"
+            r"(?:\s*<(?:[^<>=]|<(?:[^<>=]|<[^<>=]*>)*>)*>)?(?:\s*\[\s*\])*\s+(?P<name>\w+)\s*\(.*)",
+            body=False,
         ),
+        Rule("method", rf"(?P<d>{_JAVA_MODS}(?P<name>\w+)\s*\(.*)", own_name=True),
     ),
     "rust": (
-        Rule("struct", rf"^\s*{_ATTRIBUTED}({_RUST_PUB}struct\s+(\w+).*)", container=True),
-        Rule("enum", rf"^\s*{_ATTRIBUTED}({_RUST_PUB}enum\s+(\w+).*)", container=True, header=False),
-        Rule("trait", rf"^\s*{_ATTRIBUTED}({_RUST_PUB}(?:unsafe\s+)?trait\s+(\w+).*)", container=True),
+        Rule("struct", rf"{_ATTRIBUTED}(?P<d>{_PUB}struct\s+(?P<name>\w+).*)", container=True, body=False),
+        Rule("enum", rf"{_ATTRIBUTED}(?P<d>{_PUB}enum\s+(?P<name>\w+).*)", container=True, header=False),
+        Rule("trait", rf"{_ATTRIBUTED}(?P<d>{_PUB}(?:unsafe\s+)?trait\s+(?P<name>\w+).*)", container=True),
         Rule(
             "impl",
-            rf"^\s*{_ATTRIBUTED}((?:unsafe\s+)?impl(?:\s*<[^>]*>)?\s+(\w+).*)",
+            rf"{_ATTRIBUTED}(?P<d>(?:unsafe\s+)?impl(?:\s*{_GENERIC})?\s+"
+            rf"(?:(?:[\w:]+::\w+(?:\s*{_GENERIC})?|\w+\s*{_GENERIC})\s+for\s+)?(?P<name>\w+).*)",
             container=True,
             emit=False,
         ),
         Rule(
             "function",
-            rf"^\s*{_ATTRIBUTED}((?:(?:pub(?:\([^)]*\))?|const|async|unsafe|extern(?:\s+\"+)?)\s+)*fn\s+(\w+).*)",
-            body=True,
+            rf"{_ATTRIBUTED}(?P<d>(?:(?:pub(?:\([^)]*\))?|const|async|unsafe|default|extern(?:\s+\"+)?)\s+)*"
+            r"fn\s+(?P<name>\w+).*)",
         ),
     ),
     "c": (
-        Rule(
-            "struct",
-            r"^\s*(?:typedef\s+|static\s+)*(struct\s+(\w+)(?=[^;()=]*(?:\{|$)).*)",
-            container=True,
-            body=True,
-        ),
-        Rule("function", _C_FUNCTION, body=True),
+        Rule("struct", rf"(?:(?:typedef|static|const)\s+)*(?P<d>struct{_C_RECORD}", container=True),
+        Rule("function", _C_FUNCTION),
     ),
     "cpp": (
-        Rule("class", r"^\s*(class\s+(\w+)(?=[^;()=]*(?:\{|$)).*)", container=True, body=True),
-        Rule("struct", r"^\s*(?:typedef\s+)?(struct\s+(\w+)(?=[^;()=]*(?:\{|$)).*)", container=True, body=True),
-        Rule("function", _C_FUNCTION, body=True),
+        Rule("class", rf"{_LABELS}{_TEMPLATE}(?P<d>class{_C_RECORD}", container=True),
+        Rule("struct", rf"{_LABELS}{_TEMPLATE}(?:typedef\s+)?(?P<d>struct{_C_RECORD}", container=True),
+        Rule("function", _C_FUNCTION),
     ),
     "ruby": (
-        Rule("class", r"^\s*(class\s+([A-Z]\w*).*)", container=True),
-        Rule("method", r"^\s*(def\s+([A-Za-z_]\w*[?!=]?(?![\w.])|[-+*/%<>=!~^&|\[\]]+).*)"),
+        Rule("class", r"(?P<d>class\s+(?P<name>[A-Z]\w*))", container=True),
+        Rule("method", r"(?P<d>def\s+(?P<name>[A-Za-z_]\w*[?!=]?(?![\w.])|[-+*/%<>=!~^&|\[\]]+))"),
     ),
 }
-
 SUPPORTED_LANGUAGES = tuple(sorted(RULES))
 INDENTED = ("python", "ruby")
+_COMPILED = {k: [(r, re.compile(r.pattern, re.DOTALL)) for r in v] for k, v in RULES.items()}
 
 # --- hiding comments and strings -----------------------------------------
 
 _SLASH = r"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)"
 _QUOTED = r'"(?:\\.|[^"\\\n])*"' + r"|'(?:\\.|[^'\\\n])*'"
+_DIRECTIVE = r"^[ \t]*\#(?:[^\n\\]|\\[\s\S])*"
+_TEXT_BLOCK = r'"""[\s\S]*?(?:"""|\Z)'
 _HIDDEN = {
-    "python": r'#[^\n]*|"""[\s\S]*?(?:"""|\Z)|' + r"'''[\s\S]*?(?:'''|\Z)|" + _QUOTED,
-    "ruby": r"#[^\n]*|" + _QUOTED,
+    "python": rf"\#[^\n]*|{_TEXT_BLOCK}|" + r"'''[\s\S]*?(?:'''|\Z)|" + _QUOTED,
+    "ruby": r"^=begin\b[\s\S]*?(?:^=end\b|\Z)|\#[^\n]*|" + _QUOTED,
     "go": _SLASH + r"|`[^`]*`|" + _QUOTED,
-    "rust": _SLASH + r'|"(?:\\[\s\S]|[^"\\])*"|' + r"'(?:\\.|[^'\\])'",
-    "js": _SLASH + r"|`(?:\\[\s\S]|[^`\\])*`|" + _QUOTED,
-    "plain": _SLASH + "|" + _QUOTED,
+    "rust": _SLASH + r'|r(?P<r>\#*)"[\s\S]*?(?:"(?P=r)|\Z)|"(?:\\[\s\S]|[^"\\])*"|' + r"'(?:\\.[^']*|[^'\\])'",
+    "java": _SLASH + "|" + _TEXT_BLOCK + "|" + _QUOTED,
+    "js": _SLASH + r"|`(?:\\[\s\S]|[^`\\])*`|" + _QUOTED
+    + r"|(?<=[(,=:\[!&|?;{}])[ \t]*/(?![/*])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/",
+    "c": _DIRECTIVE + "|" + _SLASH + "|" + _QUOTED,
+    "cpp": _DIRECTIVE + "|" + _SLASH + r'|R"(?P<r>[^(\s]*)\([\s\S]*?(?:\)(?P=r)"|\Z)|' + _QUOTED,
 }
 _STYLE = {"javascript": "js", "typescript": "js", "tsx": "js"}
+_MASKS = {k: re.compile(v, re.MULTILINE) for k, v in _HIDDEN.items()}
+# Stands for the later lines of a string, whose indentation means nothing.
 _CONTINUED = "\x01"
 
 
 def _hide(match: re.Match) -> str:
-    """Same length and line breaks: blanks for comments, quotes for strings.
-
-    Later lines of a multi-line string get a mark of their own, because their
-    indentation means nothing.
-    """
+    """Same length and line breaks: blanks for comments, quotes for strings."""
     text = match.group()
-    comment = text.startswith(("#", "//", "/*"))
+    comment = text.lstrip().startswith(("#", "//", "/*", "=begin"))
+    fill, later = (" ", " ") if comment else ('"', _CONTINUED)
     first, *rest = text.split("\n")
-    fill = " " if comment else '"'
-    later = " " if comment else _CONTINUED
     return "\n".join([fill * len(first), *(later * len(line) for line in rest)])
 
 
-@F.pandas_udf(T.StringType())
-def masked_source(content: pd.Series, language: pd.Series) -> pd.Series:
-    compiled = {}
+def masked(text: str, language: str) -> str:
+    return _MASKS[_STYLE.get(language, language)].sub(_hide, text)
+
+
+# --- the scan ---------------------------------------------------------------
+
+
+@dataclass
+class _Unit:
+    """A definition found: where it starts, its body begins, and it ends."""
+
+    rule: Rule
+    name: str | None
+    class_name: str | None
+    nested: bool
+    start: int
+    body: int
+    end: int = -1
+
+
+@dataclass
+class _Block:
+    """An open bracket. ``head`` is where the next head in it starts."""
+
+    bracket: str
+    head: int
+    unit: _Unit | None = None
+    literal: bool = False
+    quiet: bool = False
+    owner: _Unit | None = None
+    type_name: str | None = None
+    members: bool = False
+
+
+_CLOSE = {")": "(", "]": "[", "}": "{"}
+_STRUCTURE = re.compile(r"[{}()\[\];,\n]")
+_TYPE_NAME = re.compile(r"\b(?:class|enum|record|interface|struct)\s+(\w+)")
+_GOES_ON = re.compile(r"\s*(?:[{.,?:=&|<>)\]*/+-]|(?:extends|implements|throws|where)\b)")
+# A brace after one of these opens a value, not a body.
+_VALUE_AFTER = {"rust": "=([", **dict.fromkeys(("javascript", "typescript", "tsx"), "=([,:?<|&")}
+_BY_LINES = ("go", "javascript", "typescript", "tsx")
+
+
+@dataclass
+class _Scan:
+    code: str
+    language: str
+    units: list[_Unit] = field(default_factory=list)
+
+    def rule_of(self, start: int, end: int, block: _Block, body: bool) -> _Unit | None:
+        head = self.code[start:end]
+        cut = len(head) - len(head.lstrip())
+        head = head.strip()
+        if not head or block.quiet:
+            return None
+        for rule, pattern in _COMPILED[self.language]:
+            if (rule.body and not body) or (rule.inside and not block.members):
+                continue
+            found = pattern.fullmatch(head)
+            if not found or (rule.own_name and found["name"] != block.type_name):
+                continue
+            groups = found.groupdict()
+            owner = block.owner
+            return _Unit(
+                rule,
+                groups["name"],
+                groups.get("cls") or (owner.name if owner else None),
+                owner is not None,
+                start + cut + found.start("d"),
+                end,
+            )
+        return None
+
+    def opened(self, at: int, block: _Block) -> _Block:
+        """The block that a brace opens, with the definition it is the body of."""
+        head = self.code[block.head : at].rstrip()
+        last = head[-1:]
+        literal = (last and last in _VALUE_AFTER.get(self.language, "=([,")) or head.endswith("return")
+        if self.language == "go":
+            literal |= bool(re.match(r"\s*func\b.*\b(?:struct|interface)$", head, re.DOTALL))
+        elif self.language == "cpp" and (last.isalnum() or last in ("_", ">")):
+            # A member set to a value in braces, before a constructor's body.
+            literal |= bool(re.search(r"\)\s*(?:noexcept\s*)?:(?!:)[^?]*$", head))
+        elif self.language == "rust" and re.search(r"!\s*\w*$", head):
+            return _Block("{", at + 1, quiet=True, literal=True)
+        inner = _Block("{", at + 1, literal=literal, quiet=block.quiet, owner=block.owner)
+        inner.members = literal and self.language in _BY_LINES[1:]
+        if not literal and block.bracket == "{":
+            unit = self.rule_of(block.head, at, block, True)
+            kind = _TYPE_NAME.search(head)
+            inner.type_name = kind[1] if kind else None
+            if unit:
+                self.units.append(unit)
+                inner.unit = unit
+                if unit.rule.container:
+                    inner.owner, inner.members, inner.type_name = unit, self.language != "go", unit.name
+                else:
+                    inner.quiet = True
+            elif self.language == "java" and re.search(r"\benum\b", head):
+                inner.literal = True
+        return inner
+
+    def ended(self, at: int, end: int, block: _Block) -> None:
+        """A statement without a body ends before ``at``."""
+        unit = self.rule_of(block.head, at, block, False)
+        if unit and not unit.rule.body:
+            unit.end = unit.body = len(self.code[:at].rstrip()) if end == at else end
+            self.units.append(unit)
+
+    def braces(self) -> list[_Unit]:
+        code, by_lines = self.code, self.language in _BY_LINES
+        stack = [_Block("{", 0)]
+        for match in _STRUCTURE.finditer(code):
+            at, char, top = match.start(), match.group(), stack[-1]
+            if char == "{":
+                stack.append(self.opened(at, top))
+            elif char in "([":
+                inner = _Block(char, at + 1, quiet=top.quiet, owner=top.owner)
+                if self.language == "go" and char == "(" and code[top.head : at].strip() == "type":
+                    inner.bracket, inner.members, inner.literal = "{", True, True
+                stack.append(inner)
+            elif char in _CLOSE:
+                opens = _CLOSE[char]
+                depth = len(stack) - 1
+                grouped = stack[-1].members and stack[-1].bracket == "{" and char == ")"
+                while depth > 0 and stack[depth].bracket != opens and not grouped:
+                    depth -= 1
+                if depth <= 0 or (char != "}" and not grouped and depth != len(stack) - 1):
+                    continue
+                closed = stack[depth]
+                if grouped:
+                    self.ended(at, at, closed)
+                del stack[depth:]
+                if closed.unit:
+                    closed.unit.end = at + 1
+                top = stack[-1]
+                if (char == "}" and top.bracket == "{" and not (closed.literal and closed.unit is None)) or grouped:
+                    top.head = at + 1
+            elif top.bracket == "{":
+                if char == ";" or (char == "," and top.literal):
+                    if char == ";":
+                        self.ended(at, at + 1, top)
+                    top.head = at + 1
+                elif char == "\n" and by_lines and not self.goes_on(top.head, at):
+                    self.ended(at, at, top)
+                    top.head = at + 1
+        last = len(code.rstrip())
+        if stack[-1].bracket == "{":
+            self.ended(len(code), len(code), stack[-1])
+        for unit in self.units:
+            if unit.end < 0:
+                unit.end = last
+        return self.units
+
+    def goes_on(self, start: int, at: int) -> bool:
+        """Whether a statement goes on after a line break."""
+        if self.language == "go":
+            return False
+        before = self.code[start:at].rstrip()
+        return not before or before[-1] in ",([=+-*&|?.:<" or bool(_GOES_ON.match(self.code, at + 1))
+
+    def indented(self) -> list[_Unit]:
+        ruby = self.language == "ruby"
+        stack: list[tuple[int, _Unit]] = []
+        depth, at, filled, goes_on = 0, 0, 0, False
+        for line in self.code.split("\n"):
+            text = line.strip()
+            first = at + len(line) - len(line.lstrip())
+            if text and not text.startswith(_CONTINUED) and depth == 0 and not goes_on:
+                indent = first - at
+                while stack and indent <= stack[-1][0]:
+                    unit = stack.pop()[1]
+                    own = ruby and indent == unit_indent(unit, self.code) and re.match(r"end\b", text)
+                    unit.end = at + len(line.rstrip()) if own else filled
+                owner = next((u for _, u in reversed(stack) if u.rule.container), None)
+                inside = any(not u.rule.container for _, u in stack)
+                for rule, pattern in [] if inside else _COMPILED[self.language]:
+                    found = pattern.match(text)
+                    if found:
+                        unit = _Unit(rule, found["name"], owner.name if owner else None, owner is not None, first, 0)
+                        unit.body = self.body_of(first, at + len(line))
+                        self.units.append(unit)
+                        if ruby and re.search(r"(?:;|\s)end$|^def\b[^=]*\)\s*=\s|^def\s+\w+\s+=\s", text):
+                            unit.end = at + len(line.rstrip())
+                        else:
+                            stack.append((indent, unit))
+                        break
+            if text:
+                filled = at + len(line.rstrip())
+            if not ruby:
+                depth = max(0, depth + sum((c in "([{") - (c in ")]}") for c in text))
+                goes_on = text.endswith("\\")
+            at += len(line) + 1
+        for _, unit in stack:
+            unit.end = filled
+        return self.units
+
+    def body_of(self, start: int, line_end: int) -> int:
+        """Where the header of a definition ends."""
+        if self.language == "ruby":
+            return line_end
+        depth = 0
+        for match in re.finditer(r"[()\[\]{}:]", self.code[start:]):
+            depth += (match[0] in "([{") - (match[0] in ")]}")
+            if match[0] == ":" and depth == 0:
+                return start + match.end()
+        return line_end
+
+
+def unit_indent(unit: _Unit, code: str) -> int:
+    return unit.start - (code.rfind("\n", 0, unit.start) + 1)
+
+
+def outline(text: str, language: str) -> list[tuple]:
+    """``(name, type, class, start line, end line, content)`` of every
+    definition that is emitted, in the order of the text."""
+    scan = _Scan(masked(text, language), language)
+    units = scan.indented() if language in INDENTED else scan.braces()
+    breaks = [m.start() for m in re.finditer("\n", text)]
     out = []
-    for text, lang in zip(content, language):
-        key = _STYLE.get(lang, lang)
-        if key not in compiled:
-            compiled[key] = re.compile(_HIDDEN.get(key, _HIDDEN["plain"]))
-        out.append(None if text is None else compiled[key].sub(_hide, text))
-    return pd.Series(out, dtype=object)
-
-
-# --- outline --------------------------------------------------------------
-
-
-def _count(text: Column, char: str) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
-
-
-_ALL_RULES = tuple((lang, rule) for lang, rules in RULES.items() for rule in rules)
+    for unit in sorted(units, key=lambda u: u.start):
+        if not unit.rule.emit:
+            continue
+        end = unit.body if unit.rule.container and unit.rule.header else unit.end
+        content = text[unit.start : end]
+        kind = "method" if unit.nested and not unit.rule.container else unit.rule.symbol_type
+        out.append(
+            (
+                unit.name,
+                kind,
+                unit.class_name,
+                bisect_right(breaks, unit.start) + 1,
+                bisect_right(breaks, max(unit.start, unit.end - 1)) + 1,
+                content.rstrip() if unit.rule.container or language in INDENTED else content,
+            )
+        )
+    return out
 
 
-def _rule_number() -> Column:
-    """Number of the first rule whose language and pattern fit a line."""
-    line = F.col("code")
-    cases = None
-    for number, (language, rule) in enumerate(_ALL_RULES):
-        test = (F.col("language") == language) & line.rlike(rule.pattern)
-        if rule.body:
-            test = test & F.col("_body")
-        cases = (F.when if cases is None else cases.when)(test, F.lit(number))
-    return cases
+# --- files to chunks --------------------------------------------------------
 
 
-def _of_rule(value) -> Column:
-    """A fixed property of the rule that fitted."""
-    return F.element_at(F.array(*[F.lit(value(rule)) for _, rule in _ALL_RULES]), F.col("_rule") + 1)
+def check_languages(languages: Iterable[str]) -> None:
+    for language in languages:
+        if language not in RULES:
+            raise ValueError(f"Unsupported code chunking language: {language}")
 
 
-def _captured(group: int) -> Column:
-    """A capture group of the rule that fitted, read from the line again."""
-    cases = None
-    for number, (_, rule) in enumerate(_ALL_RULES):
-        hit = F.regexp_extract(F.col("code"), rule.pattern, group)
-        test = F.col("_rule") == number
-        cases = F.when(test, hit) if cases is None else cases.when(test, hit)
-    return cases
+# Characters of the files that a task holds before it hands their chunks on.
+BATCH = 1 << 22
+_SCHEMA = pa.schema(
+    [("path", pa.string()), ("language", pa.string()), ("symbol_name", pa.string()), ("symbol_type", pa.string())]
+    + [("class_name", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("content", pa.string())]
+    + [("error", pa.string())]
+)
+_DDL = (
+    "path string, language string, symbol_name string, symbol_type string, class_name string, "
+    "start_line int, end_line int, content string, error string"
+)
 
 
-def _lines(files: DataFrame) -> DataFrame:
-    """Lines with depth, indentation and the levels that each of them closes."""
-    code = files.select(
-        "path", "language", masked_source(F.col("content"), F.col("language")).alias("_masked")
-    )
-    rows = explode_rows(
-        code, F.split("_masked", "\n"), "line_no", "code", keep=["path", "language"]
-    ).withColumn("line_no", F.col("line_no") + 1)
-
-    text = F.col("code")
-    order = Window.partitionBy("path").orderBy("line_no")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_opens", _count(text, "{")).withColumn("_closes", _count(text, "}"))
-    lead = F.substring_index(text, "{", 1)
-    filled = F.when(~text.rlike(r"^\s*$"), F.col("line_no"))
-    indent = F.when(
-        ~text.rlike(rf"^(?:\s*$|{_CONTINUED})"), F.length(F.regexp_extract(text, r"^\s*", 0))
-    )
-    rows = (
-        rows.withColumn(
-            "_before", F.coalesce(F.sum(F.col("_opens") - F.col("_closes")).over(before), F.lit(0))
-        )
-        .withColumn("_lead", _count(lead, "}"))
-        .withColumn("_filled", filled)
-        .withColumn("_indent", indent)
-        .withColumn("_prev_filled", F.last("_filled", ignorenulls=True).over(before))
-        .withColumn("_prev_indent", F.last("_indent", ignorenulls=True).over(before))
-        .withColumn("_last_filled", F.max("_filled").over(Window.partitionBy("path")))
-        .withColumn("_next_code", F.lead("code").over(order))
-    )
-    indented = F.col("language").isin(*INDENTED)
-    after = F.col("_before") + F.col("_opens") - F.col("_closes")
-    lowest = F.greatest(F.least(F.col("_before") - F.col("_lead"), after), F.lit(0))
-    none = F.array().cast("array<int>")
-    closed = F.when(
-        indented,
-        F.when(
-            F.col("_indent") <= F.col("_prev_indent"),
-            F.sequence(F.col("_indent"), F.col("_prev_indent")),
-        ).otherwise(none),
-    ).otherwise(
-        F.when(
-            lowest < F.col("_before"),
-            F.sequence(lowest.cast("int"), (F.col("_before") - 1).cast("int")),
-        ).otherwise(none)
-    )
-    # Where a definition ends that this line closes.
-    ends_at = F.when(
-        indented & ~((F.col("language") == "ruby") & text.rlike(r"^\s*end\b")),
-        F.col("_prev_filled"),
-    ).otherwise(F.col("line_no"))
-    body = text.contains("{") | (
-        ~text.contains(";")
-        & (F.col("_next_code").rlike(r"^\s*\{") | text.rlike(r"[(,]\s*$"))
-    )
-    return (
-        rows.withColumn("_closed", F.coalesce(closed, none))
-        .withColumn("_ends_at", ends_at)
-        .withColumn("_body", body)
-        .withColumn(
-            "_level",
-            F.when(indented, F.col("_indent")).otherwise(F.col("_before") - F.col("_lead")).cast("int"),
-        )
-        .withColumn(
-            "_oneline",
-            ~indented & (((F.col("_opens") > 0) & (after <= F.col("_before")))
-            | ((F.col("_opens") == 0) & text.rlike(r";\s*$"))
-            | ((F.col("language") == "go") & (F.col("_opens") == 0) & text.rlike(r"^\s*type\s+\w+"))),
-        )
+def scanned(files: DataFrame) -> DataFrame:
+    """The definitions of ``path, language, content`` files as rows. A file
+    without any keeps its row and text, with null ``symbol_type``; one that cannot
+    be read has an ``error``, so that nothing is lost on the way."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+
+        def batch_of(rows):
+            columns = zip(zip(*rows, strict=True), _SCHEMA, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in columns], schema=_SCHEMA)
+
+        for batch in batches:
+            for path, language, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found, error = [], None
+                if language not in RULES:
+                    error = f"unsupported language: {language}"
+                elif content is None:
+                    error = "no content"
+                else:
+                    try:
+                        found = outline(content, language)
+                    except (IndexError, RecursionError, ValueError) as e:
+                        error = f"not readable: {e}"
+                rows += [(path, language, *x, None) for x in found] or [
+                    (path, language, None, None, None, None, None, content, error)
+                ]
+                size += len(content or "") + 100 * len(found)
+                if size > BATCH:
+                    yield batch_of(rows)
+                    rows, size = [], 0
+        if rows:
+            yield batch_of(rows)
+
+    return files.select(*[F.col(c).cast("string").alias(c) for c in ("path", "language", "content")]).mapInArrow(
+        scan, _DDL
     )
 
 
 def definition_outline(files: DataFrame) -> DataFrame:
-    """``(path, language, symbol_name, symbol_type, class_name, start_line,
-    end_line, ...)`` of every definition, without its text."""
-    lines = _lines(files).withColumn("_rule", _rule_number())
-    level = lambda l, d: F.struct(l.alias("level"), d.alias("is_def"))
-    marks = F.concat(
-        F.transform("_closed", lambda c: level(c, F.lit(False))),
-        F.when(F.col("_rule").isNotNull(), F.array(level(F.col("_level"), F.lit(True)))).otherwise(
-            F.array().cast("array<struct<level:int,is_def:boolean>>")
-        ),
-    )
-    marked = explode_rows(
-        lines,
-        marks,
-        "_mark",
-        keep=["path", "language", "line_no", "code", "_rule", "_ends_at", "_oneline", "_last_filled"],
-    )
-    # Nearest closing of the same level further down. The order is reversed so
-    # that the frame only grows; a line closes levels before it opens its own.
-    below = (
-        Window.partitionBy("path", "_mark.level")
-        .orderBy(F.desc("line_no"), F.desc("_mark.is_def"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    closing = F.last(F.when(~F.col("_mark.is_def"), F.col("_ends_at")), ignorenulls=True).over(below)
-    found = (
-        marked.withColumn("_closing", closing)
-        .where(F.col("_mark.is_def"))
-        .select(
-            "path",
-            "language",
-            F.col("line_no").alias("start_line"),
-            F.when(F.col("_oneline"), F.col("line_no"))
-            .otherwise(F.coalesce("_closing", "_last_filled"))
-            .alias("end_line"),
-            _of_rule(lambda r: r.symbol_type).alias("symbol_type"),
-            _of_rule(lambda r: r.container).alias("container"),
-            _of_rule(lambda r: r.emit).alias("emit"),
-            _of_rule(lambda r: r.header).alias("header"),
-            F.nullif(_captured(2), F.lit("")).alias("name"),
-            (F.length("code") - F.length(_captured(1))).alias("_col"),
-            F.when(
-                F.col("language") == "go",
-                F.nullif(
-                    F.regexp_extract("code", r"^\s*func\s*\(\s*(?:\w+\s+)?\*?\s*(\w+)", 1),
-                    F.lit(""),
-                ),
-            ).alias("_receiver"),
-        )
-    )
-    # Definitions inside a function are no chunks of their own.
-    earlier = (
-        Window.partitionBy("path")
-        .orderBy("start_line")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    inside = F.max(F.when(~F.col("container"), F.col("end_line"))).over(earlier)
-    tops = found.withColumn("_inside", inside).where(
-        F.coalesce(F.col("_inside") < F.col("start_line"), F.lit(True))
-    )
-    # Enclosing containers of a definition: those before it that have not ended.
-    # The frame holds the containers of one file, in order of their start.
-    enclosing = F.try_element_at(
-        F.filter(
-            F.col("_before"), lambda c: c["end_line"] >= F.col("start_line")
-        ),
-        F.lit(-1),
-    )
-    nested = F.col("_outer").isNotNull()
-    placed = tops.withColumn(
-        "_before",
-        F.collect_list(
-            F.when(F.col("container"), F.struct("start_line", "end_line", "name"))
-        ).over(earlier),
-    ).withColumn("_outer", enclosing)
-    return placed.select(
-        "path",
-        "language",
-        F.col("name").alias("symbol_name"),
-        F.when(~F.col("container") & nested, F.lit("method"))
-        .otherwise(F.col("symbol_type"))
-        .alias("symbol_type"),
-        F.when(
-            (F.col("language") == "go") & (F.col("symbol_type") == "method"), F.col("_receiver")
-        )
-        .otherwise(F.col("_outer.name"))
-        .alias("class_name"),
-        "start_line",
-        "end_line",
-        "container",
-        "header",
-        "emit",
-        F.col("_col").alias("col"),
-    )
-
-
-def _definition_text(lines: Column, shown_lines: Column, d: Column) -> Column:
-    """Cut one definition out of the lines of its file.
-
-    ``shown_lines`` has strings and comments hidden but the same columns, so
-    positions found there hold for the original text.
-    """
-
-    def cut(rows: Column) -> Column:
-        span = F.slice(rows, d["start_line"], d["end_line"] - d["start_line"] + 1)
-        return F.substring(F.array_join(span, "\n"), d["col"] + F.lit(1), F.lit(2147483647))
-
-    indented = F.col("language").isin(*INDENTED)
-
-    def shape(both: Column) -> Column:
-        whole, shown = both["whole"], both["shown"]
-        to_brace = F.when(
-            shown.contains("}"), F.length(shown) - F.length(F.substring_index(shown, "}", -1))
-        ).otherwise(F.length(F.rtrim(shown)))
-        full = F.when(indented, F.rtrim(whole)).otherwise(F.substring(whole, F.lit(1), to_brace))
-        head_len = (
-            F.when(
-                F.col("language") == "python",
-                F.length(F.regexp_extract(shown, r"^[\s\S]*?:(?=\s|$)", 0)),
-            )
-            .when(F.col("language") == "ruby", F.length(F.substring_index(shown, "\n", 1)))
-            .otherwise(F.length(F.substring_index(shown, "{", 1)))
-        )
-        head = F.regexp_replace(F.substring(whole, F.lit(1), head_len), r"\s+\z", "")
-        return F.when(d["container"] & d["header"], head).otherwise(full)
-
-    return let(F.struct(cut(lines).alias("whole"), cut(shown_lines).alias("shown")), shape)
-
-
-def check_languages(languages: Iterable[str]) -> None:
-    for language in languages:
-        if language not in RULES:
-            raise ValueError(f"Unsupported code chunking language: {language}")
+    """``path, language, symbol_name, symbol_type, class_name, start_line,
+    end_line`` of every definition, without its text."""
+    return scanned(files).where("symbol_type is not null").drop("content", "error")
 
 
 _CHUNK_FIELDS = ("symbol_name", "symbol_type", "class_name", "start_line", "end_line")
@@ -445,59 +501,44 @@ def unsupported_files(files: DataFrame, language_col: str = "language") -> DataF
     return files.where(~known)
 
 
-def code_chunks(
-    files: DataFrame, size: int = 1500, overlap: int = 100, fallback: bool = True
-) -> DataFrame:
-    """Chunks of ``(path, language, content)`` files, one row each.
+def chunks_and_errors(files: DataFrame, size: int = 1500, overlap: int = 100, fallback: bool = True) -> DataFrame:
+    """Chunks of files, and one row with an ``error`` for each that has none
+    because it cannot be read: ``source, language, symbol_name, symbol_type,
+    class_name, start_line, end_line, content, error``.
 
-    A file with definitions gives one chunk per emitted definition. Others
-    fall back to a whole-file or block chunks, blank ones give nothing. The
-    outline is gathered per file (it is already partitioned by path) and
-    joined to the file once, which then cuts all its chunks in place.
+    A file with definitions gives one chunk for each. Others fall back to a
+    whole-file or block chunks; blank ones give nothing. No shuffle.
     """
-    known = files.where(F.col("language").isin(*SUPPORTED_LANGUAGES))
-    defs = (
-        definition_outline(known)
-        .where("emit")
-        .groupBy("path")
-        .agg(
-            F.sort_array(
-                F.collect_list(
-                    F.struct("start_line", "col", *_CHUNK_FIELDS[:3], "end_line", "container", "header")
-                )
-            ).alias("_defs")
-        )
-    )
-    joined = known.select(
-        "path", "language", "content", masked_source(F.col("content"), F.col("language")).alias("_m")
-    ).join(defs, "path", "left")
-    made = let(
-        F.struct(F.split("content", "\n").alias("l"), F.split("_m", "\n").alias("m")),
-        lambda t: F.transform(
-            F.col("_defs"),
-            lambda d: F.struct(
-                *[d[f].alias(f) for f in _CHUNK_FIELDS],
-                _definition_text(t["l"], t["m"], d).alias("content"),
-            ),
-        ),
-    )
-    null = F.lit(None).cast("string")
+    null = F.lit(None)
+    as_is = F.array(F.struct(*_CHUNK_FIELDS, "content"))
     rest = F.transform(
         fallback_array(F.col("content"), size, overlap),
         lambda c: F.struct(
-            null.alias("symbol_name"),
+            null.cast("string").alias("symbol_name"),
             c["symbol_type"].alias("symbol_type"),
-            null.alias("class_name"),
+            null.cast("string").alias("class_name"),
             c["start_line"].alias("start_line"),
             c["end_line"].alias("end_line"),
             c["chunk"].alias("content"),
         ),
     )
-    chunks = F.when(F.col("_defs").isNotNull(), made)
-    if fallback:
-        chunks = chunks.otherwise(rest)
-    return explode_rows(joined, chunks, "_c", keep=["path", "language"]).select(
-        F.col("path").alias("source"), "language", "_c.*"
+    done = F.when(F.col("symbol_type").isNotNull() | F.col("error").isNotNull(), as_is)
+    chunks = done.otherwise(rest) if fallback else done
+    return explode_rows(scanned(files), chunks, "_c", keep=["path", "language", "error"]).select(
+        F.col("path").alias("source"), "language", "_c.*", "error"
+    )
+
+
+def code_chunks(files: DataFrame, size: int = 1500, overlap: int = 100, fallback: bool = True) -> DataFrame:
+    """The chunks of ``chunks_and_errors`` alone."""
+    return chunks_and_errors(files, size, overlap, fallback).where("error is null").drop("error")
+
+
+def quarantined_files(files: DataFrame) -> DataFrame:
+    """``source, language, content, error`` of the files that give no chunks
+    because they cannot be read."""
+    return (
+        chunks_and_errors(files).where("error is not null").select("source", "language", "content", "error")
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from corpusloom.functions.text import ENGLISH_STOP_WORDS, NON_WORD, WHITESPACE
+from corpusloom.plans.source_samples import KEY, SAMPLES, UNSUPPORTED
 from corpusloom.sources.files import IGNORED_DIRS, LANGUAGE_OF_EXTENSION
 
 DIM = 64
@@ -352,6 +353,34 @@ CODE_DEFINITIONS = " UNION ALL ".join(
     ]
 )
 
+
+
+def _text(value) -> str:
+    return "NULL" if value is None else str(value) if isinstance(value, int) else "'" + value.replace("'", "''") + "'"
+
+
+def _samples() -> str:
+    """The definitions written beside the samples, for every part."""
+    rows = [
+        (i, s.language, s.extension, s.language, *d[:5], s.content(d), None)
+        for i, s in enumerate(SAMPLES)
+        for d in s.definitions
+    ]
+    rows.append(
+        (len(SAMPLES), "other", ".cob", "cobol", *[None] * 5, UNSUPPORTED, "unsupported language: cobol")
+    )
+    values = ", ".join(f"({', '.join(map(_text, r))})" for r in rows)
+    filled = lambda c: f"replace({c}, '{KEY}', p_partkey::VARCHAR) AS {c}"
+    return (
+        "SELECT dir || '/' || p_partkey || ext AS source, language, "
+        + ", ".join(filled(c) for c in ("symbol_name", "symbol_type", "class_name", "content"))
+        + ", start_line::INT AS start_line, end_line::INT AS end_line, error FROM part JOIN (VALUES "
+        + values
+        + ") v(kind, dir, ext, language, symbol_name, symbol_type, class_name, start_line, end_line, content, error) "
+        + f"ON p_partkey % {len(SAMPLES) + 1} = kind"
+    )
+
+
 TOPIC_TOKENS = (
     f"list_filter(string_split_regex(lower(text), '{WHITESPACE}+'), "
     "lambda w: length(w) > 3 AND regexp_full_match(w, '\\p{L}+'))"
@@ -554,6 +583,7 @@ ORACLE: dict[str, str] = {
     "(length(text) - length(replace(text, E'\\n', '')) + 1)::INT AS end_line, text AS content "
     f"FROM documents WHERE length(text) <= 1500 AND regexp_matches(text, '{WHITESPACE.replace('[', '[^', 1)}')",
     "code_definitions": CODE_DEFINITIONS,
+    "code_outline": _samples(),
     "lda_vocab": _ctes(
         f"t AS (SELECT DISTINCT doc_id, unnest({TOPIC_TOKENS}) AS term FROM documents)"
     )

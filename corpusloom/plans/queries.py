@@ -18,6 +18,7 @@ from corpusloom.operators import retrieval as R
 from corpusloom.operators import topics as T
 from corpusloom.operators.debounce import debounce
 from corpusloom.operators.embedding import embed, hashed_embedder
+from corpusloom.plans.source_samples import KEY, SAMPLES, UNSUPPORTED
 from corpusloom.sources import files as S
 from corpusloom.sources.index_store import live_rows
 from corpusloom.sources.tables import spread, table
@@ -472,6 +473,27 @@ def code_definitions(spark, root):
     return D.code_chunks(generated_sources(spark, root))
 
 
+def sampled_sources(spark: SparkSession, root: str) -> DataFrame:
+    """One source file per part: the samples of ten languages in turn, with the
+    part's key in their names, and files in a language without rules."""
+    samples = F.array(
+        *[F.struct(*map(F.lit, (f"{s.language}/", s.extension, s.language, s.text))) for s in SAMPLES],
+        F.struct(*map(F.lit, ("other/", ".cob", "cobol", UNSUPPORTED))),
+    )
+    sample = samples[(F.col("p_partkey") % (len(SAMPLES) + 1)).cast("int")]
+    key = F.col("p_partkey").cast("string")
+    return spread(table(spark, root, "part")).select(key.alias("k"), sample.alias("s")).select(
+        F.concat("s.col1", "k", "s.col2").alias("path"),
+        F.col("s.col3").alias("language"),
+        F.replace(F.col("s.col4"), F.lit(KEY), F.col("k")).alias("content"),
+    )
+
+
+def code_outline(spark, root):
+    """All definitions of the ten languages, and the files that have to be put aside."""
+    return D.chunks_and_errors(sampled_sources(spark, root))
+
+
 # --- topics --------------------------------------------------------------
 
 
@@ -559,6 +581,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         module_fallback,
         recursive_split,
         code_definitions,
+        code_outline,
         lda_vocab,
         doc_topics,
         lda_topk,
