@@ -139,7 +139,7 @@ def sparse_queries(
     return start, query[order], count[order]
 
 
-def _half_up(x: np.ndarray) -> np.ndarray:
+def round_half_up(x: np.ndarray) -> np.ndarray:
     # Adding zero turns a negative zero into a plain one.
     return np.sign(x) * np.floor(np.abs(x) * 1e6 + 0.5) / 1e6 + 0.0
 
@@ -221,7 +221,7 @@ def top_k(
             ids = step.column(step.schema.get_field_index(id_col)).to_numpy(zero_copy_only=False)
             ids = ids.astype(np.int64)
             parts = [m.scores(step) for m in methods]
-            fused = _half_up(fuse(parts))
+            fused = round_half_up(fuse(parts))
             row, query = np.nonzero(
                 (fused > bar) | ((fused == bar) & (ids[:, None] < bar_id))
             )

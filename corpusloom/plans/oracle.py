@@ -467,6 +467,10 @@ def recursive_split(size: int, overlap: int) -> str:
 ORACLE: dict[str, str] = {
     "bm25_stats": _ctes(*BM25_STATS) + "\nSELECT term, df, cf, round(idf, 6) AS idf FROM idf",
     "bm25_topk": lexical_topk(BM25_SCORES, "bm"),
+    "bm25_index_topk": lexical_topk(BM25_SCORES, "bm"),
+    "bm25_stats_after_events": (
+        _ctes(*BM25_STATS) + "\nSELECT term, df, cf, round(idf, 6) AS idf FROM idf"
+    ).replace("FROM documents", "FROM documents WHERE doc_id % 5 <> 0"),
     "tfidf_vocabulary": _ctes(*TFIDF_VOCAB)
     + "\nSELECT term, df, cf, round(idf, 6) AS idf FROM vocab",
     "tfidf_fit": _ctes(*TFIDF_WEIGHTS)
@@ -480,11 +484,16 @@ ORACLE: dict[str, str] = {
     "l2_normalised": "SELECT vec_id, (generate_subscripts(v, 1) - 1)::INT AS pos, "
     "round(unnest(v) / sqrt(list_dot_product(v, v)), 6) + 0.0 AS x "
     "FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)",
-    "vector_l2_topk": vector_topk(
-        "list_sum(list_transform(list_zip(q.v, e.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))",
-        "ASC",
+    **dict.fromkeys(
+        ("vector_l2_topk", "vector_index_topk"),
+        vector_topk(
+            "list_sum(list_transform(list_zip(q.v, e.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))",
+            "ASC",
+        ),
+    ),
+    **dict.fromkeys(
+        ("vector_cosine_topk", "vector_index_cosine"), vector_topk(COSINE.format(a="q.v", b="e.v"), "DESC")
     ),
-    "vector_cosine_topk": vector_topk(COSINE.format(a="q.v", b="e.v"), "DESC"),
     "hybrid_topk": HYBRID,
     "raw_search": _ctes(*NEAREST)
     + "\nSELECT n.query_id, n.rank::INT AS rank, n.doc_id AS chunk_id, d.source, "

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 # A scan smaller than this per core does not split finely enough by itself.
@@ -27,3 +30,15 @@ def spread(df: DataFrame) -> DataFrame:
     if plan_bytes(df) < cores * SPREAD_BYTES_PER_CORE:
         return df.repartition(cores)
     return df
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A new path in the folder that the whole cluster shares. Without one, a
+    temporary folder will do on a single machine only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/corpusloom/{uuid.uuid4().hex}"
