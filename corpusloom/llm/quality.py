@@ -298,6 +298,7 @@ def log_likelihoods(texts: DataFrame, table: DataFrame, path: str) -> DataFrame:
         sent = spark.sparkContext.broadcast(
             (mine.column("key").to_numpy(), mine.column("logp").to_numpy())
         )
+        del mine
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             look = _Lookup(*sent.value)
@@ -310,6 +311,7 @@ def log_likelihoods(texts: DataFrame, table: DataFrame, path: str) -> DataFrame:
 
         scored = written(rows.mapInArrow(score, out), f"{path}/shard{shard}")
         sent.destroy()
+        pa.default_memory_pool().release_unused()
         return scored
 
     parts = [part(i) for i in range(shards)]

@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.sources.tables import work_dir
+
 SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A new path under `spark.checkpoint.dir`. Where the session names no such
-    folder (tests on one machine), a temporary one is set for it."""
-    base = spark.conf.get(SETTING, None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set(SETTING, base)
-    return f"{base.rstrip('/')}/corpusloom/{uuid.uuid4().hex}"
+    folder and runs on one machine (tests), a temporary one is set for it."""
+    return work_dir(spark)
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
