@@ -68,7 +68,8 @@ MIN_HELD = 8
 # characters as blanks, which leaves 0 and 1 free for the ends of a text. Others
 # are written in two or three symbols of seven bits, so that none share any.
 WIDE, LEAD, REST = 768, 768, 896
-_TABLE = np.full(128, SPACE, np.int64)
+_TABLE = np.full(WIDE, SPACE, np.int64)
+_TABLE[128:] = np.arange(128, WIDE)
 _TABLE[33:127] = np.arange(33, 127)
 _TABLE[48:58] = DIGIT
 _TABLE[10] = NEWLINE
@@ -77,18 +78,21 @@ _TABLE[10] = NEWLINE
 def symbols_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The symbols of all texts, and the number of each."""
     points, lengths = code_points(texts)
-    points = points.astype(np.int64)
-    size = 1 + (points >= WIDE) + (points >= 1 << 14)
-    ends = np.cumsum(size)
-    out = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
-    lead = LEAD + np.where(size == 2, points >> 7, points >> 14)
-    plain = np.where(points < 128, _TABLE[np.minimum(points, 127)], points)
-    out[ends - size] = np.where(size == 1, plain, lead)
-    out[(ends - 1)[size > 1]] = REST + (points[size > 1] & 127)
-    out[(ends - 2)[size > 2]] = REST + (points[size > 2] >> 7 & 127)
-    upto = np.concatenate([[0], ends])
-    last = np.cumsum(lengths)
-    return out, upto[last] - upto[last - lengths]
+    out = _TABLE[np.minimum(points, WIDE - 1)]
+    wide = np.flatnonzero(points >= WIDE)
+    if not len(wide):
+        return out, lengths
+    point = points[wide].astype(np.int64)
+    three = point >= 1 << 14
+    out[wide] = LEAD + np.where(three, point >> 14, point >> 7)
+    more = 1 + three
+    ends = np.cumsum(more)
+    rest = np.empty(int(ends[-1]), np.int64)
+    rest[ends - 1] = REST + (point & 127)
+    rest[(ends - 2)[three]] = REST + (point[three] >> 7 & 127)
+    text = np.searchsorted(np.cumsum(lengths), wide, "right")
+    added = np.bincount(text, more, len(lengths)).astype(np.int64)
+    return np.insert(out, np.repeat(wide + 1, more), rest), lengths + added
 
 
 def grams(texts: list[str], language: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
