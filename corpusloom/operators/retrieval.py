@@ -163,16 +163,21 @@ def hybrid_topk(
     vocabulary: DataFrame | None = None,
     topics: Callable[[DataFrame, str], DataFrame] | None = None,
     normalise: bool = True,
+    missing: Sequence[str] = (),
 ) -> DataFrame:
     """Weighted sum of per-method scores over every document.
 
+    ``missing`` names methods that cannot be used: the weights of the others are
+    scaled to their sum.
+
     Each method's scores are divided by their maximum for that query when it
     is positive. Columns: query_id, rank, id, score and the raw score of each
     method used. ``topics`` adds an ``lda`` vector column to a frame holding
     the given text column; it is required when ``lda`` has a weight.
     """
-    used = [m for m in ("vector", "tfidf", "lda", "bm25") if m in weights]
     unknown = set(weights) - set(DEFAULT_WEIGHTS)
+    weights = available_weights(weights, missing)
+    used = [m for m in ("vector", "tfidf", "lda", "bm25") if m in weights]
     if unknown:
         raise ValueError(f"Unsupported methods: {sorted(unknown)}")
     if "lda" in used and topics is None:
@@ -302,7 +307,8 @@ def search(
     metric: str = "l2",
     id_col: str = "chunk_id",
 ) -> DataFrame:
-    """Batch search: ``(query_id, rank, id, content, source, score, score_kind)``.
+    """Batch search: ``(query_id, rank, id, content, source, score, score_kind,
+    metadata)``, where ``metadata`` is a struct of the index's other columns.
 
     ``queries`` has ``query_id``, ``query`` and optionally a per-query
     ``top_k``; 0 or null there means the default. ``index`` has the id,
@@ -320,6 +326,11 @@ def search(
     )
     times = (fetch_multiplier or 1) if rerank_enabled else 1
     vectors = index.select(id_col, "embedding")
+    plain = (id_col, "content", "source", "embedding")
+    others = [c for c in index.columns if c not in plain]
+    # An index without further columns has empty metadata.
+    metadata = F.struct(*others) if others else F.struct(F.lit(None).cast("string").alias("none"))
+    described = index.select(id_col, "content", "source", metadata.alias("metadata"))
     out = []
     for block in collect_blocks(qs, "query_id"):
         most = (pc.max(block.column("final_k")).as_py() or default_k) * times
@@ -331,13 +342,15 @@ def search(
         hits = hits.join(F.broadcast(asked), "query_id").where(
             F.col("rank") <= F.col("final_k") * times
         )
-        found = with_content(hits, index, id_col, max_hits=block.num_rows * most)
+        found = with_content(
+            hits, described, id_col, ("content", "source", "metadata"), max_hits=block.num_rows * most
+        )
         if rerank_enabled:
             found = rerank(found, F.col("final_k"), F.col("final_k") * times, scorer, id_col)
         out.append(found)
     kind = "relevance" if rerank_enabled else ("distance" if metric == "l2" else "similarity")
     return union_all(out).select(
-        "query_id", "rank", id_col, "content", "source", "score", F.lit(kind).alias("score_kind")
+        "query_id", "rank", id_col, "content", "source", "score", F.lit(kind).alias("score_kind"), "metadata"
     )
 
 

@@ -495,9 +495,13 @@ ORACLE: dict[str, str] = {
         ("vector_cosine_topk", "vector_index_cosine"), vector_topk(COSINE.format(a="q.v", b="e.v"), "DESC")
     ),
     "hybrid_topk": HYBRID,
+    "hybrid_without_bm25": HYBRID.replace("0.5 * a.v", "0.5 / 0.7 * a.v")
+    .replace("0.2 * a.t", "0.2 / 0.7 * a.t")
+    .replace("0.3 * a.b", "0.0 * a.b")
+    .replace(", tfidf_score, bm25_score FROM (SELECT *, row", ", tfidf_score FROM (SELECT *, row"),
     "raw_search": _ctes(*NEAREST)
-    + "\nSELECT n.query_id, n.rank::INT AS rank, n.doc_id AS chunk_id, d.source, "
-    "round(n.dist, 6) AS score, 'distance' AS score_kind FROM near n "
+    + "\nSELECT n.query_id, n.rank::INT AS rank, n.doc_id AS chunk_id, d.text AS content, d.source, "
+    "round(n.dist, 6) AS score, 'distance' AS score_kind, d.lang, d.n_chars FROM near n "
     "JOIN documents d USING (doc_id) "
     "WHERE n.rank <= CASE WHEN n.query_id % 4 > 0 THEN n.query_id % 4 ELSE 5 END",
     "two_stage_search": _ctes(*TWO_STAGE)
@@ -523,13 +527,18 @@ ORACLE: dict[str, str] = {
     "FROM benchmark b LEFT JOIN hit h ON h.query_id = b.item_id GROUP BY b.item_id, b.text",
     "grounding_check": _ctes(
         CONVERSATIONS,
-        *bag_cte("tb", "turns", "query_id", "text"),
-        "sc AS (SELECT a.query_id, max("
-        + COSINE.format(a="va.v", b="vs.v")
-        + ") AS s FROM turns a JOIN turns t ON t.conv_id = a.conv_id "
-        "AND t.turn BETWEEN a.turn - 3 AND a.turn - 1 JOIN tb va ON va.query_id = a.query_id "
-        "JOIN tb vs ON vs.query_id = t.query_id "
-        "WHERE a.role = 'assistant' AND a.text <> '' GROUP BY a.query_id)",
+        "asked AS (SELECT a.query_id, t.text FROM turns a JOIN turns t ON t.conv_id = a.conv_id "
+        "AND t.turn = a.turn - 1 WHERE a.role = 'assistant')",
+        "said AS (SELECT query_id, text FROM turns WHERE role = 'assistant' AND text <> '')",
+        *DOC_BAGS,
+        *bag_cte("qb", "asked", "query_id", "text"),
+        *bag_cte("ab", "said", "query_id", "text"),
+        "near AS (SELECT qb.query_id, db.doc_id, db.v FROM qb, db QUALIFY row_number() OVER (PARTITION BY "
+        "qb.query_id ORDER BY list_dot_product(qb.v, qb.v) - 2 * list_dot_product(qb.v, db.v) + "
+        "list_dot_product(db.v, db.v), db.doc_id) <= 5)",
+        "sc AS (SELECT ab.query_id, max("
+        + COSINE.format(a="ab.v", b="near.v")
+        + ") AS s FROM ab JOIN near USING (query_id) GROUP BY ALL)",
     )
     + "\nSELECT a.query_id, s < 0.5 AS is_hallucination, round(s, 6) AS score, "
     "'embedding_similarity' AS method FROM turns a LEFT JOIN sc USING (query_id) "

@@ -181,6 +181,17 @@ def hybrid_topk(spark, root):
     )
 
 
+def hybrid_without_bm25(spark, root):
+    """The same weights where BM25 is not available."""
+    hits = R.hybrid_topk(
+        benchmark_queries(spark, root), documents(spark, root), HYBRID_WEIGHTS, K, dim=DIM, missing=("bm25",)
+    )
+    return hits.select(
+        "query_id", "rank", "doc_id", "score",
+        round6(F.col("vector")).alias("vector_score"), round6(F.col("tfidf")).alias("tfidf_score"),
+    )
+
+
 # --- two-stage search and the answer side --------------------------------
 
 
@@ -191,6 +202,8 @@ def document_index(spark: SparkSession, root: str) -> DataFrame:
         F.col("doc_id").alias("chunk_id"),
         F.col("text").alias("content"),
         "source",
+        "lang",
+        "n_chars",
         V.hashed_bag(F.col("text"), DIM).alias("embedding"),
     )
 
@@ -201,7 +214,9 @@ def raw_search(spark, root):
         "top_k", F.when(F.col("query_id") % 4 > 0, F.col("query_id") % 4).cast("int")
     )
     hits = R.search(queries, document_index(spark, root), embedder=hashed_embedder(DIM))
-    return hits.select("query_id", "rank", "chunk_id", "source", "score", "score_kind")
+    return hits.select(
+        "query_id", "rank", "chunk_id", "content", "source", "score", "score_kind", "metadata.lang", "metadata.n_chars"
+    )
 
 
 def _two_stage(spark, root):
@@ -242,13 +257,13 @@ def _turns(spark: SparkSession, root: str) -> DataFrame:
 
 
 def grounding_check(spark, root):
-    """Assistant turns against up to three turns before them."""
+    """Assistant turns against the documents that a search finds for the turn
+    before them."""
     turns = spread(_turns(spark, root))
     said = turns.where(F.col("role") == "assistant")
-    back = said.select("query_id", "conv_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("d"), "turn")
-    sources = back.select("query_id", "conv_id", (F.col("turn") - F.col("d")).alias("turn")).join(
-        turns.select("conv_id", "turn", F.col("text").alias("content")), ["conv_id", "turn"]
-    )
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("query"))
+    asked = said.select("query_id", "conv_id", "turn").join(before, ["conv_id", "turn"]).select("query_id", "query")
+    sources = R.search(asked, document_index(spark, root), embedder=hashed_embedder(DIM))
     answers = said.select("query_id", F.col("text").alias("answer"))
     return A.grounding_check(answers, sources, embedder=hashed_embedder(DIM)).select(
         "query_id", "is_hallucination", "score", "method"
@@ -606,6 +621,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         vector_index_topk,
         vector_index_cosine,
         hybrid_topk,
+        hybrid_without_bm25,
         raw_search,
         two_stage_search,
         rerank_topk,
