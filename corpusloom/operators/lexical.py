@@ -44,15 +44,22 @@ def term_table(corpus: DataFrame, id_col: str, tokens: Column) -> DataFrame:
 
 
 def bm25_stats(
-    corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text", epsilon: float = EPSILON
+    corpus: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    epsilon: float = EPSILON,
+    tokens: Column | None = None,
 ) -> DataFrame:
-    """``(term, df, cf, idf, avgdl)`` of a corpus.
+    """``(term, df, cf, idf, avgdl)`` of a corpus, from its text or from stored
+    ``tokens``.
 
     Terms in more than half the documents have a negative idf; they get
     ``epsilon`` times the mean idf instead. The corpus-wide numbers come from
     scalar subqueries that reuse the exchange of the term table.
     """
-    terms = term_table(corpus, id_col, X.whitespace_tokens(F.col(text_col)))
+    if tokens is None:
+        tokens = X.whitespace_tokens(F.col(text_col))
+    terms = term_table(corpus, id_col, tokens)
     n_docs = corpus.agg(F.count("*").cast("double")).scalar()
     raw = terms.withColumn(
         "raw", F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
@@ -131,9 +138,11 @@ def tfidf_vocabulary(
     max_df: float = MAX_DF,
     ngram_range: tuple[int, int] = NGRAM_RANGE,
     stop_words: Sequence[str] | None = tuple(X.ENGLISH_STOP_WORDS),
+    tokens: Column | None = None,
 ) -> DataFrame:
-    """``(term, df, cf, idf)``: the most frequent terms within the df bounds."""
-    grams = X.word_ngrams(F.col(text_col), ngram_range, stop_words)
+    """``(term, df, cf, idf)``: the most frequent terms within the df bounds, of
+    the text or of stored ``tokens``."""
+    grams = X.word_ngrams(F.col(text_col), ngram_range, stop_words) if tokens is None else tokens
     n_docs = corpus.agg(F.count("*").cast("double")).scalar()
     vocab = term_table(corpus, id_col, grams).where(
         (F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n_docs)

@@ -164,11 +164,13 @@ def hybrid_topk(
     topics: Callable[[DataFrame, str], DataFrame] | None = None,
     normalise: bool = True,
     missing: Sequence[str] = (),
+    stored: bool = False,
 ) -> DataFrame:
     """Weighted sum of per-method scores over every document.
 
     ``missing`` names methods that cannot be used: the weights of the others are
-    scaled to their sum.
+    scaled to their sum. With ``stored`` the corpus is a table of features
+    (``vec, grams, tokens, lda``) whose statistics are given, and no text is read.
 
     Each method's scores are divided by their maximum for that query when it
     is positive. Columns: query_id, rank, id, score and the raw score of each
@@ -196,7 +198,8 @@ def hybrid_topk(
             carried = ["lda"]
         return df.select(key, *carried, *[made[m]() for m in used if m in made])
 
-    docs = features(corpus, id_col, text_col)
+    columns = {"vector": "vec", "tfidf": "grams", "lda": "lda", "bm25": "tokens"}
+    docs = corpus.select(id_col, *[columns[m] for m in used]) if stored else features(corpus, id_col, text_col)
     qs = features(queries, "query_id", "query")
     vocab = None
     if "tfidf" in used:

@@ -239,6 +239,19 @@ def reranked(candidates: str, fetch: int = 20, k: int = 5) -> str:
     )
 
 
+
+
+def _two_stage_of(candidates: str) -> str:
+    """The best of four times as many candidates by coverage, then by their rank."""
+    return (
+        f"WITH cand AS ({candidates.replace(f'rank <= {K}', 'rank <= 20')}),\n"
+        f"c AS (SELECT query_id, doc_id, cand.rank AS first, round({coverage('b.text', 'd.text')}, 6) AS score "
+        "FROM cand JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = query_id)\n"
+        "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first)::INT AS rank, "
+        "doc_id, score FROM c QUALIFY rank <= 5"
+    )
+
+
 TWO_STAGE = [*NEAREST, "hit AS (" + reranked("near") + ")"]
 
 _PROMPT_HEAD = (
@@ -495,6 +508,8 @@ ORACLE: dict[str, str] = {
         ("vector_cosine_topk", "vector_index_cosine"), vector_topk(COSINE.format(a="q.v", b="e.v"), "DESC")
     ),
     "hybrid_topk": HYBRID,
+    "hybrid_stored_topk": HYBRID,
+    "hybrid_two_stage": _two_stage_of(HYBRID),
     "hybrid_without_bm25": HYBRID.replace("0.5 * a.v", "0.5 / 0.7 * a.v")
     .replace("0.2 * a.t", "0.2 / 0.7 * a.t")
     .replace("0.3 * a.b", "0.0 * a.b")

@@ -21,6 +21,7 @@ from corpusloom.operators.embedding import embed, hashed_embedder
 from corpusloom.plans.source_samples import KEY, SAMPLES, UNSUPPORTED
 from corpusloom.sources import files as S
 from corpusloom.sources.index_store import live_rows
+from corpusloom.sources.feature_table import FeatureTable
 from corpusloom.sources.tables import spread, table, work_dir
 from corpusloom.sources.term_index import TermIndex
 from corpusloom.sources.vector_index import VectorIndex
@@ -181,6 +182,26 @@ def hybrid_topk(spark, root):
     )
 
 
+def _feature_table(spark, root) -> FeatureTable:
+    features = FeatureTable(spark, work_dir(spark), DIM)
+    features.build(documents(spark, root))
+    return features
+
+
+def hybrid_stored_topk(spark, root):
+    """The hits of hybrid_topk from stored features; the text is not read again."""
+    hits = _feature_table(spark, root).search(benchmark_queries(spark, root), HYBRID_WEIGHTS, K)
+    scores = [round6(F.col(m)).alias(f"{m}_score") for m in HYBRID_WEIGHTS]
+    return hits.select("query_id", "rank", F.col("id").alias("doc_id"), "score", *scores)
+
+
+def hybrid_two_stage(spark, root):
+    """Hybrid candidates from stored features, reranked by term coverage."""
+    texts = documents(spark, root).select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    hits = _feature_table(spark, root).reranked(benchmark_queries(spark, root), HYBRID_WEIGHTS, texts)
+    return hits.select("query_id", "rank", F.col("id").alias("doc_id"), "score")
+
+
 def hybrid_without_bm25(spark, root):
     """The same weights where BM25 is not available."""
     hits = R.hybrid_topk(
@@ -240,7 +261,9 @@ def rerank_topk(spark, root):
     docs = documents(spark, root)
     hits = R.bm25_topk(queries, docs, 4 * R.DEFAULT_K).drop("score")
     texts = docs.select("doc_id", F.col("text").alias("content"))
-    candidates = hits.join(texts, "doc_id").join(queries, "query_id")
+    asked = hits.join(queries, "query_id")
+    most = queries.count() * 4 * R.DEFAULT_K
+    candidates = R.with_content(asked, texts, "doc_id", ("content",), max_hits=most)
     return R.rerank(candidates, R.DEFAULT_K, 4 * R.DEFAULT_K, id_col="doc_id").select(
         "query_id", "rank", "doc_id", "score"
     )
@@ -622,6 +645,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         vector_index_cosine,
         hybrid_topk,
         hybrid_without_bm25,
+        hybrid_stored_topk,
+        hybrid_two_stage,
         raw_search,
         two_stage_search,
         rerank_topk,

@@ -1,6 +1,8 @@
 """Streams of file events: session bounds in state, events in their table.
 
-The stateful part keeps one small row per open session of a root: its bounds.
+`debounced_all` loses no event, however late: what has not been handed on yet is a
+table that each micro-batch debounces together with what arrived. `debounced` keeps
+less, and drops what lies behind its watermark. Its stateful part keeps one small row per open session of a root: its bounds.
 The events themselves stay in the event table that feeds the stream; once a
 session closes, the micro-batch reads just that stretch of the table.
 """
@@ -13,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from corpusloom.operators.debounce import debounce
 from corpusloom.operators.maintenance import event_type
 
 EVENT_SCHEMA = "root string, path string, op int, ts timestamp, seq bigint"
@@ -127,3 +130,77 @@ def debounced(
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+_PENDING = "root string, path string, event_type string, ts timestamp, seq bigint"
+_HANDED = "root string, session_start timestamp, path string, event_type string, ts timestamp"
+
+
+def debounced_all(
+    stream: DataFrame,
+    sink: Callable[[DataFrame, int], None],
+    path: str,
+    checkpoint: str,
+    gap_seconds: float = 1.0,
+    delay_seconds: float = 10.0,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Hand the last event per path of every closed session to ``sink``, with
+    nothing dropped: ``root, session_start, path, event_type, ts``.
+
+    A session is closed when ``delay_seconds`` have passed, by the newest event seen,
+    since it fell quiet. An event that comes later still is handed on with its own
+    micro-batch, unless a newer event of its path has been handed on before: the
+    last event per path is the same as that of all events debounced at once.
+
+    ``path`` is a shared folder for what is pending, handed on, and the newest time.
+    A batch writes under its own number and overwrites what a failed attempt left.
+    """
+    gap, delay = int(gap_seconds * 1_000_000), int(delay_seconds * 1_000_000)
+    spark = stream.sparkSession
+
+    def stored(name: str, schema: str, only: Callable[[int], bool]) -> DataFrame:
+        """The batches of a table that are wanted; few numbers come to the driver."""
+        try:
+            table = spark.read.schema(f"{schema}, batch bigint").parquet(f"{path}/{name}")
+        except Exception as e:  # noqa: BLE001 - the class depends on the kind of session
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return spark.createDataFrame([], schema)
+        return table.where(only(F.col("batch"))).drop("batch")
+
+    def put(df: DataFrame, name: str, batch: int) -> DataFrame:
+        own = f"{path}/{name}/batch={batch}"
+        df.write.mode("overwrite").parquet(own)
+        return spark.read.schema(df.schema).parquet(own)
+
+    def on_batch(arrived: DataFrame, batch: int) -> None:
+        columns = [c.split()[0] for c in _PENDING.split(", ")]
+        before = stored("pending", _PENDING, lambda b: b == batch - 1)
+        pool = put(before.unionByName(arrived.select(*columns)), "pool", batch)
+        newest = stored("newest", "ts timestamp", lambda b: b < batch).unionByName(pool.select("ts"))
+        high = put(newest.agg(F.max("ts").alias("ts")), "newest", batch).first()["ts"]
+        if high is None:
+            return
+        last = put(debounce(pool, gap_seconds), "last", batch)
+        limit = F.unix_micros(F.lit(high)) - delay
+        ends = last.groupBy("root", "session_start").agg(F.max("ts").alias("end"))
+        open_ = F.unix_micros("end") + gap > limit
+        # Sessions do not overlap: all from a root's first open one are open.
+        since = ends.where(open_).groupBy("root").agg(F.min("session_start").alias("since"))
+        put(pool.join(since, "root").where("ts >= since").drop("since"), "pending", batch)
+        closed = last.join(ends.where(~open_).select("root", "session_start"), ["root", "session_start"], "left_semi")
+        newer = (
+            stored("handed", _HANDED, lambda b: b < batch)
+            .groupBy("root", "path")
+            .agg(F.max("ts").alias("handed"))
+        )
+        fresh = closed.join(newer, ["root", "path"], "left").where("handed is null or ts >= handed").drop("handed")
+        sink(put(fresh, "handed", batch), batch)
+
+    return (
+        stream.writeStream.foreachBatch(on_batch)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )

@@ -135,3 +135,38 @@ def test_vector_index_without_vectors(spark):
     assert index.search(spark.createDataFrame([(1, [1.0])], "query_id long, embedding array<double>")).collect() == []
     with pytest.raises(ValueError):
         VectorIndex(spark, "x", "dot")
+
+
+def test_features_replace_the_text(spark):
+    from corpusloom.sources.feature_table import FeatureTable
+
+    docs = spark.createDataFrame(list(enumerate(texts(200, 5))), "doc_id long, text string")
+    asked = spark.createDataFrame([(0, "c1 c2 r5 r6"), (1, "r7"), (2, "")], "query_id long, query string")
+    weights = {"vector": 0.5, "tfidf": 0.2, "bm25": 0.3}
+    table = FeatureTable(spark, work_dir(spark), 32)
+    table.build(docs)
+    found = table.search(asked, weights, 6)
+    assert hits(found) == hits(R.hybrid_topk(asked, docs, weights, 6, dim=32), "doc_id")
+    assert "text" not in table.features().columns
+    less = table.search(asked, weights, 6, missing=("bm25",))
+    scaled = {"vector": 0.5 / 0.7, "tfidf": 0.2 / 0.7}
+    assert hits(less) == hits(R.hybrid_topk(asked, docs, scaled, 6, dim=32), "doc_id")
+    content = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    best = table.reranked(asked, weights, content, 3)
+    assert best.groupBy("query_id").count().where("count <> 3").count() == 0
+    order = [tuple(r) for r in best.orderBy("query_id", "rank").select("query_id", "score", "first_rank").collect()]
+    assert order == sorted(order, key=lambda r: (r[0], -r[1], r[2]))
+
+
+def test_search_returns_metadata(spark):
+    index = spark.createDataFrame(
+        [(1, "cats", "a.txt", [1.0, 0.0], "en", 7), (2, "dogs", "b.txt", [0.0, 1.0], "fr", 9)],
+        "chunk_id long, content string, source string, embedding array<double>, language string, start_line int",
+    )
+    asked = spark.createDataFrame([(0, "cats")], "query_id long, query string")
+    fixed = lambda text: F.array(F.lit(1.0), F.lit(0.0))
+    for rerank in (False, True):
+        got = R.search(asked, index, top_k=2, rerank_enabled=rerank, embedder=fixed).orderBy("rank").collect()
+        assert [(r.content, r.metadata.language, r.metadata.start_line) for r in got] == [("cats", "en", 7), ("dogs", "fr", 9)]
+    plain = index.select("chunk_id", "content", "source", "embedding")
+    assert R.search(asked, plain, embedder=fixed).count() == 2

@@ -298,3 +298,46 @@ def test_ticks_come_at_a_period(spark, tmp_path):
     finally:
         query.stop()
     assert ticks[:2] == [0, 1]
+
+
+def test_no_event_is_lost_however_late(spark, tmp_path):
+    """Micro-batches of one file each; events arrive up to 90 seconds late."""
+    from datetime import datetime, timedelta
+
+    from corpusloom.operators.debounce import debounce
+
+    zero = datetime(2024, 1, 1)
+    files = [
+        [("r", "a", 1, 0.0), ("r", "b", 1, 0.5), ("q", "x", 1, 3.0)],
+        [("r", "c", 1, 40.0), ("r", "a", 2, 40.5)],
+        # Late: a path of its own, one inside a closed session, an older one of a.
+        [("r", "d", 1, 0.7), ("r", "b", 4, 0.9), ("r", "a", 4, 10.0), ("q", "y", 2, 5.0)],
+        [("r", "e", 1, 100.0), ("q", "z", 1, 100.0)],
+        # Older than what has been handed on of its path, which stands.
+        [("r", "a", 4, 11.0), ("q", "x", 4, 12.0), ("r", "end", 1, 200.0), ("q", "end", 1, 200.0)],
+    ]
+    source, rows = f"{tmp_path}/in", []
+    for n, part in enumerate(files):
+        data = [(root, p, op, zero + timedelta(seconds=s), 100 * n + i) for i, (root, p, op, s) in enumerate(part)]
+        rows += data
+        spark.createDataFrame(data, SE.EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(source)
+    raw = spark.readStream.schema(SE.EVENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+    got = []
+
+    def sink(events, batch):
+        got.extend((r.root, r.path, r.event_type, (r.ts - zero).total_seconds(), batch) for r in events.collect())
+
+    query = SE.debounced_all(SE.known_events(raw), sink, f"{tmp_path}/state", f"{tmp_path}/cp")
+    query.awaitTermination(180)
+    assert query.exception() is None
+    everything = SE.known_events(spark.createDataFrame(rows, SE.EVENT_SCHEMA))
+    want = {}
+    for r in debounce(everything).orderBy("ts").collect():
+        if r.path != "end":  # still pending, for nothing newer has come
+            want[r.root, r.path] = (r.event_type, (r.ts - zero).total_seconds())
+    last = {}
+    for root, p, kind, s, _ in got:
+        last[root, p] = (kind, s)
+    assert last == want
+    assert ("r", "a", "REMOVE", 11.0) not in [g[:4] for g in got]
+    assert {g[1] for g in got} == {"a", "b", "c", "d", "e", "x", "y", "z"}
