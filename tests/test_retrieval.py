@@ -155,7 +155,7 @@ def test_search_shapes_and_k(spark, index):
     q = spark.createDataFrame([(1, "cats nap", 1), (2, "space fuel", 0), (3, "sun", None)], "query_id int, query string, top_k int")
     emb = E.hashed_embedder(64)
     plain = R.search(q, index, embedder=emb, store_top_k=2)
-    assert plain.columns == ["query_id", "rank", "chunk_id", "content", "source", "score", "score_kind"]
+    assert plain.columns == ["query_id", "rank", "chunk_id", "content", "source", "score", "score_kind", "metadata"]
     assert Counter(r.query_id for r in plain.collect()) == {1: 1, 2: 2, 3: 2}
     again = R.search(q, index, rerank_enabled=True, embedder=emb, store_top_k=2, rerank_top_k=3).collect()
     assert Counter(r.query_id for r in again) == {1: 1, 2: 3, 3: 3}
