@@ -617,6 +617,8 @@ ORACLE: dict[str, str] = {
     f"FROM documents WHERE length(text) <= 1500 AND regexp_matches(text, '{WHITESPACE.replace('[', '[^', 1)}')",
     "code_definitions": CODE_DEFINITIONS,
     "code_outline": _samples(),
+    "corpus_fingerprint": "SELECT count(*) AS rows, coalesce(sum(('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') "
+    "|| ':' || coalesce('t' || text, 'n')), 1, 15))::BIGINT), 0)::VARCHAR AS digest FROM documents",
     "lda_vocab": _ctes(
         f"t AS (SELECT DISTINCT doc_id, unnest({TOPIC_TOKENS}) AS term FROM documents)"
     )
