@@ -385,12 +385,18 @@ def _snapshots(spark, root):
         F.col("user_id").alias("root"), F.col("kind").alias("path"), "event_type", "ts", "seq"
     )
 
-    def listing(events):
-        last = M.latest_events(events, ("root", "path"))
-        there = ~F.col("event_type").isin(*M.REMOVING)
-        return last.where(there).select("root", "path", F.col("ts").alias("mtime"))
+    # One pass over the events: both listings are columns of one aggregate.
+    early = F.col("ts") < F.lit(LISTED_AT).cast("timestamp_ntz")
+    order, last = F.struct("ts", "seq"), F.struct("event_type", "ts")
+    both = seen.groupBy("root", "path").agg(
+        F.max_by(F.when(early, last), F.when(early, order)).alias("before"), F.max_by(last, order).alias("now")
+    )
+
+    def listing(at):
+        there = ~F.col(f"{at}.event_type").isin(*M.REMOVING)
+        return both.where(there).select("root", "path", F.col(f"{at}.ts").alias("mtime"))
 
-    return listing(seen.where(F.col("ts") < F.lit(LISTED_AT).cast("timestamp_ntz"))), listing(seen)
+    return listing("before"), listing("now")
 
 
 def polling_state(spark, root):
