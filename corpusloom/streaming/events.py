@@ -116,11 +116,16 @@ def debounced(
     """
 
     def on_batch(sessions: DataFrame, batch_id: int) -> None:
-        stretch = sessions.agg(F.min("start").alias("lo"), F.max("end").alias("hi")).first()
-        if stretch["lo"] is None:
-            return
-        near = event_table().where(F.col("ts").between(stretch["lo"], stretch["hi"]))
-        sink(last_events_of_sessions(sessions, near), batch_id)
+        # The state is read once, however often the sink looks at its rows.
+        sessions = sessions.persist()
+        try:
+            stretch = sessions.agg(F.min("start").alias("lo"), F.max("end").alias("hi")).first()
+            if stretch["lo"] is None:
+                return
+            near = event_table().where(F.col("ts").between(stretch["lo"], stretch["hi"]))
+            sink(last_events_of_sessions(sessions, near), batch_id)
+        finally:
+            sessions.unpersist()
 
     return (
         closed_sessions(stream, gap, delay)
