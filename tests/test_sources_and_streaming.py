@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import maintenance as M
 from corpusloom.operators.debounce import debounce
 from corpusloom.sources import files as S
-from corpusloom.sources import tree
+from corpusloom.sources import tree, tree_source
 from corpusloom.sources import watch_manifest as W
 from corpusloom.sources.index_store import IndexStore
 from corpusloom.streaming import apply as SA
@@ -78,6 +78,57 @@ def test_unreadable_file_is_quarantined(spark, project):
     assert [r.error is not None for r in none.collect()] == [True]
 
 
+@pytest.mark.parametrize("splits", [1, 2, 64])
+def test_source_tree_format(spark, project, splits):
+    tree_source.register(spark)
+    reader = spark.read.format("source_tree").option("splits", splits)
+    found = reader.option("languages", ",".join(sorted(set(tree.LANGUAGE_OF_EXTENSION.values()))))
+    want = {tuple(r) for r in tree.read_source_tree(spark, str(project)).collect()}
+    assert {tuple(r) for r in found.load(str(project)).collect()} == want
+    everything = spark.read.format("source_tree").options(splits=splits, prune="false", content="false")
+    rows = everything.load(str(project)).collect()
+    assert len(rows) == 11 and all(r.content is None and r.length is not None for r in rows)
+    single = reader.load(str(project / "node_modules" / "m.js"))
+    assert [r.content for r in single.collect()] == ["skip()"]
+    none = reader.load(str(project / "absent")).collect()
+    assert [r.error is not None for r in none] == [True]
+
+
+def test_source_tree_stream(spark, project, tmp_path_factory):
+    tree_source.register(spark)
+    base = tmp_path_factory.mktemp("stream")
+
+    def tick():
+        query = (
+            spark.readStream.format("source_tree")
+            .load(str(project))
+            .select("path", "content")
+            .writeStream.format("parquet")
+            .option("checkpointLocation", str(base / "state"))
+            .trigger(once=True)
+            .start(str(base / "out"))
+        )
+        assert query.awaitTermination(120)
+
+    def seen():
+        rows = spark.read.schema("path string, content string").parquet(str(base / "out")).collect()
+        return sorted((os.path.relpath(r.path, project), r.content) for r in rows)
+
+    tick()  # the baseline
+    assert seen() == []
+    (project / "pkg" / "a.py").write_text("def g(): pass")
+    moved = project / "docs" / "_old.py"
+    os.utime(project / "pkg" / "_x.go", (1, 1))
+    os.rename(project / "pkg" / "_x.go", moved)
+    tick()
+    want = [("docs/_old.py", "package x"), ("pkg/a.py", "def g(): pass")]
+    assert seen() == want
+    os.remove(moved)
+    (project / "pkg" / "new.py").write_text("n = 1")
+    tick()
+    assert seen() == [*want, ("pkg/new.py", "n = 1")]
+
+
 def test_text_tree_keeps_hidden_names(spark, project):
     (project / ".notes").write_text("hidden text")
     (project / "_draft.txt").write_text("draft")
