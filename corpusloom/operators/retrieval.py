@@ -16,11 +16,13 @@ from corpusloom.functions import vectors as V
 from corpusloom.functions.exprs import let
 from corpusloom.operators import lexical as L
 from corpusloom.operators.scoring import (
+    QUERY_BLOCK,
     DenseMethod,
     SparseMethod,
     collect_blocks,
     list_matrix,
     method_maxima,
+    nearest,
     sparse_queries,
     top_k,
     union_all,
@@ -54,17 +56,15 @@ def vector_topk(
     qs = queries.select(F.col(query_col).alias("query_id"), V.as_doubles(F.col(vector_col)).alias("v"))
     docs = corpus.select(id_col, vector_col)
     sign = F.lit(-1.0 if metric == "l2" else 1.0)
-    out = []
-    for block in collect_blocks(qs.where(F.col("v").isNotNull()), "query_id"):
+    asked = qs.where(F.col("v").isNotNull())
+    block = asked.limit(QUERY_BLOCK + 1).toArrow()
+    if block.num_rows > QUERY_BLOCK:
+        hits = nearest(asked, docs, k, metric, id_col, vector_col)
+    else:
         method = DenseMethod("raw", vector_col, list_matrix(block.column("v")), metric)
-        hits = top_k(
-            docs, id_col, [method], _ids(block), qs.schema["query_id"], k
-        )
-        # Adding zero turns a negative zero into a plain one.
-        out.append(
-            hits.select("query_id", "rank", id_col, (sign * F.col("score") + 0.0).alias("score"))
-        )
-    return union_all(out)
+        hits = top_k(docs, id_col, [method], _ids(block), qs.schema["query_id"], k)
+    # Adding zero turns a negative zero into a plain one.
+    return hits.select("query_id", "rank", id_col, (sign * F.col("score") + 0.0).alias("score"))
 
 
 def _ids(block: pa.Table) -> pa.Array:
@@ -334,30 +334,36 @@ def search(
     # An index without further columns has empty metadata.
     metadata = F.struct(*others) if others else F.struct(F.lit(None).cast("string").alias("none"))
     described = index.select(id_col, "content", "source", metadata.alias("metadata"))
-    out = []
-    for block in collect_blocks(qs, "query_id"):
+    block = qs.limit(QUERY_BLOCK + 1).toArrow()
+    if block.num_rows > QUERY_BLOCK:
+        asked = qs.drop("v")
+        n_queries, longest = qs.agg(F.count("*"), F.max("final_k")).first()
+        most = longest * times
+        hits = nearest(qs, vectors, most, metric, id_col, "embedding")
+    else:
+        asked = F.broadcast(
+            queries.sparkSession.createDataFrame(block.select(["query_id", "query", "final_k"]))
+        )
+        n_queries = block.num_rows
         most = (pc.max(block.column("final_k")).as_py() or default_k) * times
         method = DenseMethod("raw", "embedding", list_matrix(block.column("v")), metric)
         hits = _top(vectors, id_col, method, block, qs, most)
-        asked = queries.sparkSession.createDataFrame(
-            block.select(["query_id", "query", "final_k"])
-        )
-        hits = hits.join(F.broadcast(asked), "query_id").where(
-            F.col("rank") <= F.col("final_k") * times
-        )
-        found = with_content(
-            hits, described, id_col, ("content", "source", "metadata"), max_hits=block.num_rows * most
-        )
-        if rerank_enabled:
-            found = rerank(found, F.col("final_k"), F.col("final_k") * times, scorer, id_col)
-        out.append(found)
+    sign = F.lit(-1.0 if metric == "l2" else 1.0)
+    hits = (
+        hits.select("query_id", "rank", id_col, (sign * F.col("score") + 0.0).alias("score"))
+        .join(asked, "query_id")
+        .where(F.col("rank") <= F.col("final_k") * times)
+    )
+    found = with_content(
+        hits, described, id_col, ("content", "source", "metadata"), max_hits=n_queries * most
+    )
+    if rerank_enabled:
+        found = rerank(found, F.col("final_k"), F.col("final_k") * times, scorer, id_col)
     kind = "relevance" if rerank_enabled else ("distance" if metric == "l2" else "similarity")
-    return union_all(out).select(
+    return found.select(
         "query_id", "rank", id_col, "content", "source", "score", F.lit(kind).alias("score_kind"), "metadata"
     )
 
 
 def _top(vectors, id_col, method, block, qs, k) -> DataFrame:
-    hits = top_k(vectors, id_col, [method], _ids(block), qs.schema["query_id"], k)
-    sign = F.lit(-1.0 if method.metric == "l2" else 1.0)
-    return hits.select("query_id", "rank", id_col, (sign * F.col("score") + 0.0).alias("score"))
+    return top_k(vectors, id_col, [method], _ids(block), qs.schema["query_id"], k)

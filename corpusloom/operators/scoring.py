@@ -3,7 +3,8 @@
 Each task streams its share of the corpus past a bounded block of queries and
 keeps the best ``k`` hits per query, so nothing but ``k`` rows per query and
 task is ever shuffled, however common a query's words are. A larger query set
-is worked off block by block.
+is worked off block by block. Vectors for more queries than a block are stored
+once and meet the queries in groups of bounded size (``nearest``).
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.sources.tables import plan_bytes
+from corpusloom.functions import vectors as V
+from corpusloom.sources.tables import plan_bytes, work_dir
 
 # Queries shipped to the tasks at once.
 QUERY_BLOCK = 1_000
@@ -28,6 +30,11 @@ CELLS_PER_STEP = 2_000_000
 # Past this many tasks (at the usual split size) top hits merge in two levels.
 MERGE_TASKS = 1_000
 SPLIT_BYTES = 128 * 1024 * 1024
+# Queries and vectors that meet in one group, and in one step within it.
+GROUP = 20_000
+GROUP_QUERIES, GROUP_VECTORS = 256, 2_048
+# Scores are rounded to six decimals before they are ranked.
+SLACK = 1e-5
 
 
 def collect_blocks(queries: DataFrame, id_col: str, block: int = QUERY_BLOCK) -> Iterator[pa.Table]:
@@ -54,6 +61,17 @@ def list_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return values.astype(np.float64).reshape(len(column), width)
 
 
+def dense_scores(docs: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of all pairs, one row per row of ``docs``."""
+    dots = docs @ queries.T
+    d2 = (docs * docs).sum(axis=1)[:, None]
+    q2 = (queries * queries).sum(axis=1)[None, :]
+    if metric == "l2":
+        return -np.maximum(d2 + q2 - 2 * dots, 0.0)
+    size = np.sqrt(d2) * np.sqrt(q2)
+    return np.divide(dots, size, out=np.zeros_like(dots), where=size > 0)
+
+
 @dataclass(frozen=True)
 class DenseMethod:
     """Cosine similarity, or negated squared L2 distance, of vectors."""
@@ -67,13 +85,7 @@ class DenseMethod:
         docs = list_matrix(batch.column(batch.schema.get_field_index(self.column)))
         if not len(self.queries):
             return np.zeros((len(docs), 0))
-        dots = docs @ self.queries.T
-        d2 = (docs * docs).sum(axis=1)[:, None]
-        q2 = (self.queries * self.queries).sum(axis=1)[None, :]
-        if self.metric == "l2":
-            return -np.maximum(d2 + q2 - 2 * dots, 0.0)
-        size = np.sqrt(d2) * np.sqrt(q2)
-        return np.divide(dots, size, out=np.zeros_like(dots), where=size > 0)
+        return dense_scores(docs, self.queries, self.metric)
 
 
 def term_pairs(
@@ -270,5 +282,98 @@ def _best(hits: DataFrame, k: int, id_col: str, *keys: str) -> DataFrame:
     return hits.withColumn("rank", place).where(F.col("rank") <= k)
 
 
+def nearest(
+    queries: DataFrame, corpus: DataFrame, k: int, metric: str, id_col: str, vector_col: str
+) -> DataFrame:
+    """``(query_id, rank, id, score)`` for any number of queries ``(query_id, v)``.
+
+    The ranking is that of ``top_k`` with a dense method. Vectors of both sides are
+    made once and stored, and neither side passes through the driver.
+    """
+    spark = corpus.sparkSession
+    path = work_dir(spark)
+    queries.select("query_id", "v").write.parquet(f"{path}/queries")
+    corpus.select(F.col(id_col).cast("bigint").alias(id_col), V.as_doubles(F.col(vector_col)).alias("v")).write.parquet(
+        f"{path}/vectors"
+    )
+    asked = spark.read.parquet(f"{path}/queries").where("v is not null")
+    stored = spark.read.parquet(f"{path}/vectors").where("v is not null")
+    parts = max(1, -(-asked.count() // GROUP))
+    splits = max(1, -(-stored.count() // GROUP), -(-spark.sparkContext.defaultParallelism // parts))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    keys = ("part", "split")
+    ours = asked.select("*", deal("query_id", parts).alias("part"), each(splits).alias("split"))
+    theirs = stored.select("*", deal(id_col, splits).alias("split"), each(parts).alias("part"))
+
+    def met(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            at, score = (np.zeros(0, np.int64),) * 2, np.zeros(0)
+        else:
+            ids = right.column(id_col).to_numpy()
+            *at, score = best_pairs(
+                list_matrix(left.column("v")), ids, list_matrix(right.column("v")), metric, k
+            )
+        return pa.table(
+            {
+                "query_id": left.column("query_id").take(pa.array(at[0])),
+                id_col: right.column(id_col).take(pa.array(at[1])),
+                "score": score,
+            }
+        )
+
+    kind = asked.schema["query_id"].dataType.simpleString()
+    hits = (
+        ours.groupBy(*keys)
+        .cogroup(theirs.groupBy(*keys))
+        .applyInArrow(met, f"query_id {kind}, {id_col} bigint, score double")
+    )
+    return _best(hits, k, id_col, "query_id").select("query_id", "rank", id_col, "score")
+
+
+def best_pairs(
+    queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, metric: str, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of both sides and the score of the ``k`` best vectors of each query.
+
+    Both sides are taken in order of length. Two vectors are at least as far apart
+    as their lengths, so steps that lie beyond a query's k-th distance are left out.
+    """
+    length = lambda rows: np.sqrt((rows * rows).sum(axis=1))
+    q_size, v_size = length(queries), length(vectors)
+    by_q, by_v = np.argsort(q_size, kind="stable"), np.argsort(v_size, kind="stable")
+    starts = np.arange(0, len(vectors), GROUP_VECTORS)
+    low, high = v_size[by_v[starts]], v_size[by_v[np.minimum(starts + GROUP_VECTORS, len(vectors)) - 1]]
+    out = []
+    for at in range(0, len(queries), GROUP_QUERIES):
+        rows = by_q[at : at + GROUP_QUERIES]
+        size = q_size[rows][:, None]
+        gap = np.maximum(np.maximum(low - size, size - high), 0.0) ** 2
+        if metric != "l2":
+            gap[:] = -np.inf
+        bar = np.full(len(rows), -np.inf)
+        kept = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        for step in np.argsort(gap.min(axis=0), kind="stable"):
+            live = np.flatnonzero(-gap[:, step] >= bar - SLACK)
+            if not len(live):
+                continue
+            there = by_v[starts[step] : starts[step] + GROUP_VECTORS]
+            found = dense_scores(queries[rows[live]], vectors[there], metric)
+            least = bar[live]
+            if len(there) > k and np.isneginf(least).any():
+                least = np.maximum(least, np.partition(found, -k, axis=1)[:, -k])
+            q, v = np.nonzero(found >= (least - SLACK)[:, None])
+            fresh = [live[q], there[v], round_half_up(found[q, v])]
+            pool = [np.concatenate(x) for x in zip(kept, fresh)]
+            order = np.lexsort((ids[pool[1]], -pool[2], pool[0]))
+            pool = [x[order] for x in pool]
+            place = np.arange(len(order)) - np.searchsorted(pool[0], pool[0])
+            kept = [x[place < k] for x in pool]
+            last = place[place < k] == k - 1
+            bar[kept[0][last]] = kept[2][last]
+        out.append([rows[kept[0]], *kept[1:]])
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)

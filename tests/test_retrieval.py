@@ -279,3 +279,38 @@ def test_empty_query_batch_has_no_hits(spark):
     none = spark.createDataFrame([], "query_id bigint, embedding array<double>")
     for metric in ("l2", "cosine"):
         assert R.vector_topk(none, index, 3, metric).collect() == []
+
+
+def test_more_queries_than_a_block_meet_stored_vectors_once(spark, monkeypatch):
+    """One plan, whatever the number of queries; lengths, ties and nulls included."""
+    rng = np.random.default_rng(3)
+    rows = rng.integers(0, 4, (300, 5)) * rng.integers(0, 9, (300, 1))
+    index = spark.createDataFrame(
+        [(i, [float(x) for x in r] if i % 50 else None) for i, r in enumerate(rows)],
+        "chunk_id bigint, embedding array<double>",
+    )
+    queries = index.select(F.col("chunk_id").alias("query_id"), "embedding").where("query_id < 70")
+    for metric in ("l2", "cosine"):
+        want = R.vector_topk(queries, index, 4, metric).collect()
+        monkeypatch.setattr(R, "QUERY_BLOCK", 20)
+        monkeypatch.setattr(scoring, "GROUP", 60)
+        got = R.vector_topk(queries, index, 4, metric)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        monkeypatch.undo()
+        assert sorted(got.collect()) == sorted(want) and len(want) == 68 * 4
+        assert "Union" not in plan
+
+
+def test_best_pairs_skip_only_what_cannot_be_among_the_best(monkeypatch):
+    monkeypatch.setattr(scoring, "GROUP_VECTORS", 7)
+    monkeypatch.setattr(scoring, "GROUP_QUERIES", 5)
+    rng = np.random.default_rng(5)
+    vectors = rng.integers(0, 5, (200, 3)) * rng.integers(0, 30, (200, 1)).astype(float)
+    ids = rng.permutation(200)
+    for metric in ("l2", "cosine"):
+        q, v, score = scoring.best_pairs(vectors[:23], ids, vectors, metric, 6)
+        full = scoring.round_half_up(scoring.dense_scores(vectors[:23], vectors, metric))
+        for at in range(23):
+            want = np.lexsort((ids, -full[at]))[:6]
+            assert sorted(v[q == at]) == sorted(want)
+            assert sorted(score[q == at]) == sorted(full[at][want])
