@@ -30,6 +30,8 @@ CELLS_PER_STEP = 2_000_000
 # Past this many tasks (at the usual split size) top hits merge in two levels.
 MERGE_TASKS = 1_000
 SPLIT_BYTES = 128 * 1024 * 1024
+# Bounds the arrays of one step over token lists, however long the texts are.
+TOKENS_PER_STEP = 500_000
 # Queries and vectors that meet in one group, and in one step within it.
 GROUP = 20_000
 GROUP_QUERIES, GROUP_VECTORS = 256, 2_048
@@ -103,6 +105,69 @@ def term_pairs(
     return pairs // width, pairs % width, counts.astype(np.float64), lengths
 
 
+def bounded(batch: pa.RecordBatch, columns: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose lists hold about ``TOKENS_PER_STEP`` items, and at
+    least one row."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for c in columns:
+        own = pc.list_value_length(batch.column(batch.schema.get_field_index(c)))
+        size = np.maximum(size, own.fill_null(0).to_numpy(zero_copy_only=False))
+    cuts = np.flatnonzero(np.diff(np.cumsum(size) // TOKENS_PER_STEP)) + 1
+    for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+        if high > low:
+            yield batch.slice(low, high - low)
+
+
+class Grams:
+    """Words and pairs of neighbouring words among the terms of a vocabulary, found
+    in lists of words by number: no pair is ever written out as text."""
+
+    def __init__(self, terms: pa.Array):
+        split = [t.split(" ") for t in terms.to_pylist()]
+        known = sorted({w for t in split for w in t})
+        at = {w: i for i, w in enumerate(known)}
+        self.words = pa.array(known, pa.string())
+        self.single = np.full(len(known) + 1, -1)
+        pairs = []
+        for number, term in enumerate(split):
+            if len(term) == 1:
+                self.single[at[term[0]]] = number
+            elif len(term) == 2:
+                pairs.append((at[term[0]] * len(known) + at[term[1]], number))
+        pairs.sort()
+        self.keys = np.array([k for k, _ in pairs], np.int64)
+        self.numbers = np.array([n for _, n in pairs], np.int64)
+        self.n_terms = len(terms)
+
+    def pairs(self, lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """As ``term_pairs`` for lists of the n-grams."""
+        row, left, right, word = neighbours(lists, self.words)
+        lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        key = left[1] * len(self.words) + right[1]
+        found = np.zeros(len(key), bool)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            found = self.keys[at] == key
+        rows, terms = row, self.single[word]
+        if found.any():
+            rows = np.concatenate([rows, left[0][found]])
+            terms = np.concatenate([terms, self.numbers[at[found]]])
+        rows, terms = rows[terms >= 0], terms[terms >= 0]
+        width = max(self.n_terms, 1)
+        both, counts = np.unique(rows * width + terms, return_counts=True)
+        return both // width, both % width, counts.astype(np.float64), lengths
+
+
+def neighbours(lists: pa.Array, words: pa.Array):
+    """Known words of lists as (row, number), and of neighbours that are both known
+    the (row, number) on the left and on the right: ``row, left, right, number``."""
+    number = pc.index_in(pc.list_flatten(lists), value_set=words).fill_null(-1).to_numpy().astype(np.int64)
+    row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    both = np.flatnonzero((row[1:] == row[:-1]) & (number[1:] >= 0) & (number[:-1] >= 0))
+    known = number >= 0
+    return row[known], (row[both], number[both]), (row[both], number[both + 1]), number[known]
+
+
 @dataclass(frozen=True)
 class SparseMethod:
     """Weighted term overlap: documents carry token lists, queries weights.
@@ -120,11 +185,22 @@ class SparseMethod:
     query_weight: np.ndarray
     n_queries: int
     weigh: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+    # Finds terms in the lists; by default the lists hold the terms themselves.
+    grams: Grams | None = None
+
+    def weighed(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, term, weight) of the terms that a query has, ordered by row."""
+        lists = batch.column(batch.schema.get_field_index(self.column))
+        found = self.grams.pairs(lists) if self.grams else term_pairs(lists, self.terms)
+        weights = self.weigh(*found)
+        asked = self.start[found[1] + 1] > self.start[found[1]]
+        return found[0][asked], found[1][asked], weights[asked]
 
     def scores(self, batch: pa.RecordBatch) -> np.ndarray:
         lists = batch.column(batch.schema.get_field_index(self.column))
-        rows, terms, counts, lengths = term_pairs(lists, self.terms)
-        weights = self.weigh(rows, terms, counts, lengths)
+        return self.spread(len(lists), *self.weighed(batch))
+
+    def spread(self, n_rows: int, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         # Expand every pair to the queries that contain the term, then add up.
         fan = self.start[terms + 1] - self.start[terms]
         pair = np.repeat(np.arange(len(rows)), fan)
@@ -133,19 +209,69 @@ class SparseMethod:
         flat = np.bincount(
             rows[pair] * self.n_queries + self.query_no[at],
             weights=weights[pair] * self.query_weight[at],
-            minlength=len(lists) * self.n_queries,
+            minlength=n_rows * self.n_queries,
         )
         # An empty selection would otherwise come back as integers.
-        return flat.astype(np.float64).reshape(len(lists), self.n_queries)
+        return flat.astype(np.float64).reshape(n_rows, self.n_queries)
+
+
+@dataclass(frozen=True)
+class WeighedMethod:
+    """A sparse method over rows that hold its weights (``narrowed``)."""
+
+    method: SparseMethod
+
+    @property
+    def name(self) -> str:
+        return self.method.name
+
+    @property
+    def column(self) -> str:
+        return f"{self.name}_terms"
+
+    def scores(self, batch: pa.RecordBatch) -> np.ndarray:
+        lists, weights = (
+            batch.column(batch.schema.get_field_index(f"{self.name}_{c}")) for c in ("terms", "weights")
+        )
+        rows = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = [pc.list_flatten(x).to_numpy(zero_copy_only=False) for x in (lists, weights)]
+        return self.method.spread(len(lists), rows, flat[0].astype(np.int64), flat[1])
+
+
+def narrowed(corpus: DataFrame, id_col: str, methods: Sequence) -> tuple[DataFrame, list]:
+    """The corpus as vectors and weights of the queries' terms, stored, and methods
+    over that. Texts are tokenised once, however often their scores are needed."""
+    sparse = [m for m in methods if isinstance(m, SparseMethod)]
+    vectors = [m.column for m in methods if isinstance(m, DenseMethod)]
+    fields = [corpus.schema[id_col], *[corpus.schema[c] for c in vectors]]
+    for m in sparse:
+        fields.append(T.StructField(f"{m.name}_terms", T.ArrayType(T.IntegerType())))
+        fields.append(T.StructField(f"{m.name}_weights", T.ArrayType(T.DoubleType())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _steps(batches, methods, 1):
+            out = {c: batch.column(batch.schema.get_field_index(c)) for c in (id_col, *vectors)}
+            for m in sparse:
+                rows, terms, weights = m.weighed(batch)
+                ends = np.cumsum(np.bincount(rows, minlength=batch.num_rows))
+                offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+                for c, x in (("terms", terms.astype(np.int32)), ("weights", weights.astype(np.float64))):
+                    out[f"{m.name}_{c}"] = pa.ListArray.from_arrays(offsets, pa.array(x))
+            yield pa.RecordBatch.from_pydict(out)
+
+    path = work_dir(corpus.sparkSession)
+    corpus.mapInArrow(run, T.StructType(fields)).write.parquet(path)
+    stored = corpus.sparkSession.read.parquet(path)
+    return stored, [WeighedMethod(m) if isinstance(m, SparseMethod) else m for m in methods]
 
 
 def sparse_queries(
-    lists: pa.Array | pa.ChunkedArray, terms: pa.Array
+    lists: pa.Array | pa.ChunkedArray, terms: pa.Array, grams: Grams | None = None
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query token lists regrouped by term: (start, query_no, count)."""
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.combine_chunks()
-    query, term, count, _ = term_pairs(lists, terms)
+    query, term, count, _ = grams.pairs(lists) if grams else term_pairs(lists, terms)
     order = np.argsort(term, kind="stable")
     start = np.searchsorted(term[order], np.arange(len(terms) + 1))
     return start, query[order], count[order]
@@ -166,13 +292,15 @@ def _steps(
     """
     rows = max(1, CELLS_PER_STEP // max(n_queries, 1))
     vectors = [m.column for m in methods if isinstance(m, DenseMethod)]
+    lists = [m.column for m in methods if not isinstance(m, DenseMethod)]
     for batch in batches:
         for column in vectors:
             at = batch.schema.get_field_index(column)
             if batch.column(at).null_count:
                 batch = batch.filter(pc.is_valid(batch.column(at)))
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        for part in bounded(batch, lists):
+            for at in range(0, part.num_rows, rows):
+                yield part.slice(at, rows)
 
 
 def method_maxima(

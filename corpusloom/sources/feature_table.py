@@ -1,6 +1,6 @@
 """What hybrid search needs of a corpus, computed once and stored.
 
-``features`` holds for each document the vector, the n-grams, the tokens and, where
+``features`` holds for each document the vector, the words (of which n-grams are made), the tokens and, where
 topics are fitted, the topic vector; ``vocabulary`` and ``terms`` the numbers that
 TF-IDF and BM25 take from all documents. A search reads these tables and not the
 text: documents are tokenised and embedded when they are stored, not per search, and
@@ -40,11 +40,11 @@ class FeatureTable:
             F.col(id_col).alias("id"),
             *(["lda"] if topics else []),
             embed(text).alias("vec"),
-            X.word_ngrams(text).alias("grams"),
+            X.word_ngrams(text, (1, 1)).alias("words"),
             X.whitespace_tokens(text).alias("tokens"),
         ).write.parquet(f"{self.path}/features")
         stored = self.features()
-        L.tfidf_vocabulary(stored, "id", tokens=F.col("grams")).write.parquet(f"{self.path}/vocabulary")
+        L.tfidf_vocabulary(stored, "id", words=F.col("words")).write.parquet(f"{self.path}/vocabulary")
         L.bm25_stats(stored, "id", tokens=F.col("tokens")).write.parquet(f"{self.path}/terms")
 
     def features(self) -> DataFrame:

@@ -314,3 +314,37 @@ def test_best_pairs_skip_only_what_cannot_be_among_the_best(monkeypatch):
             want = np.lexsort((ids, -full[at]))[:6]
             assert sorted(v[q == at]) == sorted(want)
             assert sorted(score[q == at]) == sorted(full[at][want])
+
+
+def test_limited_vocabulary_counts_only_pairs_that_can_get_in(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    names = [f"w{i}" for i in range(30)]
+    texts = [[names[i] for i in np.minimum(rng.geometric(0.15, 25) - 1, 29)] for _ in range(40)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    grams = [t + [" ".join(p) for p in zip(t, t[1:])] for t in texts]
+    cf, seen = Counter(g for t in grams for g in t), Counter(g for t in grams for g in set(t))
+    counted = []
+    plainly = L._frequent_pairs
+    monkeypatch.setattr(L, "_frequent_pairs", lambda *a: counted.append(len(a[2])) or plainly(*a))
+    for most in (5, 12, 10_000):
+        able = sorted((g for g in cf if 2 <= seen[g] <= 0.8 * 40), key=lambda g: (-cf[g], g))[:most]
+        got = {r.term: (r.df, r.cf) for r in L.tfidf_vocabulary(df, max_features=most).collect()}
+        assert got == {g: (seen[g], cf[g]) for g in able}
+    # Without a full vocabulary every pair counts.
+    assert len(counted) == 2 and counted[0] < counted[1] < 30
+
+
+def test_pairs_of_words_are_found_by_number_in_bounded_steps(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    lists = [[f"w{i}" for i in rng.integers(0, 6, n)] for n in (0, 1, 9, 30, 2)] + [None]
+    terms = pa.array(["w0", "w1 w2", "w2 w1", "w3 w3", "w5", "nowhere else"])
+    grams = pa.array([t and t + [" ".join(p) for p in zip(t, t[1:])] for t in lists], pa.list_(pa.string()))
+    want = scoring.term_pairs(grams, terms)
+    batch = pa.record_batch([pa.array(lists, pa.list_(pa.string()))], ["words"])
+    got = scoring.Grams(terms).pairs(batch.column(0))
+    assert all(np.array_equal(a, b) for a, b in zip(want[:3], got[:3]))
+    monkeypatch.setattr(scoring, "TOKENS_PER_STEP", 10)
+    steps = [s.to_pydict()["words"] for s in scoring.bounded(batch, ["words"])]
+    assert len(steps) > 2 and [x for s in steps for x in s] == lists
