@@ -7,18 +7,25 @@ costs one task no more than reading that row already did.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import hashlib
+from collections.abc import Callable, Iterator, Sequence
+from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.functions import text as X
 from corpusloom.functions import vectors as V
-from corpusloom.functions.exprs import explode_rows, index_range, let, run_starts
+from corpusloom.functions.exprs import explode_rows, index_range, let
 
 # Slack for comparing a distance with an interpolated percentile: distances
 # are rounded to nine decimals first, so a real excess is far larger.
 BREAK_SLACK = 1e-9
+# Words whose buckets a task remembers, and documents it unpacks at once.
+KNOWN_WORDS, ROWS_PER_STEP = 200_000, 256
 
 
 def drop_blank(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -33,63 +40,81 @@ def sentence_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def _squared_norm(buckets: Column) -> Column:
-    """Squared length of the count vector of a bucket array: the sum of its
-    squared run lengths once sorted, whatever the number of buckets."""
+def _bag_breaks(rows: DataFrame, dim: int, buffer: int, percent: float) -> DataFrame:
+    """Adds ``_b``, the sentences that open a chunk, to rows with sentences ``_s``, by
+    the cosine distance between the hashed bags of neighbouring sentence groups.
 
-    def runs(ordered: Column) -> Column:
-        return let(
-            run_starts(ordered),
-            lambda starts: F.aggregate(
-                F.transform(
-                    starts,
-                    lambda s, j: F.when(
-                        j + 1 < F.size(starts), starts[F.least(j + 1, F.size(starts) - 1)]
-                    ).otherwise(F.size(ordered))
-                    - s,
-                ),
-                F.lit(0).cast("bigint"),
-                lambda acc, n: acc + n.cast("bigint") * n,
-            ),
-        )
-
-    return let(F.sort_array(buckets), runs)
-
-
-def _bag_distances(parts: Column, dim: int, buffer: int) -> Column:
-    """Cosine distance between each hashed sentence group and the next one.
-
-    Sentences are hashed once; a group is the buckets of its sentences. The
-    product of two bags follows from the length of their union, so no dense
-    vector is ever built: |a + b|^2 = |a|^2 + |b|^2 + 2ab.
+    A bag is kept as its buckets and counts: a document's bags take no more memory than
+    its words.
     """
-    hashed = F.transform(
-        parts,
-        lambda s: F.transform(X.whitespace_tokens(s), lambda t: V.token_bucket(t, dim)),
-    )
-
-    def groups(per_sentence: Column) -> Column:
-        def around(i: Column) -> Column:
-            lo = F.greatest(i - buffer, F.lit(0))
-            bag = F.flatten(
-                F.slice(per_sentence, lo + 1, F.least(i, F.lit(buffer)) + 1 + buffer)
-            )
-            return let(bag, lambda g: F.struct(g.alias("g"), _squared_norm(g).alias("sq")))
-
-        return F.transform(index_range(F.size(per_sentence)), around)
-
-    def between(g: Column) -> Column:
-        def step(i: Column) -> Column:
-            a, b = g[i], g[i + 1]
-            product = (_squared_norm(F.concat(a["g"], b["g"])) - a["sq"] - b["sq"]) / 2
-            size = F.sqrt(a["sq"]) * F.sqrt(b["sq"])
-            return F.round(
-                1 - F.when(size == 0, F.lit(0.0)).otherwise(product / size), 9
-            )
-
-        return F.transform(index_range(F.size(g) - 1), step)
-
-    return let(let(hashed, groups), between)
+    out = T.StructType([*rows.schema.fields, T.StructField("_b", T.ArrayType(T.IntegerType()))])
+    names = rows.columns
+    lowered = rows.withColumn("_low", F.transform("_s", F.lower))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket_of: dict[str, int] = {}
+        for batch in (b.slice(i, ROWS_PER_STEP) for b in batches for i in range(0, b.num_rows, ROWS_PER_STEP)):
+            low = batch.column(batch.schema.get_field_index("_low"))
+            starts = [_chunk_starts(t, dim, buffer, percent, bucket_of) for t in low.to_pylist()]
+            yield batch.select(names).append_column("_b", pa.array(starts, pa.list_(pa.int32())))
+
+    return lowered.mapInArrow(run, out)
+
+
+def _chunk_starts(
+    lowered: list[str] | None, dim: int, buffer: int, percent: float, bucket_of: dict[str, int]
+) -> list[int] | None:
+    """The sentences of one document that open a chunk."""
+    if lowered is None:
+        return None
+    sentences = [_buckets(s.split(), dim, bucket_of) for s in lowered]
+    n = len(sentences)
+    if n < 2:
+        return [0]
+    # (sentence, bucket, count), then the same for groups, by adding up neighbours.
+    place = np.repeat(np.arange(n), [len(s) for s in sentences])
+    cells = place * dim + np.array([b for s in sentences for b in s], np.int64)
+    shifts = [(cells + d * dim)[(place + d >= 0) & (place + d < n)] for d in range(-buffer, buffer + 1)]
+    cell, count = np.unique(np.concatenate(shifts), return_counts=True)
+    squared = np.bincount(cell // dim, count * count, minlength=n)
+    # A bucket of the next group stands one row further.
+    at = np.searchsorted(cell, cell + dim)
+    both = np.flatnonzero(cell[np.minimum(at, len(cell) - 1)] == cell + dim)
+    dots = np.bincount(cell[both] // dim, (count[both] * count[at[both]]).astype(np.float64), minlength=n)[: n - 1]
+    size = np.sqrt(squared[:-1]) * np.sqrt(squared[1:])
+    near = np.divide(dots, size, out=np.zeros(n - 1), where=size > 0)
+    gaps = _rounded(1 - near)
+    ordered = np.sort(gaps)
+    where = (n - 2) * (percent / 100.0)
+    lo = int(np.floor(where))
+    hi = min(lo + 1, n - 2)
+    limit = ordered[lo] + (ordered[hi] - ordered[lo]) * (where - lo)
+    return [0, *(np.flatnonzero(gaps > limit + BREAK_SLACK) + 1).tolist()]
+
+
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """Nine decimals of the shortest decimal form, half away from zero."""
+    nano = Decimal("1e-9")
+    exact = np.round(x, 9)
+    # Where the tenth digit is close to a half, the decimal form decides.
+    close = np.flatnonzero(np.abs(np.abs(x * 1e9 % 1) - 0.5) < 1e-3)
+    for i in close.tolist():
+        exact[i] = float(Decimal(repr(float(x[i]))).quantize(nano, ROUND_HALF_UP))
+    return exact
+
+
+def _buckets(tokens: list[str], dim: int, bucket_of: dict[str, int]) -> list[int]:
+    """``token_bucket`` of each token; words that were seen before are looked up."""
+    out = []
+    for token in tokens:
+        bucket = bucket_of.get(token)
+        if bucket is None:
+            if len(bucket_of) >= KNOWN_WORDS:
+                bucket_of.clear()
+            bucket = int(hashlib.md5(token.encode()).hexdigest()[:6], 16) % dim
+            bucket_of[token] = bucket
+        out.append(bucket)
+    return out
 
 
 def _distances(group_vecs: Column) -> Column:
@@ -165,7 +190,7 @@ def semantic_chunks(
         id_col, *[c for c in keep if c in docs.columns], X.sentences(F.col(text_col)).alias("_s")
     )
     if group_embedder is None:
-        gaps = _bag_distances(F.col("_s"), dim, buffer)
+        starts = _bag_breaks(base, dim, buffer, percentile)
     else:
         base = base.withColumn(
             "_g",
@@ -183,8 +208,7 @@ def semantic_chunks(
                 )
             ),
         )
-        gaps = _distances(F.col("_g"))
-    starts = base.withColumn("_b", _starts_after_breaks(gaps, percentile))
+        starts = base.withColumn("_b", _starts_after_breaks(_distances(F.col("_g")), percentile))
     parts, b = F.col("_s"), F.col("_b")
     chunk = F.transform(
         b,
