@@ -362,9 +362,11 @@ def top_k(
             ids = ids.astype(np.int64)
             parts = [m.scores(step) for m in methods]
             fused = round_half_up(fuse(parts))
-            row, query = np.nonzero(
-                (fused > bar) | ((fused == bar) & (ids[:, None] < bar_id))
-            )
+            better = (fused > bar) | ((fused == bar) & (ids[:, None] < bar_id))
+            if len(ids) > k and np.isneginf(bar).any():
+                # Of a step only its own k best count, and what ties with them.
+                better &= fused >= np.partition(fused, -k, axis=0)[-k]
+            row, query = np.nonzero(better)
             fresh = [query, ids[row], fused[row, query], *[p[row, query] for p in parts]]
             pool = fresh if kept is None else [np.concatenate(x) for x in zip(kept, fresh)]
             order = np.lexsort((pool[1], -pool[2], pool[0]))
